@@ -7,8 +7,8 @@ the counts of the other nine tenths, and EM runs over a table of how often each
 estimates (to a quarter of an octave) occurred, which is bounded whatever the corpus.
 
 The corpus is counted in chunks: a chunk holds its documents as word ids, asks for the counts of its
-distinct words and bigrams, and gets them back in the order asked. Words and bigrams travel as
-sorted 64-bit hashes, dealt by hash into ranges, so no frequent word makes a large partition.
+distinct words and bigrams, and gets them back in the order asked. Words travel as sorted 64-bit
+hashes and bigrams as 56-bit ones, dealt by hash into ranges, so no frequent word makes a large partition.
 
 Null and empty texts are the end token alone. A null doc_id is neither held out nor learned from;
 repeated rows count and are scored each. An empty table gives no rows. Columns other than doc_id and
@@ -28,6 +28,8 @@ from . import shared
 
 #: Tokens after which a chunk is closed.
 CHUNK_TOKENS = 4_000_000
+#: Words of a chunk that are numbered by frequency.
+FREQUENT = 1 << 15
 #: One in so many training documents is held out for the mixture weights.
 EM_FOLD = 10
 #: The end token and the start context, as hashes of bytes that no word can hold.
@@ -38,12 +40,12 @@ NEVER = -(1 << 20)
 
 
 def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit keys of word pairs from the words' hashes."""
+    """Keys of word pairs from the words' hashes: the upper 56 of 64 bits, as keys are most of what is shuffled."""
     with np.errstate(over="ignore"):
         x = before * np.uint64(0x9E3779B97F4A7C15) + word
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return (x ^ (x >> np.uint64(31))) & ~np.uint64(0xFF)
 
 
 def before(ids: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -81,15 +83,18 @@ class Chunk:
         lengths = np.array([d[1] for d in self.docs], dtype=np.int64)
         train = np.array([d[2] for d in self.docs], dtype=bool)
         counts = np.bincount(ids, minlength=len(self.words) + 1)
-        order = np.argsort(-counts, kind="stable")  # frequent words get small ids, which pack well
+        hashes = np.concatenate([[END], np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))])
+        # frequent words get small ids, which pack well; the others follow by hash, as sorted hashes do
+        order = np.argsort(-counts, kind="stable")
+        order[FREQUENT:] = order[FREQUENT:][np.argsort(hashes[order[FREQUENT:]])]
         rank = np.empty(len(order), dtype=np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         ids = rank[ids]
-        hashes = np.concatenate([[END], np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))])[order]
+        hashes = hashes[order]
         learned = np.repeat(train, lengths)
         out = [
             {
-                "key": -1 - chunk, "chunk": chunk, "em": self.em, "part": 0, "a": pack_ids(ids), "b": shared.pack(hashes), "c": shared.pack(lengths), "n": int(learned.sum()),
+                "key": -1 - chunk, "chunk": chunk, "em": self.em, "part": 0, "a": pack_ids(ids), "b": shared.pack(hashes[:FREQUENT]), "c": shared.pack_sorted(hashes[FREQUENT:]), "d": shared.pack(lengths), "n": int(learned.sum()),
                 "doc_ids": [d[0] for d in self.docs], "held": [d[3] for d in self.docs],
             }
         ]
@@ -117,8 +122,8 @@ def ranges(keys: np.ndarray, bits: int):
         yield int(part[s]), s, int(starts[i + 1]) if i + 1 < len(starts) else len(keys)
 
 
-SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("em", pa.bool_()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
-DDL = "key long, chunk long, em boolean, part long, a binary, b binary, c binary, n long, doc_ids array<long>, held array<boolean>"
+SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("em", pa.bool_()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))])
+DDL = "key long, chunk long, em boolean, part long, a binary, b binary, c binary, d binary, n long, doc_ids array<long>, held array<boolean>"
 
 
 def _chunks(docs: DataFrame, mod: int, held: int, bits: int, chunk_tokens: int) -> DataFrame:
@@ -186,11 +191,11 @@ def _counted(table: pa.Table) -> pa.Table:
 
 def _gathered(table: pa.Table, deleted: bool):
     """A chunk's documents, and for each token: c(w), c(v), c(v w). Deleted: without the held-out documents' own counts."""
-    rows = sorted(table.select(["key", "part", "a", "b", "c", "doc_ids", "held"]).to_pylist(), key=lambda r: r["key"])
+    rows = sorted(table.select(["key", "part", "a", "b", "c", "d", "doc_ids", "held"]).to_pylist(), key=lambda r: r["key"])
     docs = next(r for r in rows if r["key"] < 0)
     ids = shared.unpack(docs["a"], "<u4")
-    hashes = shared.unpack(docs["b"], "<u8")
-    lengths = shared.unpack(docs["c"], "<i8")
+    hashes = np.concatenate([shared.unpack(docs["b"], "<u8"), shared.unpack_sorted(docs["c"])])
+    lengths = shared.unpack(docs["d"], "<i8")
     got = []
     for n in (0, 1):
         parts = [r for r in rows if r["key"] >= 0 and r["key"] >> 40 == n]
