@@ -211,7 +211,7 @@ def links(distinct: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIMIT)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of the undirected edges (a, b).
+    """node, root (the smallest node reachable) for every node but the roots of the undirected edges (a, b).
 
     Alternating large-star and small-star steps, each cut with a checkpoint, until the forest is a
     set of stars; the rounds grow with the logarithm of the longest path.
