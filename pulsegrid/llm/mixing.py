@@ -27,6 +27,9 @@ from . import shared
 #: Documents of a source in a range of the hash, on average.
 RANGE = 2048
 BLOCK_TOKENS = 1 << 20
+#: Sources whose quotas are broadcast (about 100 bytes each); more are joined by salted keys.
+BROADCAST_SOURCES = 1000
+SALTS = 64
 
 
 def words() -> Column:
@@ -73,6 +76,15 @@ def exponent(shares: list[float], target_entropy: float | None = None, max_repea
     return a
 
 
+def with_quota(rows: DataFrame, quota: DataFrame, sources: int, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
+    """Each row with the quota of its source: from a broadcast, or past that many sources by keys salted by `row`."""
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if sources <= broadcast:
+        return rows.join(F.broadcast(quota), same)
+    salted = quota.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_mine", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_mine") == F.col("_salt"))).drop("_mine", "_salt")
+
+
 def plan(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat: float | None = 4.0, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
     """doc_id, source, tokens, copy, block, place: where each copy of each document goes; a place is unique in its block."""
     spark = docs.sparkSession
@@ -85,7 +97,7 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat: float
     blocks = max(1, round(budget / block_tokens))
     rows = [(r["source"], r["total"], float(x * budget), max(1, -(-r["docs"] // RANGE))) for r, x in zip(totals, w, strict=True)]
     quota = spark.createDataFrame(rows, "_source string, _total long, _quota double, _ranges long")
-    joined = counted.withColumn("source", F.col("source").cast("string")).join(quota, F.col("source").eqNullSafe(F.col("_source")))
+    joined = with_quota(counted.withColumn("source", F.col("source").cast("string")), quota, len(rows))
     # a pass more than the quota fills is cut below, by what is read before
     passes = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_quota") / F.col("_total") - 1e-9) - 1).cast("int"))))
     key = F.xxhash64(F.lit(seed), "copy", "doc_id")

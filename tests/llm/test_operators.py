@@ -295,6 +295,13 @@ def test_mixing_meets_its_targets(spark, docs, awkward, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_salted_quotas_equal_broadcast_ones(spark, awkward):
+    rows = awkward.select("doc_id", "source").withColumn("row", F.monotonically_increasing_id())
+    quota = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "_source string, _total long")
+    sent, salted = (mixing.with_quota(rows, quota, 3, broadcast=most).collect() for most in (3, 2))
+    assert sorted(sent, key=repr) == sorted(salted, key=repr) and len(sent) == len(AWKWARD)
+
+
 def test_quality_rules(spark, docs, awkward, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
