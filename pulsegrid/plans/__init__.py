@@ -1 +1,3 @@
 """Named queries over the driver's tables, with their SQL."""
+
+from . import catalog, evaluation  # noqa: F401
