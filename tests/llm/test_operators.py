@@ -62,6 +62,18 @@ def test_forward_backward_is_exact():
     assert np.allclose(got, crf.marginals(e, lengths, moves, segment=64))
 
 
+def test_looked_up_features_are_the_plain_ones():
+    lexicon = {"the": "=en:3:2", "été": "=fr:3:1"}
+    words = ["the", "", "aaaa", "été", "a", "ab", "banana", "\U00020000x", "the"]
+    index = {f: n for n, f in enumerate(sorted({f for w in words for f in crf.features(w, lexicon)})[::2])}
+    flat, n = crf.Grams(index, lexicon).found(words)
+    ends = np.cumsum(n)
+    for w, a, b in zip(words, ends - n, ends, strict=True):
+        assert flat[a:b].tolist() == sorted(index[f] for f in crf.features(w, lexicon) if f in index)
+    for none in ([], [""]):
+        assert len(crf.Grams({}, {}).found(none)[0]) == 0
+
+
 def test_languages_of_held_out_documents(spark, docs, awkward, empty):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = crf.learn(docs, fold != 0)
