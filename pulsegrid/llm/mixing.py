@@ -117,6 +117,7 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat: float
 
 def mixed(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat: float | None = 2.0, **how) -> DataFrame:
     """The documents, each as often as the plan has it; rows that share an id are repeated alike."""
-    copies = plan(docs, target_entropy, max_repeat, **how).groupBy("doc_id").agg((F.max("copy") + 1).alias("_copies")).withColumnRenamed("doc_id", "_id")
-    again = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return again.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*docs.columns)
+    id_, copies, copy = shared.free(docs, "_id", "_copies", "_copy")
+    times = plan(docs, target_entropy, max_repeat, **how).groupBy("doc_id").agg((F.max("copy") + 1).alias(copies)).withColumnRenamed("doc_id", id_)
+    again = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return again.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(copy)).select(*docs.columns)

@@ -131,7 +131,8 @@ def redact(docs: DataFrame, path: str | None = None, max_ratio: float = MAX_RATI
         return texts.map(lambda t: redacted(t, path, max_ratio), na_action="ignore")
 
     kinds = dict(docs.dtypes)
-    new = docs.withColumn("_clean", clean("text"))
+    (new_text,) = shared.free(docs, "_clean")
+    new = docs.withColumn(new_text, clean("text"))
     if "n_chars" in kinds:
-        new = new.withColumn("n_chars", F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
-    return new.withColumn("text", F.col("_clean")).select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(new_text) != F.col("text"), F.length(new_text).cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
+    return new.withColumn("text", F.col(new_text)).select(*docs.columns)

@@ -27,6 +27,17 @@ def small_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
         spark.conf.set(key, str(records))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Each name, or with underscores before it where `df` has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a checkpoint in the folder of spark.checkpoint.dir.
 

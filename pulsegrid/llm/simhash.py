@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, shard_limit
 
 def keep_one(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     """One row of `docs` for each component, that of its smallest doc_id; rows without an id stay."""
-    keep = near_duplicates(docs, radius, size).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept, nth = shared.free(docs, "_kept", "_nth")
+    keep = near_duplicates(docs, radius, size).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.where("doc_id is not null")
-    kept = named.join(keep, named.doc_id == keep._kept, "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
+    first = named.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return first.unionByName(docs.where("doc_id is null"))

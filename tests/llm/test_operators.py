@@ -347,6 +347,16 @@ def test_secrets_against_plain_patterns(spark, docs, awkward, empty):
     assert secret_scan.redacted("a token = \"abcdef12\" b") == "a [SECRET]\" b" and secret_scan.scan(empty).count() == 0
 
 
+def test_stages_keep_columns_named_like_their_own(spark, awkward):
+    names = ["_kept", "_nth", "_Id", "_copies", "_copy", "_clean"]
+    wide = awkward.withColumns({c: F.lit(f"own {c}") for c in names})
+    for stage in (simhash.keep_one, secret_scan.redact, mixing.mixed):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        rows = out.select(*names).collect()
+        assert rows and all(tuple(r) == tuple(f"own {c}" for c in names) for r in rows)
+
+
 def test_pipeline_against_its_stages(spark, tmp_path, awkward):
     import corpus_pipeline as p
 
