@@ -82,3 +82,10 @@ def chunks(items: Column, parts: int) -> Column:
     size = F.greatest(F.lit(1), F.ceil(F.size(items) / parts).cast("int"))
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.slice(items, s, size))
+
+
+def lead_subset(leads: Column, wanted: list[str | int]) -> Column:
+    """array<array<double>> in the order of LEADS with all but the wanted leads (names in any case, or places from 0) as zeros."""
+    names = [x.lower() for x in LEADS]
+    keep = [names.index(w.strip().lower()) if isinstance(w, str) else w for w in wanted]
+    return F.transform(leads, lambda x, i: F.when(i.isin(keep), x).otherwise(F.transform(x, lambda _: F.lit(0.0))))

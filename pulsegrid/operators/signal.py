@@ -84,29 +84,41 @@ def morphology(recordings: DataFrame, beats: DataFrame) -> DataFrame:
     return joined.groupBy("recording_id", "lead").applyInPandas(run, "recording_id long, lead string, beats long, r double, s double, st double, t double")
 
 
+#: Fixed: leads that are measured, and the electrodes that each depends on.
+ELECTRODES = {"I": ["RA", "LA"], "II": ["RA", "LL"], "V1": ["V1"], "V2": ["V2"], "V3": ["V3"], "V4": ["V4"], "V5": ["V5"], "V6": ["V6"]}
+
+
 def quality(recordings: DataFrame, fs: int, beats: DataFrame | None = None) -> DataFrame:
-    """recording_id, acceptable, overall, failed leads and a hint on the noise, from (recording_id, lead, samples).
+    """recording_id, leads, acceptable, overall, failures, electrodes and a hint on the noise, from (recording_id, lead, samples).
 
-    A lead fails as invalid, flat or noisy (and for an implausible beat count, where beats are given:
-    recording_id, lead, n). Under twelve leads a recording has failed.
+    Measured leads only are judged. A dead lead fails as invalid_signal and is not judged further; another by
+    each criterion that it fails: stationarity, heart_rate (where beats are given: recording_id, lead, n), snr.
+    A recording with under twelve leads has failed, and nothing else is said of it.
     """
     x = F.col("samples")
-    rows = recordings.withColumns({"invalid": arrays.dead(x), "flat": arrays.flat_line(x, fs)})
+    counts = recordings.groupBy("recording_id").agg(F.count("*").alias("leads"))
     clean = arrays.cleaned(x.cast("array<double>"))
-    rows = rows.withColumns({"snr": spectral.snr_udf(fs)(clean), "drift": spectral.share_udf(fs, 0.0, 2.0)(clean), "buzz": spectral.share_udf(fs, 40.0, fs)(clean)})
+    rows = recordings.where(F.col("lead").isin(*ELECTRODES)).withColumns({
+        "snr": spectral.snr_udf(fs)(clean), "drift": spectral.share_udf(fs, 0.0, 2.0)(clean), "buzz": spectral.share_udf(fs, 40.0, fs)(clean),
+        "invalid": F.coalesce(arrays.dead(x), F.lit(True)), "flat": F.coalesce(arrays.flat_line(x, fs), F.lit(False)),
+    })
     rate = F.lit(False)
     if beats is not None:
         rows = rows.join(beats, ["recording_id", "lead"], "left")
         minutes = F.size("samples") / F.lit(60.0 * fs)
         rate = F.coalesce(~(F.col("n") / minutes).between(24, 300), F.lit(False))
-    noisy = F.coalesce(F.col("snr") < 0.5, F.lit(False))
-    cause = F.when(F.col("invalid"), "invalid_signal").when(F.col("flat"), "flat_line").when(rate, "heart_rate").when(noisy, "low_snr")
-    rows = rows.withColumns({"cause": cause, "noisy": F.coalesce(cause == "low_snr", F.lit(False))})
-    out = rows.groupBy("recording_id").agg(
-        F.count("*").alias("leads"), F.sum(F.col("cause").isNull().cast("int")).alias("acceptable"),
-        F.array_sort(F.collect_list(F.when(F.col("cause").isNotNull(), F.concat("lead", F.lit(":"), "cause")))).alias("failures"),
+    noisy = ~F.col("invalid") & F.coalesce(F.col("snr") < 0.5, F.lit(False))
+    named = F.array_compact(F.array(*(F.when(c, n) for n, c in (("stationarity", F.col("flat")), ("heart_rate", rate), ("snr", noisy)))))
+    failed = F.when(F.col("invalid"), F.array(F.lit("invalid_signal"))).otherwise(named)
+    points = F.create_map(*(y for k, v in ELECTRODES.items() for y in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = rows.withColumns({"noisy": noisy, "failed": failed}).withColumn("bad", F.size("failed") > 0)
+    judged = rows.groupBy("recording_id").agg(
+        F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("failed", lambda f: F.concat("lead", F.lit(":"), f))))).alias("failures"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("bad"), F.element_at(points, F.col("lead"))))))).alias("electrodes"),
         F.avg(F.when(F.col("noisy"), F.col("drift"))).alias("drift"), F.avg(F.when(F.col("noisy"), F.col("buzz"))).alias("buzz"),
     )
-    overall = F.when(F.col("leads") < 12, "failed").when(F.col("acceptable") == F.col("leads"), "all_acceptable").when(F.col("acceptable") > 0, "partial").otherwise("all_unacceptable")
+    overall = F.when(F.col("leads") < 12, "failed").when(F.col("bad") == 0, "all_acceptable").when(F.col("good") > 0, "partial").otherwise("all_unacceptable")
     hint = F.when(F.col("drift").isNull(), "").when(F.col("drift") >= 0.5, "baseline wander").when(F.col("buzz") >= 0.3, "high frequency").otherwise("broadband")
-    return out.select("recording_id", "leads", "acceptable", overall.alias("overall"), "failures", hint.alias("hint"))
+    full = lambda c: F.when(F.col("leads") >= 12, c)
+    return counts.join(judged, "recording_id", "left").select("recording_id", "leads", full(F.col("good")).alias("acceptable"), overall.alias("overall"), full(F.col("failures")).alias("failures"), full(F.col("electrodes")).alias("electrodes"), full(hint).alias("hint"))

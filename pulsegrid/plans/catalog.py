@@ -419,7 +419,7 @@ def spectral_quality(spark, d):
 @query()
 def signal_quality(spark, d):
     leads = signals(spark, d).select((F.floor(F.col("vec_id") / 12)).alias("recording_id"), F.element_at(F.array(*map(F.lit, arrays.LEADS)), (F.col("vec_id") % 12 + 1).cast("int")).alias("lead"), F.col("x").alias("samples"))
-    return signal.quality(leads, 100).withColumn("failures", F.array_join("failures", ","))
+    return signal.quality(leads, 100).withColumns({c: F.array_join(c, ",") for c in ("failures", "electrodes")})
 
 
 # --- ETL ---------------------------------------------------------------------------------------

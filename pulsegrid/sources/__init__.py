@@ -102,3 +102,31 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | N
 def unit(vector: Column) -> Column:
     """A vector over its length."""
     return F.transform(vector, lambda x: x / F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
+
+
+def tool_outputs(spark: SparkSession, classes: str, measurements: str) -> tuple[DataFrame, DataFrame]:
+    """Both CSV files of precomputed outputs, with a header; either one missing is an error."""
+    shape = "ecg_file_path string, PR_Interval_ms double, QTc_ms double, QRS_Duration_ms double, Heart_Rate double, error string"
+    read = spark.read.option("header", True)
+    return read.schema("ecg_file_path string, top_classes string").csv(classes), read.option("enforceSchema", False).schema(shape).csv(measurements)
+
+
+def newest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str | None:
+    """The path of the file that was changed last (of the same time, the last by name); contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def arriving(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 1) -> DataFrame:
+    """A stream of the CSV files (with a header) that arrive in a folder."""
+    return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_a_batch).csv(folder)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """CSV with a header."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines added to those that are there, so that a run can be resumed by anti-join."""
+    rows.write.mode("append").json(path)
