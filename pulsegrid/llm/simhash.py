@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, shard_limit
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """One row of `docs` for each component, that of its smallest doc_id; rows without an id stay."""
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of `docs` for each component (those of `found`, else of linked fingerprints), that of its smallest doc_id; rows without an id stay."""
     kept, nth = shared.free(docs, "_kept", "_nth")
-    keep = near_duplicates(docs, radius, size).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    keep = (near_duplicates(docs) if found is None else found).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(kept), "left_semi")
     first = named.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
