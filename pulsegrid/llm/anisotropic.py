@@ -5,6 +5,8 @@ centroids minimise a loss that weighs the residual parallel to the vector `eta`
 rest, because only the parallel part moves the large inner products that matter. A search scans the
 codes by tables: a query's inner products with the centroids, two pieces to a table of 256, summed
 over a block of vectors at once; the best of a block are scored again exactly, on the original vectors.
+The cut is exact: a rough score is off by the residual's length times the query's at most (Cauchy-Schwarz),
+so whatever could still reach the block's k-th exact score is scored exactly as well.
 
 The codebooks are fitted on a bounded sample (`sample` vectors, by a hash of the id); every vector is
 coded and scanned. Queries are scanned in blocks of `query_block`, so what is broadcast is bounded.
@@ -28,7 +30,7 @@ from . import shared
 PIECE, CENTROIDS = 2, 16
 SAMPLE = 10_000
 QUERY_BLOCK = 4096
-#: Vectors scanned at once, and candidates of a block that are scored exactly.
+#: Vectors scanned at once, and candidates of a block that are scored exactly before the bound is known.
 SCAN, RERANK = 16_384, 200
 #: Cosine above which inner products matter; sets the weight of the parallel residual.
 THRESHOLD = 0.2
@@ -97,10 +99,15 @@ class Quantiser:
                 inner[:, p] = chosen
         return codes
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """Four-bit codes, two to a byte."""
-        codes = self.code(self.cut(x)).astype(np.uint8)
-        return codes[:, ::2] | codes[:, 1::2] << 4
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Four-bit codes, two to a byte, and by how much a rough score can be off for a query of length one."""
+        x = self.cut(x)
+        codes = self.code(x).astype(np.uint8)
+        decoded = self.decoded(codes)
+        length = lambda v: np.sqrt(np.einsum("npk,npk->n", v, v))
+        # the residual, and the rounding of tables and sums in single precision
+        off = length(x - decoded) + (self.pieces + 4) * 2.0**-23 * (length(x) + length(decoded))
+        return codes[:, ::2] | codes[:, 1::2] << 4, off
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of a code, the query's inner product with what the byte stands for."""
@@ -117,16 +124,16 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
 
 
 def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """vec_id, embedding, code of every usable vector."""
+    """vec_id, embedding, code, off (the bound of a rough score's error) of every usable vector."""
     shipped = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: shared.Batches) -> shared.Batches:
         for batch in batches:
             if batch.num_rows:
-                codes = shipped.value.packed(matrix(batch.column(1)))
-                yield shared.batch_of(vec_id=batch.column(0), embedding=batch.column(1), code=pa.array([c.tobytes() for c in codes], pa.binary()))
+                codes, off = shipped.value.packed(matrix(batch.column(1)))
+                yield shared.batch_of(vec_id=batch.column(0), embedding=batch.column(1), code=pa.array([c.tobytes() for c in codes], pa.binary()), off=pa.array(off))
 
-    return shared.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, embedding array<double>, code binary")
+    return shared.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, embedding array<double>, code binary, off double")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -161,8 +168,10 @@ def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int =
                 whole = pa.Table.from_batches(parts).combine_chunks().sort_by("vec_id")
                 ids = whole.column("vec_id").to_numpy()
                 vectors = matrix(whole.column("embedding").combine_chunks())
+                off = whole.column("off").to_numpy()
                 codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
                 codes = [np.ascontiguousarray(c).astype(np.intp) for c in codes.T]
+                longest = np.sqrt(np.einsum("nk,nk->n", vectors, vectors).max())
                 out = []
                 for name, query, table in zip(names, asked_, tables, strict=True):
                     rough = table[0][codes[0]]
@@ -170,9 +179,18 @@ def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int =
                         rough += t[c]
                     own = slice(*np.searchsorted(ids, [name, name + 1]))
                     rough[own] = -np.inf
-                    at = best(rough, rerank)
+                    at = best(rough, max(rerank, k))
                     at = at[ids[at] != name]
                     exact = (vectors[at] * query).sum(axis=1)
+                    if len(at) >= k:
+                        # whatever its bound lets reach the k-th of these, to within the products' rounding
+                        least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                        far = np.sqrt(query @ query)
+                        at = np.nonzero(rough + far * off >= least)[0]
+                        products = vectors @ query if 4 * len(at) > len(ids) else vectors[at] @ query
+                        at = at[(products[at] if len(products) == len(ids) else products) >= least - 1e-9 * far * longest]
+                        at = at[ids[at] != name]
+                        exact = (vectors[at] * query).sum(axis=1)
                     at, exact = (x[np.lexsort((ids[at], -exact))[:k]] for x in (at, exact))
                     out.append((np.full(len(at), name), ids[at], exact))
                 q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -189,7 +207,7 @@ def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int =
             if held and names:
                 yield scan(held)
 
-        near = shared.map_arrow(indexed.select("vec_id", "embedding", "code"), run, "query_id long, vec_id long, score double")
+        near = shared.map_arrow(indexed.select("vec_id", "embedding", "code", "off"), run, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:  # the driver holds one block of queries at a time

@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pytest
+from pulsegrid.llm import anisotropic
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,17 @@ def test_near_copies_in_the_pipeline_against_a_brute_force_join(spark):
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in kept.collect()} == brute_kept(rows)
+
+
+def test_nearest_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 32))
+    copies = np.arange(6000) % 3 == 1
+    x[copies] = x[1] + 0.002 * np.linalg.norm(x[1]) / np.sqrt(32) * rng.normal(size=(copies.sum(), 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(list)
+    for r in anisotropic.nearest(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 60
+    for q, found in got.items():
+        assert found == [int(i) for i in np.lexsort((np.arange(6000), -(x * x[q]).sum(axis=1))) if i != q][:20]
