@@ -3,8 +3,9 @@
 A run of 20 or more characters that mixes at least two of lower case, upper case and digits is
 random if a tiktoken vocabulary spends a token on fewer than `max_ratio` characters: vocabularies
 are learned from language and code, so random strings fall apart into short tokens. Digests
-(hexadecimal of a known digest's length), UUIDs and identifiers (words joined by separators or case)
-are left out before the test, as is whatever the fixed patterns have found.
+(hexadecimal of a known digest's length) and UUIDs are left out before the test, and identifiers after
+it (words joined by separators or case, if the vocabulary knows the words and few numbers stand among
+them without separators), as is whatever the fixed patterns have found.
 
 Offsets are code points, ends exclusive. Null texts are empty; repeated rows come back each. Columns
 other than doc_id and text are not read (redact() keeps all columns).
@@ -32,8 +33,10 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-#: A word of an identifier: letters of one case, a capitalised word, or up to four digits.
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})[-_/=+]*)+\Z")
+#: A segment of an identifier: letters of one case, a capitalised word, or digits.
+SEGMENT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Characters a token of an identifier's letters at least; digits of a number, and numbers without separators around, at most.
+WORD_RATIO, NUMBER, NUMBERS = 2.5, 4, 2
 CLASSES = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 #: Characters a token, below which a run is random.
 MAX_RATIO = 1.9
@@ -50,13 +53,30 @@ def encoding(path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_identifier(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Whether a run is made of words of two letters or more that take few tokens, and of few short numbers."""
+    letters = tokens = inside = 0
+    for m in SEGMENT.finditer(run):
+        segment = m.group()
+        if segment.isdigit():
+            inside += (m.start() > 0 and run[m.start() - 1].isalpha()) or (m.end() < len(run) and run[m.end()].isalpha())
+            if len(segment) > NUMBER or inside > NUMBERS:
+                return False
+        elif len(segment) < 2:
+            return False
+        else:
+            letters += len(segment)
+            tokens += len(vocabulary.encode_ordinary(segment))
+    return letters > 0 and letters >= WORD_RATIO * tokens
+
+
 def is_random(run: str, vocabulary: tiktoken.Encoding, max_ratio: float = MAX_RATIO) -> bool:
     """Whether a run is neither a digest nor an identifier and takes a token for few characters."""
     if sum(bool(c.search(run)) for c in CLASSES) < 2:
         return False
-    if UUID.match(run) or IDENTIFIER.match(run) or len(run) in DIGEST_LENGTHS and DIGEST.match(run):
+    if UUID.match(run) or len(run) in DIGEST_LENGTHS and DIGEST.match(run):
         return False
-    return len(run) < max_ratio * len(vocabulary.encode_ordinary(run))
+    return len(run) < max_ratio * len(vocabulary.encode_ordinary(run)) and not is_identifier(run, vocabulary)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
 import re
+import string
+import time
 from collections import defaultdict
 
 import numpy as np
-from pulsegrid.llm import anisotropic
+from pulsegrid.llm import anisotropic, secret_scan
 from pyspark.sql import functions as F
 
 
@@ -63,3 +65,20 @@ def test_nearest_in_a_large_group_of_near_copies(spark):
     assert len(got) == 60
     for q, found in got.items():
         assert found == [int(i) for i in np.lexsort((np.arange(6000), -(x * x[q]).sum(axis=1))) if i != q][:20]
+
+
+def test_random_strings_are_caught_in_every_alphabet():
+    rng = np.random.default_rng(10)
+    vocabulary = secret_scan.encoding()
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (lower + digits, upper + "234567", lower + upper, lower + upper + digits + "-_"):
+        for length in (20, 24, 32, 40):
+            runs = ["".join(rng.choice(list(alphabet), length)) for _ in range(500)]
+            mixed = [r for r in runs if sum(bool(c.search(r)) for c in secret_scan.CLASSES) >= 2]
+            assert sum(secret_scan.is_random(r, vocabulary) for r in mixed) >= 0.98 * len(mixed), (alphabet, length)
+    for name in ("some_long_identifier_name_2024", "getHTTPResponseCodeFromServer2", "user-id-2024-11-26-17-58", "com/example/foo2/bar/BazQuxImpl"):
+        assert not secret_scan.is_random(name, vocabulary)
+    began = time.time()
+    for run in ("1" + "a" * 5000 + "A", "A" * 5000 + "1b", "1a" * 3000):
+        secret_scan.redacted(run)
+    assert time.time() - began < 5
