@@ -1,207 +1,103 @@
 """Quality rules by n-gram perplexity: modified Kneser-Ney character models, one for each language.
 
-Spark counts the character 4-grams inside words (with the word's borders) of every document, by
-language. Symbols are 16 bits, so an n-gram is its own 64-bit hash. The models are sorted arrays of
-these hashes with discounted probabilities, and of contexts with back-off masses; their size is
-checked before they are sent to the executors, and beyond `max_entries` the rarest 4-grams go first
-(the count below which they go is part of the result of build()). Perplexity is by symbol. Each
-language has a band of log-perplexity around its median, as wide as a multiple of the median
-deviation; documents outside of it are rejected, as junk (above) or as repetition of the most common
-words (below). A word's probability is nine parts its language's model and one part the model of all
-languages together, so that clean texts with passages in another language stay inside. Documents are
-dealt in halves by a hash of the id, and each is scored by the models of the other half: a model that
-had counted a document's own n-grams would find any junk likely. (With a half empty, the other stands in.)
-
-Languages with fewer than `min_docs` documents share a model, as do rows with null language. Null
-and empty texts have no words and fail the base rules. Repeated rows are judged each. Columns other
+The models are of order four over the characters of a text with one blank between words, so they see
+spelling and, across the blanks, what follows what: sentence ends, capitals, how words join. Spark counts
+the 4-grams of all documents. A symbol is 16 bits, so an n-gram is its own 64-bit hash. Counts,
+continuation counts, discounts and back-off masses of every order are Spark tables, keyed by model and
+n-gram; no count is dropped, and nothing of them is collected or broadcast but totals by model.
+
+The corpus is cut into chunks of bounded size, of one language and half each. A chunk holds its documents as word
+numbers and its distinct n-grams as a sorted array with counts. What the model says of those n-grams comes
+back as such an array too, and the chunk's documents are scored from it: a task holds what its own
+texts need of a model, however large that is.
+
+Documents are dealt in halves by a hash of the text, and each is scored by the models of the other
+half: a model that had counted a document's own n-grams would find any junk likely. A symbol's probability is
+six parts its language's model and four parts the model of all languages, so that clean texts with passages in
+another language stay inside. Perplexity is by symbol.
+
+Each language has a band of log-perplexity around its median. Its half-widths above and below are multiples of
+the median deviation, for a text of typical length; shorter ones, whose perplexity varies more, have a wider band
+(by the root of the ratio of lengths), as do languages with few documents (by `few` / documents of the languages' mean
+deviation), for which a median says little. What is above is junk: random characters, words in an order that the language does not have.
+What is below repeats the most common words.
+
+The `most_languages` languages with the most documents have a model each; others share one, with null.
+Null and empty texts have no words and fail the base rules. Repeated rows are judged each. Columns other
 than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 ORDER, BITS = 4, 16
-START, END, DIGIT, REST = 1, 2, ord("0"), 0xFFFF
-MAX_ENTRIES = 8_000_000
-#: Distinct words in a task's counter, and words whose log-probability a worker keeps.
-FLUSH, CACHE = 400_000, 800_000
+BLANK, DIGIT = 0x20, ord("0")
+#: Where symbols of more than 16 bits go, by their remainder: a range that is for private use.
+PRIVATE, PRIVATE_SIZE = 0xE000, 6400
+#: Words of all open chunks of a task after which they are closed.
+CHUNK_WORDS = 3_000_000
 #: Multiples of the scaled median deviation below and above the median.
-BELOW, ABOVE = 12.0, 12.0
-MIN_DOCS = 100
-OTHER = "*"
-#: The model of all languages of a half, and its share in a word's probability.
-ALL, ALL_SHARE = "**", 0.1
-HALVES = ("0", "1")
+BELOW, ABOVE = 4.0, 3.5
+#: Documents of a language at which its band is widened by as much as the languages' bands are wide on average.
+FEW = 20
+MOST_LANGUAGES = 255
+#: Number of the model of all languages, and its share in a symbol's probability.
+ALL, ALL_SHARE = MOST_LANGUAGES + 1, 0.4
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram ending at each scored symbol (a word's characters and its end), and symbols a word."""
-    # code points, beyond 16 bits as one symbol, with a start and an end for each word
-    text = b"".join(w + b"\n" for w in words).decode("utf-8", "surrogatepass")
+def symbols(words: list[bytes]) -> np.ndarray:
+    """The symbols of the words, a blank before, between and after them: digits alike, code points of 16 bits."""
+    text = b"".join([b" ", b" ".join(words), b" "]).decode("utf-8", "surrogatepass")
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    points = np.where((points >= 48) & (points <= 57), DIGIT, np.where(points > REST, REST, points)).astype(np.uint64)
-    ends = points == 10
-    points[ends] = END
-    at = np.nonzero(ends)[0]
-    lengths = np.diff(np.concatenate([[-1], at]))
-    place = np.arange(len(points)) - np.repeat(np.concatenate([[0], at[:-1] + 1]), lengths)
-    keys = points.copy()
-    for back in range(1, ORDER):
-        before = np.empty_like(points)
-        before[back:] = points[:-back] if back < len(points) else points[:0]
-        before[:back] = START
-        before[place < back] = START
-        keys |= before << np.uint64(BITS * back)
-    return keys, lengths
-
-
-@dataclass
-class Arrays:
-    """One language's model: for each order the n-grams, sorted, with their probabilities; contexts with their masses."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    uniform: float
-
-    def probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """P(last symbol | the three before) of 4-gram keys."""
-        p = np.full(len(keys), self.uniform)
-        for n in range(1, ORDER + 1):
-            mask = np.uint64((1 << (BITS * n)) - 1) if n < ORDER else np.uint64(0xFFFFFFFFFFFFFFFF)
-            gram = keys & mask
-            p = looked_up(self.contexts[n - 1], gram >> np.uint64(BITS), 1.0) * p + looked_up(self.grams[n - 1], gram, 0.0)
-        return p
-
-
-def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-    known, values = table
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], missing)
-
-
-def estimate(keys: np.ndarray, counts: np.ndarray) -> Arrays:
-    """Modified Kneser-Ney from distinct sorted 4-gram keys and their counts."""
-    grams, contexts = [], []
-    level, c = keys, counts.astype(np.float64)
-    for n in range(ORDER, 0, -1):
-        of = [float((c == k).sum()) for k in (1, 2, 3, 4)]
-        y = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.5
-        d = [0.0] + [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] and of[k] else 0.5 for k in (1, 2, 3)]
-        discount = np.choose(np.minimum(c, 3).astype(np.int64), d)
-        context = level >> np.uint64(BITS)
-        starts = np.nonzero(np.concatenate([[True], context[1:] != context[:-1]]))[0]
-        total = np.add.reduceat(c, starts)
-        mass = np.add.reduceat(discount, starts) / total
-        spans = np.diff(np.concatenate([starts, [len(level)]]))
-        grams.append((level, (c - discount) / np.repeat(total, spans)))
-        contexts.append((context[starts], mass))
-        # continuation counts: in how many n-grams each shorter one ends
-        if n > 1:
-            level, times = np.unique(level & np.uint64((1 << (BITS * (n - 1))) - 1), return_counts=True)
-            c = times.astype(np.float64)
-    return Arrays(grams[::-1], contexts[::-1], 1.0 / (len(grams[-1][0]) + 1))
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: the character 4-grams of all words of all documents (columns lang, which ends in the half, and text)."""
-
-    def run(batches: shared.Batches) -> shared.Batches:
-        tallies: dict[str, Counter] = {}
-
-        def flush():
-            for lang, words in tallies.items():
-                keys, lengths = padded(list(words))
-                grams, where = np.unique(keys, return_inverse=True)
-                n = np.bincount(where, np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), lengths)).astype(np.int64)
-                yield shared.batch_of(lang=pa.array([lang] * len(grams), pa.string()), gram=pa.array(grams.view(np.int64)), n=pa.array(n))
-            tallies.clear()
-
-        for batch in batches:
-            for lang, text in zip(*shared.columns(batch, "lang", "text"), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split() if text else None
-                if words:
-                    tallies.setdefault(lang, Counter()).update(words)
-            if sum(map(len, tallies.values())) > FLUSH:
-                yield from flush()
-        yield from flush()
-
-    return shared.map_arrow(docs.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def build(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[dict[str, Arrays], int]:
-    """Models by language, and the count below which 4-grams were left out (1: none were)."""
-    table = shared.settled(counted(docs))
-    least = 1
-    while least == 1 and (n := table.count()) > max_entries or least > 1 and table.where(F.col("n") >= least).count() > max_entries:
-        least *= 2
-    got = table.where(F.col("n") >= least).toArrow()
-    langs = got.column("lang").to_numpy(zero_copy_only=False)
-    grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    models = {}
-    for lang in dict.fromkeys(langs.tolist()):
-        at = np.nonzero(langs == lang)[0]
-        at = at[np.argsort(grams[at])]
-        models[lang] = estimate(grams[at], n[at])
-    for half in HALVES:
-        at = np.nonzero([x[-1] == half for x in langs])[0]
-        if len(at):
-            every, where = np.unique(grams[at], return_inverse=True)
-            models[ALL + half] = estimate(every, np.bincount(where, n[at]).astype(np.int64))
-    return models, least
-
-
-def model_of(models: dict[str, Arrays], name: str) -> Arrays:
-    """The model of that name, else of all languages of that half, else the same of the other half."""
-    other = name[:-1] + HALVES[name[-1] == HALVES[0]]
-    return next(models[k] for k in (name, ALL + name[-1], other, ALL + other[-1]) if k in models)
-
-
-class Scorer:
-    """Log-probabilities (base e) of words under each model, kept by word."""
-
-    def __init__(self, models: dict[str, Arrays]):
-        self.models, self.state = models, {}
-
-    def __getstate__(self):
-        return {"models": self.models, "state": {}}
-
-    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words, the same for the same word until the next trim()."""
-        known, fresh, _, _ = self.state.setdefault(lang, ({}, [], [], []))
-        for w in dict.fromkeys(words):
-            if w not in known:
-                known[w] = len(known)
-                fresh.append(w)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def values(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and symbols of the words by number."""
-        known, fresh, logs, symbols = self.state[lang]
-        if fresh:
-            keys, lengths = padded(fresh)
-            grams, where = np.unique(keys, return_inverse=True)
-            starts = np.cumsum(lengths) - lengths
-            own, every = (np.add.reduceat(np.log(model_of(self.models, k).probabilities(grams))[where], starts) for k in (lang, ALL + lang[-1]))
-            logs.append(np.logaddexp(own + np.log(1 - ALL_SHARE), every + np.log(ALL_SHARE)))
-            symbols.append(lengths)
-            fresh.clear()
-        logs[:], symbols[:] = [np.concatenate(logs)], [np.concatenate(symbols)]
-        return logs[0], symbols[0]
-
-    def trim(self) -> None:
-        if sum(len(s[0]) for s in self.state.values()) > CACHE:
-            self.state.clear()
+    points[(points >= 48) & (points <= 57)] = DIGIT
+    high = points > 0xFFFF
+    points[high] = PRIVATE + points[high] % PRIVATE_SIZE
+    return points
+
+
+class Words:
+    """Words by number: symbols, ends, and the 4-grams that lie in a word and the blanks around it."""
+
+    def __init__(self, words: list[bytes]):
+        points = symbols(words)
+        ends = np.nonzero(points == BLANK)[0][1:]
+        starts = np.concatenate([[1], ends[:-1] + 1])
+        #: Symbols that are scored: a word's own and the blank after it.
+        self.length = ends - starts + 1
+        #: The last two symbols before the blank after a word, and its first two: what a border's 4-grams are made of.
+        self.tail = points[ends - 2] << np.uint64(BITS) | points[ends - 1]
+        self.head = points[starts] << np.uint64(BITS) | points[starts + 1]
+        grams = points[: max(0, len(points) - 3)] << np.uint64(48) | points[1:-2] << np.uint64(32) | points[2:-1] << np.uint64(16) | points[3:]
+        #: Each word's own 4-grams, word after word: those that end from its third symbol on.
+        self.own = np.maximum(self.length - 2, 0)
+        first = np.repeat(starts - 1, self.own) + np.arange(int(self.own.sum())) - np.repeat(np.cumsum(self.own) - self.own, self.own)
+        self.grams = grams[first] if len(grams) else np.empty(0, dtype=np.uint64)
+
+    def borders(self, numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each word of texts laid end to end: the tail of the word before (blanks at a text's start) and its own head."""
+        tails = np.full(len(numbers), BLANK << BITS | BLANK, dtype=np.uint64)
+        tails[1:] = self.tail[numbers[:-1]]
+        tails[(np.cumsum(lengths) - lengths)[lengths > 0]] = BLANK << BITS | BLANK
+        return tails << np.uint64(32) | self.head[numbers]
+
+
+def border_grams(borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 4-grams that end at a word's first and second symbol."""
+    one = borders & np.uint64(0xFFFFFFFF00000000) | np.uint64(BLANK << 16) | borders >> np.uint64(16) & np.uint64(0xFFFF)
+    two = borders << np.uint64(16) & np.uint64(0xFFFF000000000000) | np.uint64(BLANK << 32) | borders & np.uint64(0xFFFFFFFF)
+    return one, two
 
 
 def repeated(numbers: list[np.ndarray], window: int = WINDOW) -> list[int]:
@@ -247,48 +143,191 @@ def duplicate_lines(text: str) -> int:
     return out
 
 
-def measured(docs: DataFrame, models: dict[str, Arrays]) -> DataFrame:
-    """Counts of the base rules and log-perplexity (null without words) of every document (columns doc_id, text, and lang, which ends in the half to score by)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(Scorer(models))
+class Chunk:
+    """Documents of one model as word numbers, with the counts of the base rules."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.numbers: list[np.ndarray] = []
+        self.doc_ids: list[int | None] = []
+        self.counts: list[tuple[int, ...]] = []
+
+    def add(self, doc_id: int | None, text: str, words: list[bytes]) -> None:
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = len(known)
+        self.numbers.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words)))
+        self.doc_ids.append(doc_id)
+        self.counts.append((len(words), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)), duplicate_lines(text)))
+
+    def row(self, chunk: int, model: int) -> dict:
+        counts = np.array([(*c, r) for c, r in zip(self.counts, repeated(self.numbers), strict=True)], dtype=np.int64)
+        numbers = np.concatenate(self.numbers)
+        out = {"chunk": chunk, "model": model, "doc_ids": self.doc_ids, "counts": shared.pack(counts.ravel()), "numbers": shared.pack(numbers), "words": b"", "grams": shared.pack_sorted(np.empty(0, dtype=np.uint64)), "times": b""}
+        if self.known:
+            words = Words(list(self.known))
+            borders, often = np.unique(words.borders(numbers, counts[:, 0]), return_counts=True)
+            grams, where = np.unique(np.concatenate([words.grams, *border_grams(borders)]), return_inverse=True)
+            each = np.bincount(numbers, minlength=len(self.known))
+            times = np.bincount(where, np.concatenate([np.repeat(each, words.own), often, often]).astype(np.float64)).astype("<i8")
+            out |= {"words": zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.known)), "grams": shared.pack_sorted(grams), "times": shared.pack(times)}
+        return out
+
+
+CHUNK = pa.schema([("chunk", pa.int64()), ("model", pa.int32()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "numbers", "words", "grams", "times"))])
+CHUNK_DDL = "chunk long, model int, doc_ids array<long>, counts binary, numbers binary, words binary, grams binary, times binary"
+
+
+def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """The documents (doc_id, text, model) in chunks of one model each."""
 
     def run(batches: shared.Batches) -> shared.Batches:
-        scorer = shipped.value
+        open_: dict[int, Chunk] = {}
+        made, held = TaskContext.get().partitionId() << 24, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            for model, chunk in open_.items():
+                yield pa.RecordBatch.from_pylist([chunk.row(made, model)], schema=CHUNK)
+                made += 1
+            open_.clear()
+
         for batch in batches:
-            ids, langs, texts = shared.columns(batch, "doc_id", "lang", "text")
-            words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-            numbers = [scorer.numbers(lang, w) for lang, w in zip(langs, words, strict=True)]
-            again = repeated(numbers)
-            rows = []
-            for lang, text, x, n_repeat in zip(langs, texts, numbers, again, strict=True):
+            for doc_id, text, model in zip(*shared.columns(batch, "doc_id", "text", "model"), strict=True):
                 text = text or ""
-                logs, symbols = scorer.values(lang) if len(x) else (None, None)
-                rows.append((
-                    len(x), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)), duplicate_lines(text), n_repeat,
-                    -float(logs[x].sum()) / int(symbols[x].sum()) if len(x) else None,
-                ))
-            scorer.trim()
-            a, b, c, d, e, f = zip(*rows, strict=True) if rows else ((),) * 6
-            yield shared.batch_of(doc_id=pa.array(ids, pa.int64()), lang=pa.array(langs, pa.string()), **{k: pa.array(v, pa.int64()) for k, v in (("n_words", a), ("word_chars", b), ("n_symbols", c), ("n_dup_lines", d), ("n_repeat_words", e))}, log_perplexity=pa.array(f, pa.float64()))
+                words = text.encode("utf-8", "surrogatepass").split()
+                open_.setdefault(model, Chunk()).add(doc_id, text, words)
+                held += len(words) + 1
+                if held > chunk_words:
+                    yield from close()
+                    held = 0
+        yield from close()
 
-    return shared.map_arrow(docs, run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    return shared.map_arrow(docs.select("doc_id", "text", "model"), run, CHUNK_DDL)
 
 
-def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, min_docs: int = MIN_DOCS, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """doc_id, the base rules' counts and verdict, perplexity, its band, and kept, of every document."""
+def spread(made: DataFrame) -> DataFrame:
+    """chunk, model, gram, n: a chunk's 4-grams as rows."""
+
+    def run(batches: shared.Batches) -> shared.Batches:
+        for batch in batches:
+            for chunk, model, grams, times in zip(*shared.columns(batch, "chunk", "model", "grams", "times"), strict=True):
+                if times:
+                    keys = shared.unpack_sorted(grams).view(np.int64)
+                    yield shared.batch_of(chunk=np.full(len(keys), chunk), model=np.full(len(keys), model, dtype=np.int32), gram=keys, n=shared.unpack(times, "<i8"))
+
+    return shared.map_arrow(made.select("chunk", "model", "grams", "times"), run, "chunk long, model int, gram long, n long")
+
+
+def other(model: Column) -> Column:
+    """The same language's model of the other half."""
+    return model.bitwiseXOR(F.lit(1))
+
+
+def of_all(model: Column) -> Column:
+    return (model % 2 + 2 * ALL).cast("int")
+
+
+def discounts(of: list[int]) -> list[float]:
+    """Those of n-grams seen once, twice and more often, from how many are seen one to four times."""
+    y = of[0] / (of[0] + 2 * of[1]) if of[0] and of[1] else 0.5
+    return [min(max(k - (k + 1) * y * of[k] / of[k - 1], 0.05), k - 0.05) if of[k - 1] and of[k] else 0.5 for k in (1, 2, 3)]
+
+
+def probabilities(counted: DataFrame) -> DataFrame:
+    """model, gram, p: modified Kneser-Ney of every 4-gram in `counted` (model, gram, n); n of 0 asks without adding to the model."""
+    spark = counted.sparkSession
+    levels = [counted]
+    for n in range(ORDER - 1, 0, -1):
+        # continuation counts: in how many seen n-grams each shorter one ends
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1))
+        levels.append(levels[-1].groupBy("model", shorter.alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")))
+    p = None
+    for order, level in enumerate(reversed(levels), 1):
+        tally = level.groupBy("model").agg(F.count("*").alias("all"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
+        rows = [(r["model"], *discounts([r[f"n{k}"] for k in (1, 2, 3, 4)]), 1 / (r["all"] + 1)) for r in tally]
+        cuts = F.broadcast(spark.createDataFrame(rows, "model int, d1 double, d2 double, d3 double, uniform double"))  # two rows for each of MOST_LANGUAGES + 2 at most
+        cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        seen = level.join(cuts, "model").select("model", "gram", F.shiftrightunsigned("gram", BITS).alias("context"), "n", cut.alias("cut"), "uniform")
+        contexts = seen.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+        share = lambda x, none: F.when(F.col("total") > 0, x / F.col("total")).otherwise(F.lit(none))
+        own = seen.join(F.broadcast(contexts) if order == 1 else contexts, ["model", "context"])
+        own = own.select("model", "gram", "uniform", share(F.col("left"), 1.0).alias("mass"), share(F.col("n") - F.col("cut"), 0.0).alias("rest"))
+        if p is None:
+            p = own.select("model", "gram", (F.col("mass") * F.col("uniform") + F.col("rest")).alias("p"))
+        else:
+            below = p.select("model", F.col("gram").alias("_end"), F.col("p").alias("_p"))
+            end = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+            p = own.withColumn("_end", end).join(below, ["model", "_end"]).select("model", "gram", (F.col("mass") * F.col("_p") + F.col("rest")).alias("p"))
+    return p
+
+
+def answers(made: DataFrame) -> DataFrame:
+    """chunk, gram, log_p: what the models of the other half say of each chunk's 4-grams."""
+    rows = spread(made)
+    ours = rows.select("model", "gram", "n").unionByName(rows.select(of_all(F.col("model")).alias("model"), "gram", "n"))
+    asked = ours.select(other(F.col("model")).alias("model"), "gram", F.lit(0).cast("long").alias("n"))
+    p = shared.settled(probabilities(shared.settled(ours.unionByName(asked).groupBy("model", "gram").agg(F.sum("n").alias("n")))))
+    every = p.where(F.col("model") >= 2 * ALL).select(F.col("model").alias("_all"), "gram", F.col("p").alias("_p"))
+    own = p.where(F.col("model") < 2 * ALL).withColumn("_all", of_all(F.col("model")))
+    both = own.join(every, ["_all", "gram"]).select("model", "gram", F.log((1 - ALL_SHARE) * F.col("p") + ALL_SHARE * F.col("_p")).alias("log_p"))
+    return rows.select("chunk", other(F.col("model")).alias("model"), "gram").join(both, ["model", "gram"]).select("chunk", "gram", "log_p")
+
+
+SCORED = "doc_id long, model int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols long, log_perplexity double"
+
+
+def scored(made: DataFrame, said: DataFrame) -> DataFrame:
+    """doc_id, model, the counts of the base rules, symbols, log_perplexity (null without words) of every document."""
+
+    def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        n = len(row["doc_ids"])
+        counts, numbers = shared.unpack(row["counts"], "<i8").reshape(n, -1), shared.unpack(row["numbers"], "<u4")
+        logs, size = np.full(n, np.nan), np.zeros(n, dtype=np.int64)
+        if len(numbers):
+            words = Words(zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n"))
+            grams, p = known.column("gram").to_numpy().view(np.uint64), known.column("log_p").to_numpy()
+            order = np.argsort(grams)
+            grams, p = grams[order], p[order]
+            of = lambda keys: p[np.searchsorted(grams, keys)]
+            inside = np.bincount(np.repeat(np.arange(len(words.own)), words.own), of(words.grams), minlength=len(words.own))
+            borders, where = np.unique(words.borders(numbers, counts[:, 0]), return_inverse=True)
+            one, two = border_grams(borders)
+            text = np.repeat(np.arange(n), counts[:, 0])
+            sums = np.bincount(text, inside[numbers] + (of(one) + of(two))[where], minlength=n)
+            size = np.bincount(text, words.length[numbers], minlength=n).astype(np.int64)
+            logs[size > 0] = -sums[size > 0] / size[size > 0]
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "model": pa.array([row["model"]] * n, pa.int32()), **{k: counts[:, i] for i, k in enumerate(names)}, "symbols": size, "log_perplexity": pa.array(logs, mask=np.isnan(logs))})
+
+    return made.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(run, SCORED)
+
+
+def measured(docs: DataFrame, most_languages: int = MOST_LANGUAGES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """What scored() gives, of every row of (doc_id, text, lang)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    large = [r["lang"] for r in named.groupBy("lang").count().where(F.col("count") >= min_docs).where("lang is not null").collect()]
-    grouped = named.withColumn("lang", F.when(F.col("lang").isin(large), F.col("lang")).otherwise(F.lit(OTHER)))
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    models, _ = build(grouped.withColumn("lang", F.concat("lang", half.cast("string"))), max_entries)
-    rows = measured(grouped.select("doc_id", F.concat("lang", (1 - half).cast("string")).alias("lang"), "text"), models)
-    rows = rows.withColumn("lang", F.expr("left(lang, length(lang) - 1)"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = shared.settled(rows.withColumn("base_failed", failed))
+    large = named.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(most_languages, MOST_LANGUAGES)).collect()
+    numbers = F.create_map(*(x for n, r in enumerate(large, 1) for x in (F.lit(r["lang"]), F.lit(n)))) if large else None
+    number = F.coalesce(F.try_element_at(numbers, F.col("lang")), F.lit(0)) if large else F.lit(0)
+    made = shared.settled(chunks(named.withColumn("model", (2 * number + F.pmod(F.xxhash64("text"), F.lit(2))).cast("int")), chunk_words))
+    return scored(made, answers(made))
+
+
+def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, few: float = FEW, most_languages: int = MOST_LANGUAGES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """doc_id, the base rules' counts and verdict, perplexity, its band, and kept, of every document."""
+    rows = measured(docs, most_languages, chunk_words).withColumn("lang", F.floor(F.col("model") / 2).cast("int"))
+    rows = shared.settled(rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
     sound = rows.where("not base_failed")
-    middles = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
-    spread = sound.join(F.broadcast(middles), "lang").groupBy("lang", "middle").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000).alias("spread"))
-    # languages have a row each, and min_docs documents, or share one
-    bands = spread.select("lang", (F.col("middle") - below * 1.4826 * F.col("spread")).alias("low"), (F.col("middle") + above * 1.4826 * F.col("spread")).alias("high"))
-    judged = rows.join(F.broadcast(bands), "lang", "left")
+    middles = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"), F.percentile_approx("symbols", 0.5, 10000).alias("typical"), F.count("*").alias("docs"))
+    # languages have a row each, MOST_LANGUAGES + 1 at most
+    longer = F.greatest(F.lit(1.0), F.sqrt(F.col("typical") / F.col("symbols")))
+    spread_ = sound.join(F.broadcast(middles), "lang").groupBy("lang", "middle", "typical", "docs").agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")) / longer, 0.5, 10000).alias("spread"))
+    every = Window.partitionBy(F.lit(0))  # a few languages' rows
+    spread_ = spread_.withColumn("common", F.sum(F.col("spread") * F.col("docs")).over(every) / F.sum("docs").over(every))
+    judged = rows.join(F.broadcast(spread_.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")
+    width = 1.4826 * (F.col("spread") + F.col("common") * few / F.col("docs")) * longer
+    judged = judged.withColumns({"low": F.col("middle") - below * width, "high": F.col("middle") + above * width})
     kept = ~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"))
