@@ -45,7 +45,9 @@ class Tokens:
     """Ids of texts as little-endian bytes, by a byte-level BPE tokenizer file.
 
     Its pre-tokenizer starts a new piece of text at every single space or newline between
-    non-blanks, so texts without other blanks are encoded word by word, and words are kept.
+    non-blanks, so texts without other blanks are encoded word by word, and words are kept. Added
+    tokens (such as an end mark written out) are found in the whole text first, so a text that holds one is
+    encoded at once.
     """
 
     def __init__(self, path: str | None = None):
@@ -54,7 +56,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Words(self.encode)
 
     def encode(self, text: str) -> bytes:
@@ -64,7 +66,7 @@ class Tokens:
         if not text:
             return b""
         words = text.replace("\n", " \n").split(" ")
-        if "" in words or OTHER_SPACE.search(text):
+        if "" in words or OTHER_SPACE.search(text) or any(t in text for t in self.added):
             return self.encode(text)
         if len(self.known) > CACHE:
             self.known.clear()
