@@ -6,10 +6,13 @@ them. Marginals come from forward-backward over the whole text, so a word that t
 takes its label from its neighbours, and code-switched texts get a label a word. A document's language
 is the one with the most marginal probability over its words, and its score is that share.
 
-The model is fitted on a bounded sample of labelled documents (`per_language` of each language, by a
-hash of the id): one half makes the lexicon, the other is cut into runs of words that are spliced with
+The model is fitted on a bounded sample of labelled documents (`per_language` of each of the
+`most_languages` largest languages, by a hash of the id): one half makes the lexicon, the other is cut into runs of words that are spliced with
 runs of other languages, which is what transitions are learned from. Everything else covers all rows.
 
+A word of over 40 letters is several links of the chain, so texts of scripts without blanks are read
+whole and in step with others.
+
 Texts that are null or hold no letter are `und` with score 0, as all are when nothing can be learned.
 Repeated rows are judged each; a null doc_id is neither held out nor learned from. Columns other than
 doc_id, text and lang are not read, and lang only of the rows that are learned from.
@@ -34,17 +37,41 @@ LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Documents of a language to learn from, and words of a training sequence and of its shortest run.
 PER_LANGUAGE, SEQUENCE, RUN = 300, 64, 8
+#: Languages that are learned (those with the most rows), so that what the driver gathers and the model are bounded.
+MOST_LANGUAGES = 256
 #: Words whose emissions a worker keeps, and steps of a segment in forward-backward.
 CACHE, SEGMENT = 500_000, 256
 #: Words whose features are looked up at once.
 BLOCK = 50_000
-LONGEST = 40
+#: Letters of a link of the chain, letters that it shares with the next one of the same word, and the sign of a cut.
+LONGEST, SHARED, CUT = 40, 2, "\n"
+#: Characters of texts that are worked through at once.
+AT_ONCE = 2_000_000
+
+
+def links(text: str) -> list[str]:
+    """The words of a text; one of over LONGEST letters (as of a script without blanks) as successive links of the chain.
+
+    Links of a word overlap by SHARED letters, so that none of its n-grams is lost; CUT, which no word holds, stands where one goes on.
+    """
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        letters = NOT_LETTERS.sub("", word).lower() if len(word) > LONGEST else ""
+        if len(letters) <= LONGEST:
+            out.append(word)
+            continue
+        for at in range(0, len(letters) - SHARED, LONGEST):
+            part = letters[at : at + LONGEST + SHARED]
+            out.append((CUT if at else "") + part + (CUT if at + len(part) < len(letters) else ""))
+    return out
 
 
 def core(word: str) -> str:
-    """A word's letters, lower-cased; of a very long one both ends."""
-    letters = NOT_LETTERS.sub("", word).lower()
-    return letters if len(letters) <= LONGEST else letters[: LONGEST // 2] + letters[-LONGEST // 2 :]
+    """A word's letters, lower-cased; a link of a longer word as it is."""
+    return word if CUT in word else NOT_LETTERS.sub("", word).lower()
 
 
 def features(letters: str, lexicon: dict[str, str]) -> list[str]:
@@ -197,7 +224,8 @@ class Model:
         if self.grams is None:
             self.grams = Grams(self.index, self.lexicon)
         parts = (self.grams.found(cores[i : i + BLOCK]) for i in range(0, len(cores), BLOCK))
-        return np.exp(np.concatenate([summed_flat(self.weights, flat, n) for flat, n in parts]))
+        sums = np.concatenate([summed_flat(self.weights, flat, n) for flat, n in parts])
+        return np.exp(sums - sums.max(axis=1, keepdims=True))
 
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Potentials of the words, and whether each has a letter."""
@@ -213,33 +241,43 @@ class Model:
         return self.kept[numbers >> 1], numbers & 1
 
     def label(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
-        """(word, language, probability) of the words of each text: its code switches."""
-        words = [t.split() for t in texts]
+        """(word, language, probability) of the words of each text: its code switches. A very long word comes link by link."""
+        words = [links(t) for t in texts]
         got = marginals(self.emissions([w for t in words for w in t])[0], np.array([len(t) for t in words], dtype=np.int64), self.moves)
         out, at = [], 0
         for t in words:
-            out.append([(w, self.languages[int(p.argmax())], float(p.max())) for w, p in zip(t, got[at : at + len(t)], strict=True)])
+            out.append([(w.strip(CUT), self.languages[int(p.argmax())], float(p.max())) for w, p in zip(t, got[at : at + len(t)], strict=True)])
             at += len(t)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
-        words = [(t or "").split() for t in texts]
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score (its share of the marginals) and certainty (the mean of each word's best marginal) of each text."""
+        names, scores, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        start = 0
+        while start < len(texts) and self.languages:
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= AT_ONCE):
+                size += len(texts[stop] or "")
+                stop += 1
+            self._predict(texts, range(start, stop), names, scores, sure)
+            start = stop
+        return names, scores, sure
+
+    def _predict(self, texts: list[str | None], at_once: range, names: list[str], scores: list[float], sure: list[float]) -> None:
+        words = [links(texts[i] or "") for i in at_once]
         flat = [w for t in words for w in t]
         lengths = np.array([len(t) for t in words], dtype=np.int64)
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not flat or not self.languages:
-            return names, scores
+        if not flat:
+            return
         potentials, letters = self.emissions(flat)
         got = marginals(potentials, lengths, self.moves) * letters[:, None]
         some = np.nonzero(lengths)[0]
         at = (np.cumsum(lengths) - lengths)[some]
-        sums, count = np.add.reduceat(got, at, axis=0), np.add.reduceat(letters, at)
-        for i, s, c in zip(some.tolist(), sums, count.tolist(), strict=True):
+        sums, count, best = np.add.reduceat(got, at, axis=0), np.add.reduceat(letters, at), np.add.reduceat(got.max(axis=1), at)
+        for i, s, c, b in zip(some.tolist(), sums, count.tolist(), best.tolist(), strict=True):
             if c:
-                best = int(s.argmax())
-                names[i], scores[i] = self.languages[best], min(1.0, float(s[best] / c))
-        return names, scores
+                k = int(s.argmax())
+                names[at_once[i]], scores[at_once[i]], sure[at_once[i]] = self.languages[k], min(1.0, float(s[k] / c)), min(1.0, b / c)
 
 
 def splice(runs_by_language: list[list[str]], rng: np.random.Generator, length: int = SEQUENCE) -> tuple[list[str], np.ndarray]:
@@ -274,8 +312,8 @@ def fit(texts_by_language: dict[str, list[str]], rounds: int = 40, rate: float =
     for i, lang in enumerate(languages):
         texts = texts_by_language[lang]
         for t in texts[::2]:
-            counts.update((i, c) for c in map(core, t.split()) if c)
-        runs.append([c for t in texts[1::2] or texts for c in map(core, t.split()) if c][:most_words])
+            counts.update((i, c) for c in map(core, links(t)) if c)
+        runs.append([c for t in texts[1::2] or texts for c in map(core, links(t)) if c][:most_words])
     # an entry says which language a word is typical of, and how surely
     by_word: dict[str, np.ndarray] = {}
     for (i, c), n in counts.items():
@@ -338,10 +376,11 @@ def summed_flat(weights: np.ndarray, flat: np.ndarray, per_word: np.ndarray) ->
     return out
 
 
-def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from the rows that `may_learn` admits and whose lang is not null."""
+def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model from the rows that `may_learn` admits and whose lang is not null: a sample of the languages with the most rows."""
     rows = docs.where(may_learn).where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
     if not sizes:
         return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(per_language / n))))
@@ -360,20 +399,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: shared.Batches) -> shared.Batches:
         for batch in batches:
             ids, texts = shared.columns(batch, "doc_id", "text")
-            names, scores = shipped.value.predict(texts)
+            names, scores, _ = shipped.value.predict(texts)
             yield shared.batch_of(doc_id=pa.array(ids, pa.int64()), lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()))
 
     return shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language with at least that score; all columns are kept."""
+    """The rows whose words have a language each with at least that certainty on average; all columns are kept.
+
+    A text in several languages is as certain as its words are; one without letters has none.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def certainty(texts):
         import pandas as pd
 
-        return pd.Series(shipped.value.predict([t if isinstance(t, str) else None for t in texts])[1])
+        return pd.Series(shipped.value.predict([t if isinstance(t, str) else None for t in texts])[2])
 
-    return docs.where(score("text") >= least)
+    return docs.where(certainty("text") >= least)
