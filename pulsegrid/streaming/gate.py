@@ -1,19 +1,23 @@
 """The anomaly gate: rolling median, M-of-N persistence, refractory period and re-arming.
 
-One step for a score at time t: smooth over the last scores; mark it abnormal at or above the
-threshold; count abnormal marks among the last n. A disarmed gate arms when the refractory time has
-passed and fewer than m marks are left; an armed one wakes at m marks, and disarms. The state is
-reported after the step.
+A score is smoothed over the last ones and is abnormal at or above the threshold. A step is high with m
+abnormal marks among the last n, else low. The gate is ready as long as it has not woken, and again once some low
+step lies `refractory` or more after the last wake. It wakes at a high step if it is ready before that step.
+
+So all that decides are three numbers: the last wake, the last low step, and the present one. Wakes are at
+first steps of runs of high ones, which is what the batch plan folds over; the rest are windows. A stream
+keeps those numbers and the tails of the scores and marks for each device.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 @dataclass(frozen=True)
 class Gate:
     threshold: float
-    smooth: int = 3
+    smooth: int = 1
     m: int = 3
     n: int = 5
     refractory: float = 30.0
@@ -35,36 +39,50 @@ class Gate:
         """The older setting: so many abnormal marks in a row."""
         return cls(threshold, m=debounce, n=debounce, **how)
 
+    def ready(self, last_wake, last_low):
+        """Whether a gate that woke and was low at those times (None or null: never) may wake again."""
+        if isinstance(last_wake, Column):
+            return last_wake.isNull() | F.coalesce(last_low >= last_wake + self.refractory, F.lit(False))
+        return last_wake is None or last_low is not None and last_low >= last_wake + self.refractory
 
-class Steps:
-    """The gate of one device, step by step; `memory` is what must be kept between batches."""
-
-    def __init__(self, gate: Gate, memory: tuple | None = None):
-        scores, marks, self.armed, self.last = memory or ((), (), True, None)
-        self.gate = gate
-        self.scores = deque(scores, maxlen=max(1, gate.smooth))
-        self.marks = deque(marks, maxlen=gate.n)
 
-    @property
-    def memory(self) -> tuple:
-        return list(self.scores), list(self.marks), self.armed, self.last
+class Memory(NamedTuple):
+    """What a device's gate must know of earlier steps."""
 
-    def step(self, t: float, score: float) -> dict:
-        g = self.gate
-        self.scores.append(score)
-        smoothed = float(pd.Series(self.scores).median())
-        self.marks.append(int(smoothed >= g.threshold))
-        count, wake = sum(self.marks), False
-        if not self.armed and t - self.last >= g.refractory and count < g.m:
-            self.armed = True
-        if self.armed and count >= g.m:
-            wake, self.armed, self.last = True, False, t
-        return {"t": t, "score": score, "smoothed": smoothed, "abnormal": bool(self.marks[-1]), "count": count, "state": "armed" if self.armed else "refractory", "wake": wake}
+    scores: tuple[float, ...] = ()
+    marks: tuple[int, ...] = ()
+    last_wake: float | None = None
+    last_low: float | None = None
 
 
 OUT = "device_id string, t double, score double, smoothed double, abnormal boolean, count int, state string, wake boolean"
 
 
+def steps(gate: Gate, memory: Memory, t: np.ndarray, score: np.ndarray) -> tuple[Memory, pd.DataFrame]:
+    """Decisions for a device's next scores, in order, and the memory after them."""
+    smooth = max(1, gate.smooth)
+    known = np.concatenate([memory.scores, score])
+    behind = np.concatenate([np.full(smooth - 1 - len(memory.scores), np.nan), known])
+    smoothed = np.nanmedian(np.lib.stride_tricks.sliding_window_view(behind, smooth), axis=1)
+    abnormal = (smoothed >= gate.threshold).astype(np.int64)
+    marks = np.concatenate([memory.marks, abnormal]).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(marks)])
+    ends = np.arange(len(memory.marks) + 1, len(marks) + 1)
+    count = sums[ends] - sums[np.maximum(ends - gate.n, 0)]
+    wake, ready = np.zeros(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
+    woke, low = memory.last_wake, memory.last_low
+    for i, (now, high) in enumerate(zip(t.tolist(), (count >= gate.m).tolist(), strict=True)):
+        if high:
+            wake[i] = gate.ready(woke, low)
+            woke = now if wake[i] else woke
+        else:
+            low = now
+        ready[i] = gate.ready(woke, low)
+    out = pd.DataFrame({"t": t, "score": score, "smoothed": smoothed, "abnormal": abnormal.astype(bool), "count": count, "state": np.where(ready, "armed", "refractory"), "wake": wake})
+    last = lambda x, k: tuple(x[max(0, len(x) - k) :].tolist())
+    return Memory(last(known, smooth - 1), last(marks, gate.n - 1), woke, low), out
+
+
 def marked(scores: DataFrame, gate: Gate) -> DataFrame:
     """smoothed, abnormal and count of scores (device_id, t, score), by windows only."""
     order = Window.partitionBy("device_id").orderBy("t")
@@ -75,72 +93,70 @@ def marked(scores: DataFrame, gate: Gate) -> DataFrame:
 
 
 def wakes(scores: DataFrame, gate: Gate) -> DataFrame:
-    """device_id, t of the wakes, in one batch: a fold over each device's ordered steps."""
-    steps = marked(scores, gate).groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("t", "count"))).alias("steps"))
-    start = F.struct(F.lit(True).alias("armed"), F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("wakes"))
+    """device_id, t of the wakes, in one batch.
 
-    def fold(acc, x):
-        armed = acc.armed | ((x.t - acc.last >= gate.refractory) & (x["count"] < gate.m))
-        wake = armed & (x["count"] >= gate.m)
-        return F.struct((armed & ~wake).alias("armed"), F.when(wake, x.t).otherwise(acc["last"]).alias("last"), F.when(wake, F.array_append(acc.wakes, x.t)).otherwise(acc.wakes).alias("wakes"))
+    Only the first step of a run of high ones can wake, and of what lies before it only the last low step's time
+    counts: those pairs are what is gathered for a device and folded.
+    """
+    order = Window.partitionBy("device_id").orderBy("t")
+    high = F.col("count") >= gate.m
+    turns = marked(scores, gate).withColumns({"_before": F.lag("t").over(order), "_was": F.coalesce(F.lag(high).over(order), F.lit(False))}).where(high & ~F.col("_was"))
+    held = turns.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col("_before").alias("low")))).alias("turns"))
+    nothing = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("found"))
 
-    return steps.select("device_id", F.explode(F.aggregate("steps", start, fold).wakes).alias("t"))
+    def fold(acc, turn):
+        wake = gate.ready(acc["last"], turn["low"])
+        return F.struct(F.when(wake, turn["t"]).otherwise(acc["last"]).alias("last"), F.when(wake, F.array_append(acc["found"], turn["t"])).otherwise(acc["found"]).alias("found"))
 
+    return held.select("device_id", F.explode(F.aggregate("turns", nothing, fold)["found"]).alias("t"))
 
-def gated(scores: DataFrame, gate: Gate, watermark: str | None = None) -> DataFrame:
-    """Decisions for a stream of scores (device_id, t, score), a device at a time, with state; of a batch, at once.
 
-    Rows of a device within a micro-batch are taken in the order of t; a row older than one that was
-    decided before is dropped. `watermark` bounds the state of streams that also have a column `ts`.
+def decided(scores: DataFrame, gate: Gate) -> DataFrame:
+    """All decisions of a batch, by windows over the marks and the wakes."""
+    order = Window.partitionBy("device_id").orderBy("t")
+    woke = wakes(scores, gate).withColumn("wake", F.lit(True))
+    rows = marked(scores, gate).join(woke, ["device_id", "t"], "left").withColumn("wake", F.coalesce("wake", F.lit(False)))
+    last_wake = F.max(F.when(F.col("wake"), F.col("t"))).over(order)
+    last_low = F.max(F.when(F.col("count") < gate.m, F.col("t"))).over(order)
+    state = F.when(gate.ready(last_wake, last_low), "armed").otherwise("refractory")
+    return rows.select("device_id", "t", "score", "smoothed", F.col("abnormal").cast("boolean").alias("abnormal"), F.col("count").cast("int").alias("count"), state.alias("state"), "wake")
+
+
+def gated(scores: DataFrame, gate: Gate, watermark: str | None = None, idle: float = 3600.0) -> DataFrame:
+    """Decisions for a stream of scores (device_id, t, score), a device at a time, with state; of a batch, by decided().
+
+    Rows of a device within a micro-batch are taken in the order of t; a row not later than one that was decided
+    before is dropped. With `watermark` the rows also have the event time `ts`, rows later than that are
+    dropped, and a device's state goes `idle` seconds after its latest event; it then starts anew. Without, state stays.
     """
+    if not scores.isStreaming:
+        return decided(scores, gate)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get if state.exists else None
-        latest = before[4] if before else None
-        steps = Steps(gate, tuple(before[:4]) if before else None)
+        latest, seen = (before[4], before[5]) if before else (None, 0)
         rows = pd.concat(list(frames)).sort_values("t")
         if latest is not None:
             rows = rows[rows["t"] > latest]
-        out = [steps.step(float(t), float(s)) for t, s in zip(rows["t"], rows["score"], strict=True)]
-        latest = float(rows["t"].max()) if len(rows) else latest
-        state.update((*steps.memory, latest))
-        if out:
-            yield pd.DataFrame(out).assign(device_id=key[0])[[c.split()[0] for c in OUT.split(", ")]]
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, rows = Steps(gate), pdf.sort_values("t")
-        return pd.DataFrame([steps.step(float(t), float(s)) for t, s in zip(rows["t"], rows["score"], strict=True)]).assign(device_id=pdf["device_id"].iloc[0])
+        memory = Memory(tuple(before[0]), tuple(before[1]), before[2], before[3]) if before else Memory()
+        if len(rows):
+            memory, out = steps(gate, memory, rows["t"].to_numpy(dtype=float), rows["score"].to_numpy(dtype=float))
+            latest = float(rows["t"].iloc[-1])
+            if watermark:
+                seen = max(seen, int(rows["ts"].max().timestamp() * 1000))
+            yield out.assign(device_id=key[0])[[c.split()[0] for c in OUT.split(", ")]]
+        state.update((list(memory.scores), list(memory.marks), memory.last_wake, memory.last_low, latest, seen))
+        if watermark:
+            state.setTimeoutTimestamp(max(seen + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
 
-    if not scores.isStreaming:
-        return scores.groupBy("device_id").applyInPandas(whole, OUT)
     rows = scores.withWatermark("ts", watermark) if watermark else scores
-    return rows.groupBy("device_id").applyInPandasWithState(run, OUT, "scores array<double>, marks array<int>, armed boolean, last double, latest double", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    return rows.groupBy("device_id").applyInPandasWithState(run, OUT, "scores array<double>, marks array<int>, last_wake double, last_low double, latest double, seen long", "append", timeout)
 
 
-def start(scores: DataFrame, gate: Gate, on_batch, checkpoint: str):
+def start(scores: DataFrame, gate: Gate, on_batch, checkpoint: str, **how):
     """Run the gate on a stream: on_batch(decisions, batch_id) gets each micro-batch's decisions."""
-    return gated(scores, gate).writeStream.outputMode("append").foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()
-
-
-class ContentGate:
-    """Passes the content of a reply that comes in pieces; nothing of a reply that calls a tool."""
-
-    def __init__(self, tool_actions: tuple[str, ...] = ()):
-        self.tools, self.text, self.sent, self.open, self.closed = tool_actions, "", 0, False, False
-
-    def push(self, piece: str) -> str:
-        self.text += piece
-        if self.closed:
-            return ""
-        if not self.open:
-            head, found, body = self.text.partition("Content:")
-            if not found:
-                return ""
-            if any(a in head for a in self.tools):
-                self.closed = True
-                return ""
-            if not body.lstrip():
-                return ""
-            self.open, self.sent = True, len(self.text) - len(body.lstrip())
-        out, self.sent = self.text[self.sent :], len(self.text)
-        return out
+    return gated(scores, gate, **how).writeStream.outputMode("append").foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()

@@ -1,23 +1,31 @@
 """Cases with known answers: the gate, windows, texts, metrics, sources and sinks."""
 
+import datetime as dt
 import json
 import math
 import time
 
+import numpy as np
 import pytest
 
 from pulsegrid import sources
 from pulsegrid.functions import arrays, text
 from pulsegrid.operators import dialogue, etl, evaluation, metrics, retrieval, signal
-from pulsegrid.streaming.gate import ContentGate, Gate, Steps, gated, start, wakes
+from pulsegrid.streaming import replies
+from pulsegrid.streaming.gate import Gate, Memory, gated, start, steps, wakes
 from pyspark.sql import functions as F
 
 SCORES = "device_id string, t double, score double"
 
 
-def at(gate, scores, dt=1.0):
-    steps = Steps(gate)
-    return [i for i, s in enumerate(scores) if steps.step(i * dt, s)["wake"]]
+def at(gate, scores, step=1.0):
+    whole = steps(gate, Memory(), np.arange(len(scores)) * step, np.array(scores, dtype=float))[1]
+    memory, parts = Memory(), []
+    for i, s in enumerate(scores):  # one at a time, with the memory kept between
+        memory, out = steps(gate, memory, np.array([i * step]), np.array([float(s)]))
+        parts.append(out)
+    assert whole.values.tolist() == [r for p in parts for r in p.values.tolist()]
+    return np.nonzero(whole["wake"])[0].tolist()
 
 
 GATES = [
@@ -31,16 +39,17 @@ GATES = [
 ]
 
 
-@pytest.mark.parametrize("gate, scores, dt, want", GATES)
-def test_gate_step_by_step(gate, scores, dt, want):
-    assert at(gate, scores, dt) == want
+@pytest.mark.parametrize("gate, scores, step, want", GATES)
+def test_gate_step_by_step(gate, scores, step, want):
+    assert at(gate, scores, step) == want
 
 
 def test_gate_in_batch_is_the_gate_in_steps(spark):
-    for gate, scores, dt, want in GATES:
-        rows = spark.createDataFrame([("d", i * dt, float(s)) for i, s in enumerate(scores)], SCORES)
-        assert sorted(r.t for r in wakes(rows, gate).collect()) == [i * dt for i in want]
-        assert sorted(r.t for r in gated(rows, gate).collect() if r.wake) == [i * dt for i in want]
+    for gate, scores, step, want in GATES:
+        rows = spark.createDataFrame([("d", i * step, float(s)) for i, s in enumerate(scores)], SCORES)
+        assert sorted(r.t for r in wakes(rows, gate).collect()) == [i * step for i in want]
+        got = sorted(gated(rows, gate).collect(), key=lambda r: r.t)
+        assert [tuple(r)[1:] for r in got] == [tuple(r) for r in steps(gate, Memory(), np.arange(len(scores)) * step, np.array(scores, dtype=float))[1].itertuples(index=False)]
 
 
 def test_gate_refuses_impossible_counts():
@@ -103,12 +112,71 @@ def test_replies(spark):
     assert got[1].action == "call" and got[1].tool_output == "{1}" and got[2].action is None
 
 
+REPLIES = [
+    ("Action: response\nThought: x\nContent:  hello there", "hello there"),
+    ("Action: call_measurement_tool\nThought: x\nContent: hidden", ""),
+    ("no tags", ""),
+    ("Thought: no call_measurement_tool needed\nContent: plain", "plain"),
+    ("Thought: the Content: field\nContent: hi", "hi"),
+    ("content: hi", "hi"),
+    ("Content: first\nAction: call_measurement_tool\nContent: more", "first\nAction: call_measurement_tool\nContent: more"),
+    ("  [action - call_morphology_tool]\nContent: x", ""),
+    ("Action: call_measurement_toolbox\nContent: x", "x"),
+    ("Action: response_fail\n[ CONTENT :\n\u00a0 \u3000two\nlines ", "two\nlines "),
+    ("Action: other\nAction: call_measurement_tool\nContent: kept", "kept"),
+    ("Content:", ""),
+    ("", ""),
+]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
-def test_content_gate_by_pieces(size):
-    said, called = "Action: response\nThought: x\nContent:  hello there", "Action: call_tool\nThought: x\nContent: hidden"
-    for whole, want in ((said, "hello there"), (called, ""), ("no tags", "")):
-        gate = ContentGate(("call_tool",))
-        assert "".join(gate.push(whole[i : i + size]) for i in range(0, len(whole), size)) == want
+def test_replies_shown_by_pieces(size):
+    for whole, want in REPLIES:
+        phase, held, out = replies.WAITING, "", ""
+        for i in range(0, len(whole), size):
+            phase, held, now = replies.step(phase, held, whole[i : i + size])
+            out += now
+        assert out == want, whole
+
+
+def test_replies_shown_in_batch(spark):
+    rows = [(n, i // 3, whole[i : i + 3]) for n, (whole, _) in enumerate(REPLIES) for i in range(0, len(whole), 3)]
+    made = replies.pieces_shown(spark.createDataFrame(rows, "reply_id long, nth int, piece string")).collect()
+    whole = spark.createDataFrame([*enumerate(w for w, _ in REPLIES), (99, None)], "n long, text string").select("n", replies.shown(F.col("text")).alias("s")).collect()
+    for n, (_, want) in enumerate(REPLIES):
+        assert "".join(r.shown for r in sorted(made, key=lambda r: r.nth) if r.reply_id == n) == want
+    assert {r.n: r.s for r in whole} == {**{n: want for n, (_, want) in enumerate(REPLIES)}, 99: ""}
+
+
+def run_stream(spark, tmp_path, batches, schema, build):
+    """Rows and the number of states after each micro-batch of a stream over files of the batches."""
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, states = [], []
+    run = build(stream).writeStream.outputMode("append").foreachBatch(lambda rows, _: seen.extend(rows.collect())).option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            run.processAllAvailable()
+            states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    finally:
+        run.stop()
+    return seen, states
+
+
+def test_gate_forgets_devices_that_went_silent(spark, tmp_path):
+    at_ = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    gate = Gate(1, m=1, n=1, refractory=1e9)
+    batches = [[("a", 0.0, 5.0, at_(0)), ("b", 0.0, 0.0, at_(0))], [("b", 7200.0, 0.0, at_(7200))], [("b", 7300.0, 0.0, at_(7300))], [("a", 7400.0, 5.0, at_(7400))]]
+    seen, states = run_stream(spark, tmp_path, batches, SCORES + ", ts timestamp", lambda s: gated(s, gate, "10 seconds", idle=60.0))
+    # a's state has gone, so a wakes again in spite of the refractory time; b's has gone and come anew as well
+    assert states[0] == 2 and states[-2] == 1 and [(r.device_id, r.t) for r in seen if r.wake] == [("a", 0.0), ("a", 7400.0)]
+
+
+def test_replies_shown_on_a_stream(spark, tmp_path):
+    batches = [[(1, 0, "Action: resp"), (2, 0, "Action: call_morph"), (1, 1, "onse\nCont")], [(1, 2, "ent: a"), (2, 1, "ology_tool\nContent: x")], [(1, 3, "b"), (2, 2, "y")]]
+    seen, _ = run_stream(spark, tmp_path, batches, "reply_id long, nth int, piece string", replies.pieces_shown)
+    assert [tuple(r) for r in seen] == [(1, 2, "a"), (1, 3, "b")]
 
 
 def records(spark):
