@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +41,38 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a checkpoint in the folder of spark.checkpoint.dir.
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, a local master (as in tests) gets a folder of this machine; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (named or _of_this_machine()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _of_this_machine() -> str:
+    made = tempfile.mkdtemp(prefix="pulsegrid-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
