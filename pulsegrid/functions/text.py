@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: CJK unified ideographs, the block that tokens are made of one and two characters of.
 CJK = "\\u4e00-\\u9fff"
+RUNS = re.compile("[a-z0-9]+|[\u4e00-\u9fff]+")
 
 
 def tokens(text: Column) -> Column:
@@ -23,6 +26,17 @@ def tokens(text: Column) -> Column:
     return F.concat(ascii_runs, F.flatten(F.transform(runs, grams)))
 
 
+def plain_tokens(text: str | None) -> list[str]:
+    """tokens() of a string, for where a row's tokens are counted in Python; their order is that of the text."""
+    out: list[str] = []
+    for run in RUNS.findall((text or "").lower()):
+        if run[0] < "\u4e00":
+            out.append(run)
+        else:
+            out += [*run, *map("".join, zip(run, run[1:], strict=False))]
+    return out
+
+
 def findings(value: Column) -> Column:
     """array<struct<code, prob>> of a list of CODE or CODE(prob): quoted items if there are any, else split ones.
 
@@ -55,13 +69,40 @@ def reply(text: Column) -> Column:
 
 
 def judge_score(text: Column, criterion: str) -> Column:
-    """The whole number after `criterion:` at the start of a line; null without one."""
-    return F.nullif(F.regexp_extract(text, rf"(?im)^{criterion}:\s*(\d+)", 1), F.lit("")).cast("int")
+    """The whole number after `criterion:` at the start of a line, in any case; null without one."""
+    return F.nullif(F.regexp_extract(text, rf"(?im)^{re.escape(criterion)}:\s*(\d+)", 1), F.lit("")).cast("int")
+
+
+def judge_reason(text: Column, criterion: str) -> Column:
+    """What follows `criterion Explanation:` on its line, trimmed; a fixed text without one."""
+    pattern = rf"(?im)^{re.escape(criterion)} Explanation:[^\S\n]*(.*)"
+    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise("No justification found.")
+
+
+def judgement(text: Column, criteria: list[str]) -> Column:
+    """struct<scores map, reasons map, average>: of the criteria that have a score; null where none has."""
+    found = F.filter(F.array(*(F.struct(F.lit(c).alias("c"), judge_score(text, c).alias("score"), judge_reason(text, c).alias("reason")) for c in criteria)), lambda x: x.score.isNotNull())
+    of = lambda name: F.map_from_entries(F.transform(found, lambda x: F.struct(x.c, x[name])))
+    total = F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x.score)
+    return F.when(F.size(found) > 0, F.struct(of("score").alias("scores"), of("reason").alias("reasons"), (total / F.size(found)).alias("average")))
 
 
 def unfenced(text: Column) -> Column:
     """The text without a Markdown fence around it."""
-    return F.trim(F.regexp_replace(text, r"^\s*```[A-Za-z]*\s*\n?|\n?```\s*$", ""))
+    return F.trim(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", ""))
+
+
+def fenced_json(text: Column, schema: str) -> Column:
+    """A JSON value that may stand in a Markdown fence; null where it can't be read."""
+    return F.from_json(unfenced(text), schema)
+
+
+def ui_classes(value: Column) -> Column:
+    """array<struct<label, prob>> of a quoted list of LABEL(prob) for display: narrower than findings(), labels hold no brackets and need a number."""
+    items = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit("'([^']*)'"), F.lit(1))
+    shape = r"^\s*([A-Za-z0-9_/+-]+)\s*\(([0-9.]+)\)"
+    good = F.filter(items, lambda x: x.rlike(shape))
+    return F.transform(good, lambda x: F.struct(F.regexp_extract(x, shape, 1).alias("label"), F.regexp_extract(x, shape, 2).cast("double").alias("prob")))
 
 
 def turn_text(action: Column, thought: Column, content: Column, tool_output: Column) -> Column:

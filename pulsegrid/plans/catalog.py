@@ -62,7 +62,7 @@ s AS (SELECT query_id, doc_id, any_value(lang) AS lang, any_value(source) AS sou
 
 @query(f"WITH {BM25}, r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, bm25, rank::INT AS rank FROM r WHERE rank <= 5")
 def bm25_topk(spark, d):
-    return retrieval.ranked(retrieval.bm25(records(spark, d), asked(spark, d)), "bm25", 5).select("query_id", "doc_id", r6("bm25").alias("bm25"), "rank")
+    return retrieval.ranked(retrieval.bm25(records(spark, d), asked(spark, d), k=5), "bm25", 5).select("query_id", "doc_id", r6("bm25").alias("bm25"), "rank")
 
 
 @query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s WHERE bm25 > 0 AND doc_id % 10 <> 0)
@@ -73,7 +73,7 @@ def bm25_ordinal_score(spark, d):
 
 @query(f"WITH {BM25}, r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s WHERE lang = 'en' AND lower(source) = 'src1' AND doc_id % 10 <> 0) SELECT query_id, doc_id, bm25, rank::INT AS rank FROM r WHERE rank <= 5")
 def bm25_metadata_filter(spark, d):
-    scored = retrieval.bm25(records(spark, d), asked(spark, d), retrieval.passes(society="SRC1", lang="en"))
+    scored = retrieval.bm25(records(spark, d), asked(spark, d), retrieval.passes(society="SRC1", lang="en"), k=5)
     return retrieval.ranked(scored, "bm25", 5).select("query_id", "doc_id", r6("bm25").alias("bm25"), "rank")
 
 
@@ -99,7 +99,7 @@ DENSE = "SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product
 @query(f"WITH s AS ({DENSE} WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, similarity, rank::INT AS rank FROM r WHERE rank <= 5")
 def dense_topk(spark, d):
     v = vectors(spark, d)
-    near = retrieval.dense(v, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 50)
+    near = retrieval.dense(v, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 5)
     return retrieval.ranked(near, "similarity", 5).select("query_id", "doc_id", r6("similarity").alias("similarity"), "rank")
 
 
@@ -113,8 +113,7 @@ def hybrid_rrf(spark, d):
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    passages = [tuple(r) for r in asked(spark, d).collect()]
-    return retrieval.containing(table(spark, d, "documents"), passages)
+    return retrieval.containing(table(spark, d, "documents"), asked(spark, d))
 
 
 GOLD = f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s), top AS (SELECT * FROM r WHERE rank <= 5),
@@ -125,7 +124,7 @@ m AS (SELECT item_id AS query_id, coalesce(found / wanted, 0) AS recall, coalesc
 
 @query(f"{GOLD} SELECT query_id, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, hit FROM m")
 def retrieval_metrics(spark, d):
-    hits = retrieval.ranked(retrieval.bm25(records(spark, d), asked(spark, d)), "bm25", 5)
+    hits = retrieval.ranked(retrieval.bm25(records(spark, d), asked(spark, d), k=5), "bm25", 5)
     return retrieval.metrics(hits, gold(spark, d), asked(spark, d)).select("query_id", *(r6(c).alias(c) for c in ("recall", "rr", "ndcg")), "hit")
 
 
@@ -147,8 +146,8 @@ def temporal_metrics(spark, d):
     rows, questions = records(spark, d), asked(spark, d)
     right = gold(spark, d)
     stale = right.where("doc_id % 10 = 0")
-    current = retrieval.ranked(retrieval.bm25(rows, questions, retrieval.passes()), "bm25", 5)
-    every = retrieval.resolved(rows, retrieval.ranked(retrieval.bm25(rows, questions), "bm25", 10))
+    current = retrieval.ranked(retrieval.bm25(rows, questions, retrieval.passes(), 5), "bm25", 5)
+    every = retrieval.resolved(rows, retrieval.ranked(retrieval.bm25(rows, questions, k=10), "bm25", 10))
     served = current.join(right, ["query_id", "doc_id"]).groupBy("query_id").agg(F.lit(1).alias("served"))
     shown = current.join(stale, ["query_id", "doc_id"]).groupBy("query_id").agg(F.lit(1).alias("shown"))
     noted = every.join(stale, ["query_id", "doc_id"]).groupBy("query_id").agg((F.count("*") == F.count("note_id")).cast("int").alias("forward_ok"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,38 @@ RECORD = (
 CHANNELS = ("V6", "I", "II", "V1", "V2", "V3", "V4", "V5")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where the session names none, a local master (as in tests) gets a folder of this machine; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (named or _of_this_machine()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _of_this_machine() -> str:
+    made = tempfile.mkdtemp(prefix="pulsegrid-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,11 +80,10 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_version(spark: SparkSession, path: str) -> str:
-    """corpus_version of a manifest; "unknown" where it can't be read."""
-    try:
-        row = spark.read.option("multiLine", True).json(path).select("corpus_version").first()
-    except Exception:
+    """corpus_version of a manifest; "unknown" where there is no file or it doesn't say."""
+    if not exists(spark, path):
         return "unknown"
+    row = spark.read.schema("corpus_version string").option("multiLine", True).json(path).first()
     return row[0] if row and row[0] else "unknown"
 
 
@@ -72,7 +108,9 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Model responses of a .jsonl file or a .json array."""
+    """Model responses of a .jsonl file or a .json array; no rows where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
 
 
@@ -93,10 +131,13 @@ def checksum(rows: DataFrame, *columns: str) -> DataFrame:
     return sums.select("count", F.sha2(F.concat_ws(",", *(F.col(f"p{i}").cast("string") for i in range(5))), 256).alias("sha256"))
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """records, and vectors where the manifest has them."""
-    dense = spark.read.json(f"{path}/manifest").select("dense").first()[0]
-    return spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/embeddings") if dense else None
+def read_index(spark: SparkSession, path: str, dense: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """records, and vectors where they are wanted, the manifest has them and they are there; else a search is BM25's alone."""
+    rows = spark.read.parquet(f"{path}/records")
+    if not dense or not exists(spark, f"{path}/embeddings"):
+        return rows, None
+    has = not exists(spark, f"{path}/manifest") or spark.read.json(f"{path}/manifest").select("dense").first()[0]
+    return rows, spark.read.parquet(f"{path}/embeddings") if has else None
 
 
 def unit(vector: Column) -> Column:
@@ -130,3 +171,8 @@ def write_report(rows: DataFrame, path: str) -> None:
 def append_lines(rows: DataFrame, path: str) -> None:
     """JSON lines added to those that are there, so that a run can be resumed by anti-join."""
     rows.write.mode("append").json(path)
+
+
+def log_calls(calls: DataFrame, path: str) -> None:
+    """Tool calls (tool_call_id, name, args, content) with the time of logging, added to those that are there."""
+    append_lines(calls.select("tool_call_id", "name", "args", "content", F.current_timestamp().alias("timestamp")), path)
