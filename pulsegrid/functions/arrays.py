@@ -89,3 +89,10 @@ def lead_subset(leads: Column, wanted: list[str | int]) -> Column:
     names = [x.lower() for x in LEADS]
     keep = [names.index(w.strip().lower()) if isinstance(w, str) else w for w in wanted]
     return F.transform(leads, lambda x, i: F.when(i.isin(keep), x).otherwise(F.transform(x, lambda _: F.lit(0.0))))
+
+
+def loaded(leads: Column, length: int, wanted: list[str | int] | None = None) -> Column:
+    """Leads as a model reads them: broken samples are zero, leads that are not wanted are silent, all are of one length."""
+    clean = F.transform(leads, cleaned)
+    kept = clean if wanted is None else lead_subset(clean, wanted)
+    return F.transform(kept, lambda x: padded(x, length))

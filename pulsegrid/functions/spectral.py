@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def power(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and the periodogram of a signal without its mean."""
-    return np.fft.rfftfreq(len(x), 1 / fs), np.abs(np.fft.rfft(x - x.mean())) ** 2
+    """Frequencies and the one-sided periodogram of a signal without its mean: all but the ends stand for two."""
+    p = np.abs(np.fft.rfft(x - x.mean())) ** 2
+    p[1 : -1 if len(x) % 2 == 0 else None] *= 2
+    return np.fft.rfftfreq(len(x), 1 / fs), p
 
 
 def snr(x: np.ndarray, fs: float, low: float = 2.0, high: float = 40.0) -> float | None:
@@ -32,6 +34,13 @@ def share(x: np.ndarray, fs: float, low: float, high: float) -> float:
     return float(p[(f >= low) & (f < high)].sum() / p.sum()) if p.sum() > 0 else 0.0
 
 
+def low_pass_taps(up: int, down: int) -> np.ndarray:
+    """The windowed sinc of resampled(), for coprime up and down."""
+    half = 10 * max(up, down)
+    taps = np.sinc(np.arange(-half, half + 1) / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    return taps * (up / taps.sum())
+
+
 def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
     """Polyphase resampling by up / down with a windowed-sinc low-pass."""
     g = gcd(up, down)
@@ -39,9 +48,7 @@ def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
     if up == down or not len(x):
         return x
     half = 10 * max(up, down)
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
+    taps = low_pass_taps(up, down)
     stuffed = np.zeros(len(x) * up)
     stuffed[::up] = x
     return np.convolve(stuffed, taps)[half : half + len(stuffed)][::down][: -(-len(x) * up // down)]

@@ -30,6 +30,14 @@ def categorised(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"category": category, "user_query": asked}).where("role = 'assistant'")
 
 
+def by_previous_action(turns: DataFrame) -> DataFrame:
+    """Answers (gt_action `response`) of turns (sample_id, pos, gt_action, gt_tool_output) with a category by the turn before; what is no tool's is direct, and has no tool output."""
+    before, output = F.lag("gt_action").over(by_pos()), F.lag("gt_tool_output").over(by_pos())
+    category = F.when(before == CLASSIFICATION, "post_classification").when(before == MEASUREMENT, "post_measurement").otherwise("direct_response")
+    rows = turns.withColumns({"category": category, "_output": output}).where("gt_action = 'response'")
+    return rows.withColumn("tool_output", F.when(F.col("category") != "direct_response", F.col("_output"))).drop("_output")
+
+
 def aligned(truth: DataFrame, made: DataFrame) -> DataFrame:
     """Turns of two versions of a dialogue, joined by ordinal; a side that is longer stays, with nulls beside it."""
     nth = lambda df, p: df.select("sample_id", F.row_number().over(by_pos()).alias("turn_index"), F.col("action").alias(f"{p}_action"), F.col("content").alias(f"{p}_content"))
@@ -73,3 +81,8 @@ def stratified(ids: DataFrame, stratum: str, id_: str, most: int, seed: int = 42
 def pending(keys: DataFrame, done: DataFrame, on: list[str], again: Column | None = None) -> DataFrame:
     """Keys that are not done; those whose result satisfies `again` are done over."""
     return keys.join(done if again is None else done.where(~again), on, "left_anti")
+
+
+def unjudged(keys: DataFrame, judged: DataFrame, on: list[str], answer: str) -> DataFrame:
+    """Keys that still have to be judged: those without a judgement, and those whose kept one is an empty answer, which does not count."""
+    return pending(keys, judged, on, F.coalesce(F.trim(answer), F.lit("")) == "")

@@ -42,9 +42,31 @@ def first_match(rows: DataFrame, lookup: DataFrame, key: str, order: str, value:
     return rows.join(first, key, "left").withColumn(value, F.coalesce(value, F.lit(missing)))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """line: the relative path and its count, by tab, in the order of paths (path, n)."""
-    return files.orderBy("path").select(F.concat_ws("\t", "path", F.col("n").cast("string")).alias("line"))
+def manifest(files: DataFrame, root: str) -> DataFrame:
+    """place, line: the root at place 0, then relative path and count, by tab, in the order of paths (path, n).
+
+    Places come from ranges of the path, so no task sorts all. A path that is not below the root stays as it is.
+    """
+    below = root.rstrip("/") + "/"
+    relative = F.when(F.startswith("path", F.lit(below)), F.substr("path", F.lit(len(below) + 1))).otherwise(F.col("path"))
+    rows = files.select(relative.alias("path"), "n").repartitionByRange("path").select("*", F.spark_partition_id().alias("_part"))
+    inside = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    lines = inside.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_nth")).alias("place"), F.concat_ws("\t", "path", F.col("n").cast("string")).alias("line"))
+    return files.sparkSession.createDataFrame([(0, root)], "place long, line string").unionByName(lines)
+
+
+def preprocessed(recordings: DataFrame, patients: DataFrame, leads: list[int], fs: int | None = None) -> DataFrame:
+    """recordings (recording_id, fs, leads array<array<double>>) with their patient and the chosen leads only.
+
+    A recording goes if its id is not known (patients: recording_id, patient_id), its rate is not the one asked for, or a sample of any lead is null or NaN.
+    """
+    broken = F.exists("leads", lambda lead: F.exists(lead, lambda x: x.isNull() | F.isnan(x)))
+    kept = recordings.where(~broken) if fs is None else recordings.where((F.col("fs") == fs) & ~broken)
+    chosen = F.array(*(F.get("leads", F.lit(i)) for i in leads))
+    known = patients.groupBy("recording_id").agg(F.min("patient_id").alias("patient_id"))
+    return kept.join(known, "recording_id").withColumn("leads", chosen)
 
 
 def shortest_queue(workers: DataFrame, group: str | None = None) -> DataFrame:

@@ -110,11 +110,49 @@ def masked_error(passes: Column, mask: Column) -> Column:
 
 
 def truth_text(codes: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """recording_id, text: `code (description) [likelihood p%]` of each described code, likeliest first, by comma."""
-    rows = codes.select("recording_id", F.explode(literal_map(F.col("scp_codes"))).alias("code", "likelihood")).join(descriptions, "code")
-    line = F.format_string("%s (%s) [likelihood %.0f%%]", "code", "description", "likelihood")
-    held = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("likelihood")).alias("p"), "code", line.alias("line")))).alias("_l"))
-    return held.select("recording_id", F.array_join(F.transform("_l", lambda x: x.line), ", ").alias("text"))
+    """recording_id, text: `code (description) [likelihood p%]` of each code in its order, by semicolon; the code stands for a missing description, and a likelihood of 0 or none is not told."""
+    rows = codes.select("recording_id", F.posexplode(F.map_entries(literal_map(F.col("scp_codes")))).alias("place", "e")).select("recording_id", "place", F.col("e.key").alias("code"), F.col("e.value").alias("likelihood")).join(descriptions, "code", "left")
+    named = F.format_string("%s (%s)", "code", F.coalesce("description", "code"))
+    line = F.when(F.col("likelihood") > 0, F.concat(named, F.format_string(" [likelihood %.0f%%]", "likelihood"))).otherwise(named)
+    held = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("_l"))
+    return held.select("recording_id", F.array_join(F.transform("_l", lambda x: x.line), "; ").alias("text"))
+
+
+#: Fixed: columns of global measurements with the label and unit of each; of those with one label the first that has a number counts.
+MEASUREMENTS = (
+    ("HR__Global", "Heart rate", "bpm"), ("HR_Ventr_Global", "Heart rate", "bpm"), ("PR_Int_Global", "PR interval", "ms"), ("QRS_Dur_Global", "QRS duration", "ms"),
+    ("QT_Int_Global", "QT interval", "ms"), ("QT_IntBazett_Global", "QTc (Bazett)", "ms"), ("QT_IntCorr_Global", "QTc (Bazett)", "ms"),
+)
+
+
+def measurement_text(measured: DataFrame) -> DataFrame:
+    """ecg_id, text: `label: value unit` of each label that has a number (one decimal), by semicolon; rows without any are left out."""
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    parts = []
+    for label in dict.fromkeys(m[1] for m in MEASUREMENTS):
+        unit = next(m[2] for m in MEASUREMENTS if m[1] == label)
+        value = F.coalesce(*(number(c) for c, named, _ in MEASUREMENTS if named == label))
+        parts.append(F.when(value.isNotNull(), F.format_string(f"{label}: %.1f {unit}", value)))
+    text = F.array_join(F.array_compact(F.array(*parts)), "; ")
+    return measured.select(F.col("ecg_id").try_cast("double").cast("long").alias("ecg_id"), text.alias("text")).where("ecg_id is not null and text <> ''")
+
+
+def with_gold(items: DataFrame, records: DataFrame, key: str = "gold_id") -> DataFrame:
+    """items with the record that each names; an id that no record has is an error, not a lost row."""
+    known = records.withColumn("_known", F.lit(True))
+    joined = items.join(known, items[key] == known["doc_id"], "left")
+    wrong = F.raise_error(F.concat(F.lit("no record has the id "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.withColumn("_known", F.when(F.col("_known").isNull(), wrong.cast("boolean")).otherwise(F.col("_known"))).where("_known").drop("_known")
+
+
+def of_selected(responses: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The responses whose id was selected, once each however often it was."""
+    return responses.join(ids.select(key), key, "left_semi")
+
+
+def counts(rows: DataFrame, *groups: str) -> DataFrame:
+    """How many records a topic, type or the like has; null is one of its own."""
+    return rows.groupBy(*groups).agg(F.count("*").alias("n"))
 
 
 def reassembled(actions: Column, replies: Column, tools: list[str], category: Column) -> Column:

@@ -33,12 +33,12 @@ def relative_score(pairs: DataFrame) -> DataFrame:
 
 
 def answer_delta(judged: DataFrame) -> DataFrame:
-    """Means of 0/1 judgements without and with retrieval (missing: 0), their differences, what was fixed and what regressed."""
+    """Means of 0/1 judgements without and with retrieval (missing: 0), the difference of the rounded means, what was fixed and what regressed."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     before, after = zero("norag_correct"), zero("rag_correct")
     mean = lambda c: F.round(F.avg(c), 4)
     return judged.agg(
-        mean(before).alias("norag"), mean(after).alias("rag"), F.round(F.avg(after) - F.avg(before), 4).alias("delta"),
+        mean(before).alias("norag"), mean(after).alias("rag"), F.round(mean(after) - mean(before), 4).alias("delta"),
         F.sum(((before == 0) & (after == 1)).cast("int")).alias("fixed"), F.sum(((before == 1) & (after == 0)).cast("int")).alias("regressed"), F.count("*").alias("n"),
     )
 

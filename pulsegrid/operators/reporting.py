@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +42,29 @@ def tool_prompts(tools: DataFrame, wanted: list[str]) -> DataFrame:
     return tools.join(F.broadcast(order), "name").agg(in_order(lines, "place", "\n").alias("text"))  # as few as are wanted
 
 
+def section_or_name(sections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """section, text for each wanted `section`: its text, or the name itself where there is none of it."""
+    first = sections.groupBy("section").agg(F.min("text").alias("text"))
+    return wanted.join(first, "section", "left").select("section", F.coalesce("text", "section").alias("text"))
+
+
+def filled_in(template: str, **fields: Column) -> Column:
+    """A text with `{name}` replaced by each field; a null or blank one is N/A."""
+    parts = re.split(r"\{(\w+)\}", template)
+    known = lambda c: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit("N/A"))
+    return F.concat(*(known(fields[x]) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+#: What a judge is asked: the question and both answers, and a score with a reason for each criterion.
+JUDGE = "Compare the answer with the reference.\nQuestion: {question}\nTool output: {tool_output}\nReference: {reference}\nAnswer: {answer}\n{criteria}"
+
+
+def judge_prompt(criteria: list[str], **fields: Column) -> Column:
+    """The prompt of a judge, whose reply text.judgement() reads."""
+    asked = "\n".join(f"{c}: [score]\n{c} Explanation: [justification]" for c in criteria)
+    return filled_in(JUDGE, criteria=F.lit(asked), **fields)
+
+
 def context(hits: DataFrame, template: str = "- %s (%s %s, class %s, level %s, %s)") -> DataFrame:
     """query_id, context: the hits' text, society, version, class, LOE and citation, a line each by rank."""
     line = F.format_string(template, *(F.coalesce(F.col(c), F.lit("")) for c in ("text", "society", "version", "class", "LOE", "citation")))

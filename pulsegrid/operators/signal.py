@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,33 +53,56 @@ def t_polarity(t: Column) -> Column:
 
 
 def r_s_ratio(r: Column, s: Column) -> Column:
-    return F.when(F.abs(s) > 1e-9, F.round(r / F.abs(s), 2))
+    return F.when(F.abs(s) > 1e-6, F.round(r / F.abs(s), 2))
 
 
-def morphology(recordings: DataFrame, beats: DataFrame) -> DataFrame:
-    """recording_id, lead, beats, r, s, st, t: medians over beats, against the 40 ms before R onset.
+def median(items: Column) -> Column:
+    """The median of an array's numbers, NaN and null dropped; null with none."""
+    known = F.array_sort(F.filter(items, lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = F.size(known)
+    return F.when(n > 0, (F.get(known, F.floor((n - 1) / 2).cast("int")) + F.get(known, F.floor(n / 2).cast("int"))) / 2)
 
-    recordings: recording_id, lead, fs, samples; beats: recording_id, r_onset, r_offset, t_peak. One
-    recording's lead and its beats are one task's at most; leads without a usable beat have nulls.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        x, fs, found = np.asarray(row["samples"], dtype=float), float(row["fs"]), []
-        for on, off, peak in zip(pdf["r_onset"], pdf["r_offset"], pdf["t_peak"], strict=True):
-            if not (np.isfinite(on) and np.isfinite(off)) or on < 1 or off <= on or off >= len(x):
-                continue
-            on, off, ms = int(on), int(off), fs / 1000
-            base = np.median(x[max(0, int(on - 40 * ms)) : on])
-            st = x[max(0, int(off + 50 * ms)) : int(off + 70 * ms) + 1]
-            late = x[int(off + 80 * ms) : int(off + 400 * ms)]
-            t = x[int(peak)] - base if np.isfinite(peak) and 0 <= peak < len(x) else (late - base)[np.abs(late - base).argmax()] if len(late) else np.nan
-            found.append((x[on : off + 1].max() - base, x[on : off + 1].min() - base, np.median(st) - base if len(st) else np.nan, t))
-        m = np.nanmedian(np.array(found), axis=0) if found else [np.nan] * 4
-        return pd.DataFrame({"recording_id": [row["recording_id"]], "lead": [row["lead"]], "beats": [len(found)], "r": [m[0]], "s": [m[1]], "st": [m[2]], "t": [m[3]]})
-
-    joined = recordings.join(beats.select("recording_id", "r_onset", "r_offset", "t_peak"), "recording_id")
-    return joined.groupBy("recording_id", "lead").applyInPandas(run, "recording_id long, lead string, beats long, r double, s double, st double, t double")
+def timing_lead(beats: DataFrame, least: int = 4) -> DataFrame:
+    """recording_id, timing: lead II if it has so many peaks, else I; recordings with neither are left out."""
+    place = F.when(F.col("lead") == "II", 0).when(F.col("lead") == "I", 1)
+    return beats.where("r_peak is not null").groupBy("recording_id", "lead").agg(F.count("*").alias("n")).where((F.col("n") >= least) & place.isNotNull()).groupBy("recording_id").agg(F.min_by("lead", place).alias("timing"))
+
+
+def _beat(x: Column, beat: Column, fs: float) -> Column:
+    """struct<r, s, st, t> of one beat: amplitudes over the 40 ms before R onset; null where a window is not in the signal."""
+    base_w, smooth, n = round(0.04 * fs), max(1, round(0.01 * fs)), F.size(x)
+    on, off, at = beat["on"], beat["off"], beat["off"] + round(0.06 * fs)
+    base = F.when(on > 0, median(F.slice(x, F.greatest(on - base_w, F.lit(0)) + 1, F.least(on, F.lit(base_w))))).otherwise(F.get(x, on))
+    qrs = F.slice(x, on + 1, off - on + 1)
+    around = lambda p: median(F.slice(x, F.greatest(p - smooth, F.lit(0)) + 1, p + smooth + 1 - F.greatest(p - smooth, F.lit(0))))
+    st = F.when((at - smooth >= 0) & (at + smooth < n), around(at) - base)
+    first, end = off + round(0.08 * fs), F.least(n, off + round(0.40 * fs))
+    late = F.transform(F.slice(x, first + 1, F.greatest(end - first, F.lit(0))), lambda v, i: F.struct(F.abs(v - base).alias("size"), (-i).alias("i"), (v - base).alias("v")))
+    peak = beat["peak"]
+    t = F.when(peak.isNull(), F.array_max(late)["v"]).when((peak >= 0) & (peak < n), around(peak) - base)
+    return F.struct((F.array_max(qrs) - base).alias("r"), (F.array_min(qrs) - base).alias("s"), st.alias("st"), t.alias("t"))
+
+
+def morphology(recordings: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
+    """recording_id, lead, status, timing, beats, r, s, st, t, t_polarity, rs_ratio, axis: medians over a recording's beats.
+
+    recordings: recording_id, lead, samples; beats: recording_id, lead, beat_idx, r_peak, r_onset, r_offset, t_peak (samples from 0). Beats are
+    those of the timing lead: without one the status is `failed`, without a usable beat `partially_completed`. A beat is usable with its R onset and offset
+    in the signal. A recording's beats are an array beside each lead, so no signal is repeated for its beats.
+    """
+    whole = lambda c: F.when(~F.isnan(c), F.col(c)).cast("int")
+    beat = F.struct("beat_idx", whole("r_onset").alias("on"), whole("r_offset").alias("off"), whole("t_peak").alias("peak"))
+    held = beats.join(timing_lead(beats).withColumnRenamed("timing", "lead"), ["recording_id", "lead"]).groupBy("recording_id", F.col("lead").alias("timing")).agg(F.array_sort(F.collect_list(beat)).alias("held"))
+    rows = recordings.join(held, "recording_id", "left").withColumn("x", F.col("samples").cast("array<double>"))
+    usable = F.filter("held", lambda b: b["on"].isNotNull() & b["off"].isNotNull() & (b["off"] > b["on"]) & (b["on"] >= 0) & (b["off"] < F.size("x")))
+    rows = rows.withColumn("held", F.coalesce(usable, F.array().cast("array<struct<beat_idx:int,on:int,off:int,peak:int>>"))).withColumn("found", F.transform("held", lambda b: _beat(F.col("x"), b, fs)))
+    three = lambda c: F.round(median(F.transform("found", c)), 3)
+    rows = rows.withColumns({"r": three(lambda f: f["r"]), "s": three(lambda f: f["s"]), "st": three(lambda f: f["st"]), "t": three(lambda f: f["t"]), "net": three(lambda f: f["r"] + f["s"])})
+    net = lambda lead: F.max(F.when(F.col("lead") == lead, F.col("net")))
+    axis = rows.groupBy("recording_id").agg(net("I").alias("one"), net("aVF").alias("avf")).select("recording_id", arrays.axis_degrees(F.col("one"), F.col("avf")).alias("axis"))
+    status = F.when(F.col("timing").isNull(), "failed").when(F.size("held") == 0, "partially_completed").otherwise("completed")
+    return rows.join(axis, "recording_id").select("recording_id", "lead", status.alias("status"), "timing", F.size("held").alias("beats"), "r", "s", "st", "t", t_polarity(F.col("t")).alias("t_polarity"), r_s_ratio(F.col("r"), F.col("s")).alias("rs_ratio"), "axis")
 
 
 #: Fixed: leads that are measured, and the electrodes that each depends on.

@@ -1,3 +1,3 @@
 """Named queries over the driver's tables, with their SQL."""
 
-from . import catalog, evaluation, reporting  # noqa: F401
+from . import catalog, evaluation, files, recordings, reporting  # noqa: F401

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, spectral, text
+from ..functions import arrays, text
 from ..operators import dialogue, etl, metrics, retrieval, signal
 from ..sources import table
 from ..streaming import gate
@@ -35,6 +35,14 @@ def r6(c):
     return F.round(c, 6)
 
 
+def whole_numbers(items):
+    """An array of doubles as text, in millionths, so that order and every value count."""
+    return F.array_join(F.transform(items, lambda v: F.round(v * 1000000).cast("long").cast("string")), ",")
+
+
+MILLIONTHS = "lambda v: round(v * 1000000)::BIGINT::VARCHAR), ',')"
+
+
 # --- retrieval ---------------------------------------------------------------------------------
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +281,7 @@ def relative_score(spark, d):
     return metrics.relative_score(rows)
 
 
-@query("SELECT round(avg(toxic), 4) AS norag, round(avg(quality), 4) AS rag, round(avg(quality) - avg(toxic), 4) AS delta, sum((toxic = 0 AND quality = 1)::INT)::BIGINT AS fixed, sum((toxic = 1 AND quality = 0)::INT)::BIGINT AS regressed, count(*) AS n FROM labels")
+@query("SELECT round(avg(toxic), 4) AS norag, round(avg(quality), 4) AS rag, round(round(avg(quality), 4) - round(avg(toxic), 4), 4) AS delta, sum((toxic = 0 AND quality = 1)::INT)::BIGINT AS fixed, sum((toxic = 1 AND quality = 0)::INT)::BIGINT AS regressed, count(*) AS n FROM labels")
 def answer_delta(spark, d):
     return metrics.answer_delta(table(spark, d, "labels").select(F.col("toxic").alias("norag_correct"), F.col("quality").alias("rag_correct")))
 
@@ -325,11 +333,6 @@ def gate_wakes(spark, d):
     return gate.wakes(device_scores(spark, d), GATE)
 
 
-@query()
-def gate_stateful(spark, d):
-    return gate.gated(device_scores(spark, d), GATE)
-
-
 # --- signals -----------------------------------------------------------------------------------
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
@@ -339,41 +342,46 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 X = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
 
 
-@query(f"{X}, w AS (SELECT vec_id, x, unnest(range(0, 49, 4)) AS start FROM e) SELECT vec_id, start::INT AS start, round(list_sum(x[start + 1 : start + 16]), 6) AS total FROM w")
+@query(f"{X}, w AS (SELECT vec_id, x, unnest(range(0, 49, 4)) AS start FROM e) SELECT vec_id, start::INT AS start, array_to_string(list_transform(x[start + 1 : start + 16], {MILLIONTHS} AS samples FROM w")
 def slide_windows(spark, d):
     cut = signals(spark, d).select("vec_id", F.explode(arrays.windows(F.col("x"), 16, 4)).alias("w"))
-    return cut.select("vec_id", "w.start", r6(F.aggregate("w.samples", F.lit(0.0), lambda a, y: a + y)).alias("total"))
+    return cut.select("vec_id", "w.start", whole_numbers(F.col("w.samples")).alias("samples"))
 
 
-@query(f"{X} SELECT vec_id, round(2 * (x[1] - list_min(x)) / (list_max(x) - list_min(x) + 1e-8) - 1, 6) AS first, round(2 * (x[64] - list_min(x)) / (list_max(x) - list_min(x) + 1e-8) - 1, 6) AS last FROM e")
+@query(f"{X} SELECT vec_id, array_to_string(list_transform(list_transform(x, lambda y: 2 * (y - list_min(x)) / (list_max(x) - list_min(x) + 1e-8) - 1), {MILLIONTHS} AS samples FROM e")
 def minmax_normalise(spark, d):
-    return signals(spark, d).select("vec_id", arrays.min_max(F.col("x")).alias("y")).select("vec_id", r6(F.element_at("y", 1)).alias("first"), r6(F.element_at("y", -1)).alias("last"))
+    return signals(spark, d).select("vec_id", whole_numbers(arrays.min_max(F.col("x"))).alias("samples"))
 
 
-@query(f"{X} SELECT vec_id, len(list_filter(x, lambda v, i: (i - 1) % 6 = 0)) AS n, round(list_sum(list_transform(list_filter(x, lambda v, i: (i - 1) % 6 = 0), lambda v: round(v, 4))), 4) AS total FROM e")
+@query(f"{X} SELECT vec_id, array_to_string(list_transform(list_transform(list_filter(x, lambda v, i: (i - 1) % 6 = 0), lambda v: round(v, 4)), {MILLIONTHS} AS samples FROM e")
 def downsample(spark, d):
-    rows = signals(spark, d).select("vec_id", arrays.downsampled(F.col("x"), 10).alias("y"))
-    return rows.select("vec_id", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return signals(spark, d).select("vec_id", whole_numbers(arrays.downsampled(F.col("x"), 10)).alias("samples"))
 
 
-@query(f"{X} SELECT vec_id, 100::BIGINT AS n, round(list_sum(x), 6) AS total, 40::BIGINT AS m, round(list_sum(x[1:40]), 6) AS trimmed FROM e")
+@query(f"{X} SELECT vec_id, array_to_string(list_transform(list_concat(x, list_transform(range(0, 36), lambda i: 0.0)), {MILLIONTHS} AS padded, array_to_string(list_transform(x[1:40], {MILLIONTHS} AS trimmed FROM e")
 def pad_trim(spark, d):
-    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
-    rows = signals(spark, d).select("vec_id", arrays.padded(F.col("x"), 100).alias("y"), arrays.padded(F.col("x"), 40).alias("z"))
-    return rows.select("vec_id", F.size("y").cast("long").alias("n"), total(F.col("y")).alias("total"), F.size("z").cast("long").alias("m"), total(F.col("z")).alias("trimmed"))
+    return signals(spark, d).select("vec_id", whole_numbers(arrays.padded(F.col("x"), 100)).alias("padded"), whole_numbers(arrays.padded(F.col("x"), 40)).alias("trimmed"))
+
 
+LEAD = "array_to_string(list_transform(list_transform(range(1, 33), lambda i: {}), {} AS \"{}\""
 
-@query(f"{X} SELECT vec_id, round(list_sum(x[33:64]) - list_sum(x[1:32]), 6) AS \"III\", round(-(list_sum(x)) / 2, 6) AS \"aVR\", round(list_sum(x[1:32]) - list_sum(x[33:64]) / 2, 6) AS \"aVL\", round(list_sum(x[33:64]) - list_sum(x[1:32]) / 2, 6) AS \"aVF\" FROM e")
+
+@query(f"{X} SELECT vec_id, " + ", ".join(LEAD.format(f, MILLIONTHS, n) for n, f in (("III", "x[32 + i] - x[i]"), ("aVR", "-(x[i] + x[32 + i]) / 2"), ("aVL", "x[i] - x[32 + i] / 2"), ("aVF", "x[32 + i] - x[i] / 2"))) + " FROM e")
 def lead_algebra(spark, d):
     leads = arrays.derived_leads(F.slice("x", 1, 32), F.slice("x", 33, 32))
-    return signals(spark, d).select("vec_id", *(r6(F.aggregate(c, F.lit(0.0), lambda a, v: a + v)).alias(k) for k, c in leads.items()))
+    return signals(spark, d).select("vec_id", *(whole_numbers(c).alias(k) for k, c in leads.items()))
+
 
+#: Signals with steps: what the first and the second lead of each vector are made of.
+STEPS = "SELECT vec_id, list_concat(x[1 : 20 + vec_id % 30], list_transform(range(0, 44 - vec_id % 30), lambda i: x[60])) AS y, list_transform(x, lambda v: CASE WHEN vec_id % 4 = 1 THEN round(v / 2) ELSE v END) AS z FROM e"
 
-@query("SELECT vec_id, vec_id % 3 = 0 AS flat, vec_id % 5 = 0 AS dead FROM embeddings")
+
+@query(f"{X}, y AS ({STEPS}) SELECT vec_id, list_bool_or(list_transform(range(0, 6), lambda i: list_min(y[i * 10 + 1 : i * 10 + 10]) = list_max(y[i * 10 + 1 : i * 10 + 10]))) AS flat, list_min(z) = list_max(z) AS dead FROM y")
 def flat_and_dead(spark, d):
-    tail = F.concat(F.slice("x", 1, 32), F.array_repeat(F.lit(0.5), 32))
-    rows = signals(spark, d).select("vec_id", F.when(F.col("vec_id") % 3 == 0, tail).otherwise(F.col("x")).alias("x"), F.when(F.col("vec_id") % 5 == 0, F.array_repeat(F.lit(1.0), 64)).otherwise(F.col("x")).alias("y"))
-    return rows.select("vec_id", arrays.flat_line(F.col("x"), 50).alias("flat"), arrays.dead(F.col("y")).alias("dead"))
+    at = (20 + F.col("vec_id") % 30).cast("int")
+    y = F.concat(F.slice(F.col("x"), F.lit(1), at), F.array_repeat(F.element_at("x", 60), (64 - at).cast("int")))
+    z = F.transform("x", lambda v: F.when(F.col("vec_id") % 4 == 1, F.round(v / 2)).otherwise(v))
+    return signals(spark, d).select("vec_id", arrays.flat_line(y, 50).alias("flat"), arrays.dead(z).alias("dead"))
 
 
 @query(f"{X}, a AS (SELECT vec_id, CASE WHEN abs(x[1]) >= 1e-6 OR abs(x[6]) >= 1e-6 THEN round(degrees(atan2(x[6], x[1]))) END AS axis FROM e) SELECT vec_id, axis, CASE WHEN axis IS NULL THEN 'undetermined' WHEN axis BETWEEN -30 AND 90 THEN 'normal' WHEN axis > 90 THEN 'right' WHEN axis BETWEEN -90 AND -30 THEN 'left' ELSE 'extreme' END AS class FROM a")
@@ -402,23 +410,13 @@ def rr_intervals(spark, d):
 @query(f"""WITH {BEATS}, m AS (SELECT recording_id, r, gap * 2 AS rr, (90 - v / 10 + 1) * 2 AS pr, CASE WHEN v / 2 > -20 THEN (v / 2 + 21) * 2 END AS qrs, (121 + v) * 2 / sqrt(gap * 2 / 1000) AS qtc FROM n),
 a AS (SELECT recording_id, quantile_cont(CASE WHEN rr BETWEEN 300 AND 2000 THEN rr END, 0.5) AS rr, quantile_cont(CASE WHEN pr BETWEEN 80 AND 400 THEN pr END, 0.5) AS pr, quantile_cont(CASE WHEN qrs BETWEEN 80 AND 240 THEN qrs END, 0.5) AS qrs, quantile_cont(CASE WHEN qtc BETWEEN 300 AND 600 THEN qtc END, 0.5) AS qtc, count(r) AS beats FROM m GROUP BY 1)
 SELECT recording_id, round(rr, 4) AS rr_ms, round(pr, 4) AS pr_ms, round(qrs, 4) AS qrs_ms, round(qtc, 4) AS qtc_ms, beats, round(60000 / rr, 1) AS heart_rate, CASE WHEN beats < 7 THEN 'partial' ELSE 'completed' END AS status,
-CASE WHEN rr IS NULL THEN 'Unable to determine' WHEN round(60000 / rr, 1) < 60 THEN 'Bradycardia' WHEN round(60000 / rr, 1) > 100 THEN 'Tachycardia' ELSE 'Normal' END AS rate FROM a""")
+CASE WHEN rr IS NULL THEN 'Unable to determine' WHEN round(60000 / rr, 1) < 60 THEN 'Bradycardia' WHEN round(60000 / rr, 1) > 100 THEN 'Tachycardia' ELSE 'Normal' END AS rate,
+CASE WHEN pr IS NULL THEN 'Unable to determine' WHEN round(pr, 4) < 120 THEN 'Short' WHEN round(pr, 4) > 200 THEN 'Prolonged' ELSE 'Normal' END AS pr, CASE WHEN qtc IS NULL THEN 'Unable to determine' WHEN round(qtc, 4) > 460 THEN 'Prolonged' ELSE 'Normal' END AS qtc,
+CASE WHEN qrs IS NULL THEN 'Unable to determine' WHEN round(qrs, 4) > 120 THEN 'Wide' WHEN round(qrs, 4) < 80 THEN 'Narrow' ELSE 'Normal' END AS qrs FROM a""")
 def interval_medians(spark, d):
     out = signal.intervals(beats(spark, d))
     reading = signal.interpretation(F.col("heart_rate"), F.col("pr_ms"), F.col("qtc_ms"), F.col("qrs_ms"))
-    return out.select("recording_id", *(F.round(f"{k}_ms", 4).alias(f"{k}_ms") for k in ("rr", "pr", "qrs", "qtc")), "beats", "heart_rate", "status", reading.rate.alias("rate"))
-
-
-@query()
-def spectral_quality(spark, d):
-    rows = signals(spark, d).withColumns({"snr": spectral.snr_udf(100.0)(F.col("x")), "drift": spectral.share_udf(100.0, 0.0, 2.0)(F.col("x")), "up": spectral.resample_udf(2, 1)(F.col("x")), "smooth": spectral.low_pass_udf(100.0, 20.0)(F.col("x"))})
-    return rows.select("vec_id", r6("snr").alias("snr"), r6("drift").alias("drift"), F.size("up").alias("n_up"), r6(F.array_max("smooth")).alias("peak"))
-
-
-@query()
-def signal_quality(spark, d):
-    leads = signals(spark, d).select((F.floor(F.col("vec_id") / 12)).alias("recording_id"), F.element_at(F.array(*map(F.lit, arrays.LEADS)), (F.col("vec_id") % 12 + 1).cast("int")).alias("lead"), F.col("x").alias("samples"))
-    return signal.quality(leads, 100).withColumns({c: F.array_join(c, ",") for c in ("failures", "electrodes")})
+    return out.select("recording_id", *(F.round(f"{k}_ms", 4).alias(f"{k}_ms") for k in ("rr", "pr", "qrs", "qtc")), "beats", "heart_rate", "status", *(reading[k].alias(k) for k in ("rate", "pr", "qtc", "qrs")))
 
 
 # --- ETL ---------------------------------------------------------------------------------------

@@ -26,6 +26,15 @@ def wake_windows(decisions: DataFrame, windows: DataFrame, length: int) -> DataF
     return windows.join(woke, ["device_id", "t"]).select("device_id", F.format_string("wake_%d", F.round("t").cast("long")).alias("name"), full.alias("samples"))
 
 
+def dump_wakes(folder: str):
+    """For foreachBatch of wake_windows(): each batch in a folder of its own number, so that one that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
+
+
 def live_chunk(samples: Column, hop: int, fs: int, shown: int = 125) -> Column:
     """The newest `hop` samples at about `shown` a second."""
     newest = F.slice(samples, F.greatest(F.lit(1), F.size(samples) - hop + 1), hop)
@@ -57,6 +66,12 @@ class Hub:
             if not listener.full():
                 listener.put_nowait(event)
 
+    def ping(self) -> None:
+        """Tell listeners that are waiting that the hub is alive; it is no state, and a full listener needs none."""
+        for listener in self.listeners:
+            if listener.empty():
+                listener.put_nowait({"type": "ping"})
+
     def sink(self, batch: DataFrame, _: int) -> None:
         """For foreachBatch: events in the order of time, device and place."""
         for row in batch.orderBy("t", "device_id", "place").toLocalIterator():
