@@ -8,11 +8,15 @@ over a block of vectors at once; the best of a block are scored again exactly, o
 The cut is exact: a rough score is off by the residual's length times the query's at most (Cauchy-Schwarz),
 so whatever could still reach the block's k-th exact score is scored exactly as well.
 
-The codebooks are fitted on a bounded sample (`sample` vectors, by a hash of the id); every vector is
-coded and scanned. Queries are scanned in blocks of `query_block`, so what is broadcast is bounded.
+Before that, the vectors of a batch are grouped by their nearest coarse centroid: a group lies in a ball around its
+mean, so its inner products are bounded by the mean's and the ball's radius times the query's length, and
+a group that can't reach what the query has already is not scanned. That is exact as well: recall is 1.
+
+The codebooks and coarse centroids are fitted on a bounded sample (`sample` vectors, by a hash of the id); every
+vector is coded. Queries are sent in blocks of bounded bytes, one job each.
 
 Vectors that are null or zero, hold null or non-finite numbers, or are not of the most common length
-take no part. Ties go to the smaller id, also where identical vectors are very many. A query's own id
+take no part: an inner product needs equal lengths. An id that is repeated with several vectors is a query by the least of them. Ties go to the smaller id, also where identical vectors are very many. A query's own id
 is no candidate, however often it is repeated; repeated query ids are searched once. An empty table
 gives no rows. Columns other than vec_id and embedding are not read.
 """
@@ -29,9 +33,13 @@ from . import shared
 
 PIECE, CENTROIDS = 2, 16
 SAMPLE = 10_000
-QUERY_BLOCK = 4096
-#: Vectors scanned at once, and candidates of a block that are scored exactly before the bound is known.
+#: Bytes of the queries that are sent at once.
+QUERY_BYTES = 64 << 20
+#: Vectors scanned at once, and candidates that are scored exactly before a bound is known.
 SCAN, RERANK = 16_384, 200
+#: Coarse centroids, whose groups of a batch are left out of a query's scan by a bound of their own.
+COARSE = 64
+FOUND = "query_id long, rank int, vec_id long, score double"
 #: Cosine above which inner products matter; sets the weight of the parallel residual.
 THRESHOLD = 0.2
 
@@ -53,6 +61,12 @@ class Quantiser:
         self.pieces = x.shape[1]
         self.kappa = max(0.0, (self.dims - 1) * threshold**2 / (1 - threshold**2) - 1) if self.dims > 1 else 0.0
         rng = np.random.default_rng(3)
+        whole = x.reshape(n, -1)
+        self.coarse = whole[rng.choice(n, min(n, COARSE), replace=False)]
+        for _ in range(rounds):
+            nearest = self.grouped(whole)
+            for c in np.unique(nearest):
+                self.coarse[c] = whole[nearest == c].mean(axis=0)
         self.books = np.ascontiguousarray(x[rng.choice(n, CENTROIDS, replace=n < CENTROIDS)].transpose(1, 0, 2))
         for turn in range(rounds):
             # plain k-means first, then the score-aware loss
@@ -76,6 +90,10 @@ class Quantiser:
         width = -(-x.shape[1] // (2 * PIECE)) * 2 * PIECE
         return np.pad(x, ((0, 0), (0, width - x.shape[1]))).reshape(len(x), -1, PIECE)
 
+    def grouped(self, x: np.ndarray) -> np.ndarray:
+        """The nearest coarse centroid of each vector (as wide as the pieces together)."""
+        return ((self.coarse**2).sum(axis=1) - 2 * x @ self.coarse.T).argmin(axis=1)
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.stack([((x[:, p, None] - self.books[p]) ** 2).sum(axis=2).argmin(axis=1) for p in range(self.pieces)], axis=1)
 
@@ -99,15 +117,15 @@ class Quantiser:
                 inner[:, p] = chosen
         return codes
 
-    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Four-bit codes, two to a byte, and by how much a rough score can be off for a query of length one."""
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Four-bit codes, two to a byte, by how much a rough score can be off for a query of length one, and coarse groups."""
         x = self.cut(x)
         codes = self.code(x).astype(np.uint8)
         decoded = self.decoded(codes)
         length = lambda v: np.sqrt(np.einsum("npk,npk->n", v, v))
         # the residual, and the rounding of tables and sums in single precision
         off = length(x - decoded) + (self.pieces + 4) * 2.0**-23 * (length(x) + length(decoded))
-        return codes[:, ::2] | codes[:, 1::2] << 4, off
+        return codes[:, ::2] | codes[:, 1::2] << 4, off, self.grouped(x.reshape(len(x), -1))
 
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of a code, the query's inner product with what the byte stands for."""
@@ -124,16 +142,16 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantiser | None:
 
 
 def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """vec_id, embedding, code, off (the bound of a rough score's error) of every usable vector."""
+    """vec_id, embedding, code, off (the bound of a rough score's error), coarse (its group) of every usable vector."""
     shipped = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: shared.Batches) -> shared.Batches:
         for batch in batches:
             if batch.num_rows:
-                codes, off = shipped.value.packed(matrix(batch.column(1)))
-                yield shared.batch_of(vec_id=batch.column(0), embedding=batch.column(1), code=pa.array([c.tobytes() for c in codes], pa.binary()), off=pa.array(off))
+                codes, off, coarse = shipped.value.packed(matrix(batch.column(1)))
+                yield shared.batch_of(vec_id=batch.column(0), embedding=batch.column(1), code=pa.array([c.tobytes() for c in codes], pa.binary()), off=pa.array(off), coarse=pa.array(coarse, pa.int32()))
 
-    return shared.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, embedding array<double>, code binary, off double")
+    return shared.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, embedding array<double>, code binary, off double, coarse int")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -149,72 +167,110 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.nonzero(scores == border)[0][: k - len(above)]])
 
 
-def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int = 20, rerank: int = RERANK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query among all other vectors."""
+class Search:
+    """The k nearest so far of a block of queries, and what of a batch of vectors can change them."""
+
+    def __init__(self, quantiser: Quantiser, names: np.ndarray, asked: np.ndarray, k: int, rerank: int):
+        self.quantiser, self.names, self.asked, self.k, self.rerank = quantiser, names, asked, k, max(k, rerank)
+        self.far = np.sqrt(np.einsum("nk,nk->n", asked, asked))
+        self.near: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(names)
+
+    def scan(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, off: np.ndarray, coarse: np.ndarray) -> None:
+        """Take a batch of vectors in. Those of a coarse group lie in a ball, which bounds their inner products at once."""
+        order = np.lexsort((ids, coarse))
+        ids, vectors, off, coarse = ids[order], vectors[order], off[order], coarse[order]
+        codes = [np.ascontiguousarray(c).astype(np.intp) for c in codes[order].T]
+        starts = np.nonzero(np.concatenate([[True], coarse[1:] != coarse[:-1]]))[0]
+        ends = np.concatenate([starts[1:], [len(ids)]])
+        centres = np.add.reduceat(vectors, starts, axis=0) / (ends - starts)[:, None]
+        apart = vectors - np.repeat(centres, ends - starts, axis=0)
+        radius = np.sqrt(np.maximum.reduceat(np.einsum("nk,nk->n", apart, apart), starts))
+        longest = np.sqrt(np.einsum("nk,nk->n", vectors, vectors).max())
+        slack = 1e-9 * longest  # for the products' rounding
+        for at in range(0, len(self.names), 1024):
+            reach = self.asked[at : at + 1024] @ centres.T + self.far[at : at + 1024, None] * (radius + slack)
+            for i, could in enumerate(reach):
+                self._one(at + i, could, starts, ends, ids, vectors, codes, off, slack)
+
+    def _one(self, i: int, could: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: list[np.ndarray], off: np.ndarray, slack: float) -> None:
+        name, query, far = self.names[i], self.asked[i], self.far[i]
+        known_ids, known = self.near[i]
+        least = known[-1] if len(known) >= self.k else -np.inf
+        groups = np.nonzero(could >= least)[0]
+        if not len(groups):
+            return
+        rows = np.arange(len(ids)) if len(groups) == len(starts) else np.concatenate([np.arange(starts[g], ends[g]) for g in groups])
+        tables = self.quantiser.tables(query)
+        rough = tables[0][codes[0][rows]]
+        for t, c in zip(tables[1:], codes[1:], strict=True):
+            rough += t[c[rows]]
+        rough[ids[rows] == name] = -np.inf
+        exactly = lambda at: (vectors[at] * query).sum(axis=1)
+        if least == -np.inf:
+            # the k-th of some is one that all others have to reach
+            first = rows[best(rough, self.rerank)]
+            exact = exactly(first[ids[first] != name])
+            if len(exact) >= self.k:
+                least = np.partition(exact, len(exact) - self.k)[len(exact) - self.k]
+        # whatever its bound lets reach the k-th, to within the products' rounding
+        at = rows[rough + far * (off[rows] + slack) >= least] if least > -np.inf else rows
+        if least > -np.inf:
+            at = at[vectors[at] @ query >= least - far * slack]
+        at = at[ids[at] != name]
+        merged, scores = np.concatenate([known_ids, ids[at]]), np.concatenate([known, exactly(at)])
+        order = np.lexsort((merged, -scores))[: self.k]
+        self.near[i] = merged[order], scores[order]
+
+    def found(self) -> pa.RecordBatch:
+        sizes = [len(s) for _, s in self.near]
+        return shared.batch_of(query_id=pa.array(np.repeat(self.names, sizes)), vec_id=pa.array(np.concatenate([x for x, _ in self.near])), score=pa.array(np.concatenate([s for _, s in self.near])))
+
+
+def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int = 20, rerank: int = RERANK, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query among all other vectors.
+
+    A block of queries of bounded bytes is scanned against all vectors in one job; a task answers with its k best of each.
+    """
     spark = indexed.sparkSession
-    queries = indexed.where(is_query).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    blocks = max(1, -(-queries.count() // query_block))
+    queries = indexed.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks = max(1, -(-queries.count() * 8 * quantiser.dims // query_bytes))
     asked = shared.settled(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
     found = None
     for block in range(blocks):
         rows = sorted(asked.where(F.col("block") == block).select("vec_id", "embedding").collect())
-        shipped = spark.sparkContext.broadcast((quantiser, [r["vec_id"] for r in rows], [np.array(r["embedding"]) for r in rows]))
+        if not rows:
+            continue
+        shipped = spark.sparkContext.broadcast((quantiser, np.array([r["vec_id"] for r in rows], dtype=np.int64), np.array([r["embedding"] for r in rows])))
 
         def run(batches: shared.Batches, shipped=shipped) -> shared.Batches:
-            quantiser_, names, asked_ = shipped.value
-            tables = [quantiser_.tables(q) for q in asked_]
+            quantiser_, names, vectors = shipped.value
+            state = Search(quantiser_, names, vectors, k, rerank)
 
-            def scan(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-                whole = pa.Table.from_batches(parts).combine_chunks().sort_by("vec_id")
+            def scan(parts: list[pa.RecordBatch]) -> None:
+                whole = pa.Table.from_batches(parts).combine_chunks()
                 ids = whole.column("vec_id").to_numpy()
-                vectors = matrix(whole.column("embedding").combine_chunks())
-                off = whole.column("off").to_numpy()
                 codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                codes = [np.ascontiguousarray(c).astype(np.intp) for c in codes.T]
-                longest = np.sqrt(np.einsum("nk,nk->n", vectors, vectors).max())
-                out = []
-                for name, query, table in zip(names, asked_, tables, strict=True):
-                    rough = table[0][codes[0]]
-                    for t, c in zip(table[1:], codes[1:], strict=True):
-                        rough += t[c]
-                    own = slice(*np.searchsorted(ids, [name, name + 1]))
-                    rough[own] = -np.inf
-                    at = best(rough, max(rerank, k))
-                    at = at[ids[at] != name]
-                    exact = (vectors[at] * query).sum(axis=1)
-                    if len(at) >= k:
-                        # whatever its bound lets reach the k-th of these, to within the products' rounding
-                        least = np.partition(exact, len(exact) - k)[len(exact) - k]
-                        far = np.sqrt(query @ query)
-                        at = np.nonzero(rough + far * off >= least)[0]
-                        products = vectors @ query if 4 * len(at) > len(ids) else vectors[at] @ query
-                        at = at[(products[at] if len(products) == len(ids) else products) >= least - 1e-9 * far * longest]
-                        at = at[ids[at] != name]
-                        exact = (vectors[at] * query).sum(axis=1)
-                    at, exact = (x[np.lexsort((ids[at], -exact))[:k]] for x in (at, exact))
-                    out.append((np.full(len(at), name), ids[at], exact))
-                q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                return shared.batch_of(query_id=pa.array(q, pa.int64()), vec_id=pa.array(v, pa.int64()), score=pa.array(s, pa.float64()))
+                state.scan(ids, matrix(whole.column("embedding").combine_chunks()), codes, whole.column("off").to_numpy(), whole.column("coarse").to_numpy())
 
             held: list[pa.RecordBatch] = []
             for batch in batches:
                 if batch.num_rows:
                     held.append(batch)
                 if sum(b.num_rows for b in held) >= SCAN:
-                    if names:
-                        yield scan(held)
+                    scan(held)
                     held = []
-            if held and names:
-                yield scan(held)
+            if held:
+                scan(held)
+            yield state.found()
 
-        near = shared.map_arrow(indexed.select("vec_id", "embedding", "code", "off"), run, "query_id long, vec_id long, score double")
+        near = shared.map_arrow(indexed.select("vec_id", "embedding", "code", "off", "coarse"), run, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:  # the driver holds one block of queries at a time
             near = shared.settled(near)
             shipped.destroy()
         found = near if found is None else found.unionByName(near)
-    return found
+    return indexed.sparkSession.createDataFrame([], FOUND) if found is None else found
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE) -> DataFrame:
@@ -222,5 +278,5 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     sound = usable(vectors)
     quantiser = fit(sound, sample)
     if quantiser is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return vectors.sparkSession.createDataFrame([], FOUND)
     return search(shared.settled(index(sound, quantiser)), quantiser, is_query, k)
