@@ -28,6 +28,8 @@ from . import shared
 
 #: Tokens after which a chunk is closed.
 CHUNK_TOKENS = 4_000_000
+#: Bytes of text whose tokens are a range of the hash, on average.
+RANGE_BYTES = 16_000_000
 #: Words of a chunk that are numbered by frequency.
 FREQUENT = 1 << 15
 #: One in so many training documents is held out for the mixture weights.
@@ -242,8 +244,8 @@ def em(table: np.ndarray, buckets: int, rounds: int = 60) -> np.ndarray:
 
 def score(docs: DataFrame, mod: int = 7, held: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    # ranges of about a million tokens, by the table's row count
-    bits = min(32, max(4, int(np.ceil(np.log2(max(1, docs.count() / 1000))))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(32, max(4, int(np.ceil(np.log2(max(1, size / RANGE_BYTES))))))
     counted = shared.settled(_chunks(docs, mod, held, bits, chunk_tokens).groupBy("key").applyInArrow(_counted, DDL))
     about = counted.agg(F.sum(F.when((F.col("key") >= 0) & (F.col("key") < 1 << 40), F.col("n"))), F.sum(F.when(F.col("key") < 0, F.col("n"))), F.sum(F.when((F.col("key") < 0) & F.col("em"), F.col("n")))).first()
     v, n, n_em = (int(x or 0) for x in about)
