@@ -20,6 +20,7 @@ import os
 import random
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -151,14 +152,40 @@ def refit(kept: Grouping, displaced: list[int], sizes: list[int], capacity: int)
     return rooms.bins()
 
 
+def exchanged(kept: Grouping, displaced: list[int], sizes: list[int]) -> tuple[Grouping, list[int]]:
+    """Kept bins that are fuller, and displaced pieces that are smaller: in each bin the piece goes for a displaced one that fills it best."""
+    out = sorted(displaced, key=sizes.__getitem__)
+    known = [sizes[i] for i in out]
+    bins = []
+    for members, room in kept:
+        best = 0, 0, 0
+        if room:
+            for place, item in enumerate(members):
+                size = sizes[item]
+                at = bisect_right(known, size + room) - 1
+                if at >= 0 and known[at] - size > best[0]:
+                    best = known[at] - size, place, at
+        gain, place, at = best
+        if gain:
+            item = members[place]
+            members = [*members[:place], out[at], *members[place + 1 :]]
+            del out[at], known[at]
+            at = bisect_right(known, sizes[item])
+            out.insert(at, item)
+            known.insert(at, sizes[item])
+        bins.append((members, room - gain))
+    return bins, out
+
+
 def fitness(grouping: Grouping, capacity: int) -> tuple[int, int]:
     """Fewer bins first; then fuller ones, as the squares of what they hold (negative: less is better)."""
     return len(grouping), -sum((capacity - room) ** 2 for _, room in grouping)
 
 
 def crossover(a: Grouping, b: Grouping, sizes: list[int], capacity: int, rng: random.Random) -> Grouping:
-    full = [g for g in b if g[1] * 200 <= capacity]
-    injected = rng.sample(full, max(1, len(full) // 2)) if full else []
+    """The child of two: half of b's fullest bins whole, a's bins that hold none of their pieces, and the rest fitted in again."""
+    fullest = sorted(b, key=lambda g: g[1])[: max(2, len(b) // 2)]
+    injected = rng.sample(fullest, max(1, len(fullest) // 2))
     inside = {i for members, _ in injected for i in members}
     kept, displaced = list(injected), []
     for members, room in a:
@@ -166,13 +193,14 @@ def crossover(a: Grouping, b: Grouping, sizes: list[int], capacity: int, rng: ra
             kept.append((members, room))
         else:
             displaced += [i for i in members if i not in inside]
-    return refit(kept, displaced, sizes, capacity)
+    return refit(*exchanged(kept, displaced, sizes), sizes, capacity)
 
 
 def mutated(a: Grouping, sizes: list[int], capacity: int, rng: random.Random) -> Grouping:
+    """The worst bins, and some others, emptied and their pieces fitted in again."""
     order = sorted(range(len(a)), key=lambda i: a[i][1] + rng.random() * capacity / 50, reverse=True)
     emptied = set(order[: max(2, len(a) // 20)])
-    return refit([g for i, g in enumerate(a) if i not in emptied], [m for i in emptied for m in a[i][0]], sizes, capacity)
+    return refit(*exchanged([g for i, g in enumerate(a) if i not in emptied], [m for i in emptied for m in a[i][0]], sizes), sizes, capacity)
 
 
 def evolve(sizes: list[int], elites: list[Grouping], seed: int, capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> Grouping:
