@@ -31,6 +31,15 @@ SHARD_LIMIT = 4096
 LEAF = 64
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles' hashes, repeats included: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        # big-endian: the first unpacked bit is the highest
+        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The 64-bit SimHash of a text: a bit is 1 if it is set in over half the shingles' hashes."""
     words = shared.ascii_lower_words(text)
@@ -40,12 +49,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
     digest = xxhash.xxh64_digest
-    # big-endian digests: the first unpacked bit is the highest
-    hashes = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return of_hashes(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), dtype=">u8"))
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
