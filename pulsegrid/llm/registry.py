@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, crf, interpolation, kneser_ney, mixing, packing, rule_ensemble, secret_scan, shared, simhash, url_rules
+from . import anisotropic, crf, interpolation, kneser_ney, mixing, oracles, packing, rule_ensemble, secret_scan, shared, simhash, url_rules
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries by name; `pipeline` is corpus_pipeline.run."""
-    return {f.__name__: f for f in (pipeline, op1_language, op2_packing, op3_interpolation, op4_perplexity, op5_simhash, op6_nearest, op7_url_rules, op8_mixing, op9_quality, op10_secrets)}
+    """The queries by name; `pipeline` is corpus_pipeline.run. After them, what SQL can check of them."""
+    own = (pipeline, op1_language, op2_packing, op3_interpolation, op4_perplexity, op5_simhash, op6_nearest, op7_url_rules, op8_mixing, op9_quality, op10_secrets)
+    return {f.__name__: f for f in own} | oracles.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for what SQL can express in whole; the other queries are tested against brute force."""
-    return {}
+    """SQL for what SQL can express in whole; the operators' own queries are tested against brute force."""
+    return dict(oracles.SQL)

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +10,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import settled, shared_folder, table  # noqa: F401  what operators take from here
+
 #: Records in one Arrow batch: whole texts may be very long, so batches hold few of them.
 ARROW_RECORDS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of `sf_dir`, by Spark's own reader (any file system that Spark knows)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession, records: int = ARROW_RECORDS) -> None:
     """Bound the Arrow batches of this session, as a batch of whole texts must fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,32 +34,6 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where the session names none, a local master (as in tests) gets a folder of this machine; on a cluster that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return (named or _of_this_machine()).rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _of_this_machine() -> str:
-    made = tempfile.mkdtemp(prefix="pulsegrid-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
