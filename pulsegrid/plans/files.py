@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..sources import table
+from ..sources import binary, table
 from .catalog import query, r6, records, signals, vectors
 
 
@@ -106,3 +106,80 @@ def newest_file(spark, d):
     for part in (1, 0):
         table(spark, d, "supplier").where(f"s_suppkey % 2 = {part}").select("s_suppkey", F.round("s_acctbal", 2).alias("s_acctbal")).coalesce(1).write.mode("append").option("header", True).csv(path)
     return spark.read.schema("s_suppkey long, s_acctbal double").option("header", True).csv(sources.newest(spark, path))
+
+
+def folder_of(path: str) -> str:
+    """A local folder as a URI; others are."""
+    return path if "://" in path else f"file://{path}"
+
+
+def by_sample(rows, *keys):
+    """keys, lead, place, x (in millionths) of leads."""
+    spread = rows.select(*keys, F.posexplode("leads").alias("lead", "x"))
+    return spread.select(*keys, "lead", F.posexplode("x").alias("place", "x")).withColumn("x", F.round(F.col("x") * 1000000).cast("long"))
+
+
+LEADS = "SELECT vec_id, l::INT AS lead, p::INT AS place, x[l * 32 + p + 1] AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), (SELECT unnest(range(0, 2)) AS l), (SELECT unnest(range(0, 32)) AS p)"
+
+
+def two_leads(spark, d):
+    return signals(spark, d).where("vec_id % 25 = 0").select("vec_id", F.array(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("leads"))
+
+
+@query(f"SELECT 'HR' || vec_id || '.mat' AS file, lead, place, round(x * 1000000)::BIGINT AS x, 500.0 AS fs FROM ({LEADS}) WHERE vec_id % 25 = 0")
+def mat_files(spark, d):
+    path = folder_of(scratch(spark, "mat"))
+    rows = two_leads(spark, d).select(F.concat(F.lit("HR"), "vec_id", F.lit(".mat")).alias("name"), F.col("leads").alias("feats"), F.lit(500.0).alias("curr_sample_rate"), F.col("vec_id").cast("double").alias("patient_id"))
+    binary.write_files(binary.as_mat(rows), path)
+    back = binary.mat(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("arrays")["feats"]["values"].alias("v"), F.col("arrays")["curr_sample_rate"]["values"][0].alias("fs"))
+    return by_sample(back.select("file", "fs", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file", "fs")
+
+
+@query(f"SELECT 'r' || vec_id AS record, lead, place, 250.0 AS fs, CASE WHEN place <> 3 THEN round((round(x * 1000)::BIGINT - CASE WHEN lead = 0 THEN 12 ELSE -5 END) / CASE WHEN lead = 0 THEN 200.0 ELSE 1000.0 END * 1000000)::BIGINT END AS x FROM ({LEADS}) WHERE vec_id % 25 = 0")
+def wfdb_files(spark, d):
+    path = folder_of(scratch(spark, "wfdb"))
+
+    def record(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            names, contents = [], []
+            for vec_id, leads in zip(frame["vec_id"], frame["leads"], strict=True):
+                kind = "16" if vec_id % 2 else "212"
+                x = np.sign(lead := np.array([list(v) for v in leads])) * np.floor(np.abs(lead) * 1000 + 0.5)
+                x = x.astype(np.int64).T
+                x[3] = -32768 if kind == "16" else -2048
+                flat = x.ravel() & 0xFFF
+                low, high = flat[::2], flat[1::2]
+                data = x.astype("<i2").tobytes() if kind == "16" else np.stack([low & 0xFF, low >> 8 | high >> 8 << 4, high & 0xFF], axis=1).astype(np.uint8).tobytes()
+                names += [f"r{vec_id}.hea", f"r{vec_id}.dat"]
+                contents += [f"# a record\nr{vec_id} 2 250 32\nr{vec_id}.dat {kind} 200(12)/mV 16 0 0 0 0 I\nr{vec_id}.dat {kind} 1000/mV 16 -5 0 0 0 II\n".encode(), data]
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    binary.write_files(two_leads(spark, d).mapInPandas(record, "name string, content binary"), path)
+    back = binary.wfdb(spark, path).withColumn("leads", F.transform("leads", lambda x: F.transform(x, lambda v: F.when(~F.isnan(v), v))))
+    return by_sample(back, "record", "fs")
+
+
+@query(f"SELECT vec_id || '.npy' AS file, lead, place, round(x * 1000000)::BIGINT AS x FROM ({LEADS}) WHERE vec_id % 25 = 0")
+def npy_files(spark, d):
+    path = folder_of(scratch(spark, "npy"))
+
+    def array(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            contents = []
+            for leads in frame["leads"]:
+                out = io.BytesIO()
+                np.save(out, np.array([list(v) for v in leads]))
+                contents.append(out.getvalue())
+            yield pd.DataFrame({"name": frame["vec_id"].astype(str) + ".npy", "content": contents})
+
+    binary.write_files(two_leads(spark, d).mapInPandas(array, "name string, content binary"), path)
+    back = binary.npy(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("values").alias("v"))
+    return by_sample(back.select("file", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file")
