@@ -43,28 +43,43 @@ def answer_delta(judged: DataFrame) -> DataFrame:
     )
 
 
-def calibration(scores: DataFrame, target: float = 0.95) -> DataFrame:
-    """One row: the threshold (the target quantile of the normals, interpolated), percentiles, mean, population deviation."""
-    return scores.where("label = 0").agg(
-        F.round(F.percentile("score", F.lit(target)), 6).alias("threshold"),
-        *(F.round(F.percentile("score", F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 90, 95, 98, 99, 100)),
-        F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.count("*").alias("n"),
-    )
+def with_below(by_score: DataFrame) -> DataFrame:
+    """by_score (score, n, ...) with `below`: how many rows have a smaller score.
 
-
-def roc(scores: DataFrame, threshold: float) -> DataFrame:
-    """auc (by average ranks), sensitivity and specificity at the threshold, for (score, label).
-
-    Ranks come from counts of distinct scores, dealt by ranges of the score: a range's running count is
-    local, and only the ranges' totals are summed in one place.
+    Scores are dealt by ranges: a range's running count is local, and only the ranges' totals are summed in one place.
     """
-    by_score = scores.where("score is not null").groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     dealt = by_score.repartitionByRange("score").select("*", F.spark_partition_id().alias("part"))
     local = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.withColumn("below", F.coalesce(F.sum("n").over(local), F.lit(0)))
+    inside = dealt.withColumn("within", F.coalesce(F.sum("n").over(local), F.lit(0)))
     parts = dealt.groupBy("part").agg(F.sum("n").alias("total"))
     before = parts.alias("a").join(F.broadcast(parts.alias("b")), F.col("a.part") > F.col("b.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("before"))
-    rank = inside.join(before, "part").withColumn("rank", F.col("before") + F.col("below") + (F.col("n") + 1) / 2)
+    return inside.join(before, "part").withColumn("below", F.col("before") + F.col("within")).drop("part", "within", "before")
+
+
+def quantiles(scores: DataFrame, score: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact quantiles, interpolated between neighbours, by name; null without scores. No task holds all scores."""
+    by_score = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"))
+    size = by_score.agg(F.sum("n").alias("size"))  # one row
+    rows = with_below(by_score).join(F.broadcast(size))
+    at = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("score")))
+    ends = {name: (F.floor(F.lit(p) * (F.col("size") - 1)), F.ceil(F.lit(p) * (F.col("size") - 1))) for name, p in shares.items()}
+    found = rows.agg(F.max("size").alias("size"), *(at(place).alias(f"{name}_{side}") for name, both in ends.items() for side, place in zip(("low", "high"), both, strict=True)))
+    part = lambda p: F.lit(p) * (F.col("size") - 1) - F.floor(F.lit(p) * (F.col("size") - 1))
+    return found.select(*((F.col(f"{name}_low") + part(p) * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name) for name, p in shares.items()))
+
+
+def calibration(scores: DataFrame, target: float = 0.95) -> DataFrame:
+    """One row: the threshold (the target quantile of the normals, interpolated), percentiles, mean, population deviation."""
+    normal = scores.where("label = 0")
+    cuts = quantiles(normal, "score", {"threshold": target} | {f"p{p}": p / 100 for p in (50, 90, 95, 98, 99, 100)})
+    about = normal.agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("std"), F.count("*").alias("n"))
+    return cuts.select(*(F.round(c, 6).alias(c) for c in cuts.columns)).join(F.broadcast(about))  # a row each
+
+
+def roc(scores: DataFrame, threshold: float) -> DataFrame:
+    """auc (by average ranks), sensitivity and specificity at the threshold, for (score, label)."""
+    by_score = scores.where("score is not null").groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    rank = with_below(by_score).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     got = rank.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.when(F.col("score") >= threshold, F.col("pos"))).alias("tp"), F.sum(F.when(F.col("score") < threshold, F.col("n") - F.col("pos"))).alias("tn"))
     negatives = F.col("n") - F.col("p")
     return got.select(
