@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from pulsegrid.llm import anisotropic, crf, interpolation, mixing, secret_scan, shared, url_rules
+from pulsegrid.llm import anisotropic, crf, interpolation, mixing, secret_scan, shared, shingle_join, url_rules
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -55,8 +55,10 @@ def test_near_copies_in_the_pipeline_against_a_brute_force_join(spark):
     texts += [passage + " " + " ".join(rng.choice(names, int(n)).tolist()) for n in rng.integers(3, 60, 80)]
     texts += [None, "", " \n", "one two", "One  two"]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
-    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    assert {r["doc_id"] for r in kept.collect()} == brute_kept(rows)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_kept(rows)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    # groups that are dealt in blocks
+    assert {r["component_id"] for r in shingle_join.near_duplicates(docs, limit=5).collect()} == want
 
 
 def test_nearest_in_a_large_group_of_near_copies(spark):
