@@ -55,19 +55,59 @@ def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
 
 
 def spectrogram(x: np.ndarray, window: int = 125) -> np.ndarray:
-    """Magnitudes of Hann-windowed frames, half a window apart."""
-    hop = max(1, window // 2)
-    if len(x) < window:
-        x = np.pad(x, (0, window - len(x)))
+    """Magnitudes of periodic-Hann frames over half of each other, by the window's sum, of the signal between zeros of half a window."""
+    half, hop = window // 2, window - window // 2
+    x = np.pad(x, half)
+    x = np.pad(x, (0, max(0, window - len(x)) or -(len(x) - window) % hop))
+    weights = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window)
     frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop]
-    return np.abs(np.fft.rfft(frames * np.hanning(window), axis=1))
+    return np.abs(np.fft.rfft(frames * weights, axis=1)) / weights.sum()
 
 
-def low_passed(x: np.ndarray, fs: float, cut: float) -> np.ndarray:
-    """Zero-phase low-pass: frequencies at or above `cut` removed."""
-    spectrum = np.fft.rfft(x)
-    spectrum[np.fft.rfftfreq(len(x), 1 / fs) >= cut] = 0
-    return np.fft.irfft(spectrum, len(x))
+#: Fixed: dB lost in the pass band at most and in the stop band at least; edges (pass, stop) in Hz of the filters for noise and for the baseline.
+LOSSES, NOISE, BASELINE = (0.1, 20.0), (20.0, 30.0), (0.5, 8.0)
+
+
+def butterworth(fs: float, edges: tuple[float, float], losses: tuple[float, float] = LOSSES) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (numerator, denominator) of the lowest-order Butterworth low-pass that keeps to the losses at the edges."""
+    low, high = (np.tan(np.pi * f / fs) for f in edges)
+    kept, lost = (10 ** (x / 10) - 1 for x in losses)
+    order = int(np.ceil(np.log10(lost / kept) / (2 * np.log10(high / low))))
+    cut = low * kept ** (-1 / (2 * order))  # loses just what is allowed at the pass edge
+    # poles on the left half of a circle, by the bilinear transform with all zeros at -1
+    poles = cut * np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    digital = (1 + poles) / (1 - poles)
+    den = np.poly(digital).real
+    num = np.poly(-np.ones(order))
+    return num * (den.sum() / num.sum()), den
+
+
+def steady(num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """The filter's state after a very long input of ones."""
+    n = len(den) - 1
+    companion = np.vstack([-den[1:], np.eye(n)[: n - 1]])
+    return np.linalg.solve(np.eye(n) - companion.T, num[1:] - den[1:] * num[0])
+
+
+def passed(x: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """Signals (a row each) through a filter that is in its steady state for their first samples."""
+    state = steady(num, den)[:, None] * x[:, 0]
+    out = np.empty_like(x)
+    for i, now in enumerate(x.T):
+        y = num[0] * now + state[0]
+        state = np.vstack([state[1:], np.zeros(len(now))]) + num[1:, None] * now - den[1:, None] * y
+        out[:, i] = y
+    return out
+
+
+def low_passed(x: np.ndarray, fs: float, edges: tuple[float, float] = NOISE) -> np.ndarray:
+    """Signals (a row each) through the Butterworth low-pass forwards and backwards, so no phase is shifted; ends are continued by turning the signal about them."""
+    num, den = butterworth(fs, edges)
+    more = min(3 * len(den), x.shape[1] - 1)
+    if more < 1:
+        return x.copy()
+    ends = np.concatenate([2 * x[:, :1] - x[:, more:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -more - 2 : -1]], axis=1)
+    return passed(passed(ends, num, den)[:, ::-1], num, den)[:, ::-1][:, more:-more]
 
 
 def _array(x) -> np.ndarray:
@@ -98,10 +138,16 @@ def resample_udf(up: int, down: int):
     return run
 
 
-def low_pass_udf(fs: float, cut: float):
+def low_pass_udf(fs: float, edges: tuple[float, float] = NOISE):
     @F.pandas_udf("array<double>")
     def run(samples: pd.Series) -> pd.Series:
-        return samples.map(lambda x: None if x is None else low_passed(_array(x), fs, cut))
+        out = pd.Series([None] * len(samples), index=samples.index, dtype=object)
+        known = samples.dropna()
+        for length, same in known.groupby(known.map(len)):  # signals of a length go through together
+            made = low_passed(np.stack([_array(x) for x in same]), fs, edges) if length else np.empty((len(same), 0))
+            for i, y in zip(same.index, made, strict=True):
+                out[i] = y
+        return out
 
     return run
 

@@ -58,13 +58,23 @@ def spectral_quality(spark, d):
     return signals(spark, d).select("vec_id", r6(spectral.snr_udf(100.0)(F.col("x"))).alias("snr"), share(0.0, 2.0).alias("drift"), share(40.0, 100.0).alias("buzz"))
 
 
-@query(f"""{X}, k AS (SELECT vec_id, x, unnest(range(0, 13)) AS k FROM e),
-c AS (SELECT vec_id, k, list_sum(list_transform(x, lambda v, i: v * cos(2 * pi() * k * (i - 1) / 64))) AS a, list_sum(list_transform(x, lambda v, i: v * sin(2 * pi() * k * (i - 1) / 64))) AS b FROM k),
-y AS (SELECT vec_id, j, sum((a * cos(2 * pi() * k * j / 64) + b * sin(2 * pi() * k * j / 64)) * CASE WHEN k = 0 THEN 1 ELSE 2 END) / 64 AS y FROM c, (SELECT unnest(range(0, 64)) AS j) GROUP BY 1, 2)
-SELECT vec_id, j::INT AS place, round(y, 6) AS y FROM y WHERE vec_id % 10 = 3""")
+NUM, DEN = spectral.butterworth(100.0, spectral.NOISE)
+ORDER = len(DEN) - 1
+listed = lambda x: "[" + ", ".join(repr(float(v)) for v in x) + "]"
+#: A filter's recursion over rows (vec_id, i, x), from its steady state for the first sample: the output and the state after it.
+FILTER = f"""{{name}}(vec_id, i, y, z) AS (SELECT vec_id, 0, 0.0::DOUBLE, list_transform({listed(spectral.steady(NUM, DEN))}, lambda v: v * x) FROM {{rows}} WHERE i = 1
+UNION ALL SELECT r.vec_id, r.i, {float(NUM[0])!r} * r.x + f.z[1], list_transform(range(1, {ORDER + 1}), lambda k: (CASE WHEN k < {ORDER} THEN f.z[k + 1] ELSE 0 END) + ({listed(NUM)})[k + 1] * r.x - ({listed(DEN)})[k + 1] * ({float(NUM[0])!r} * r.x + f.z[1])) FROM {{name}} f JOIN {{rows}} r ON r.vec_id = f.vec_id AND r.i = f.i + 1)"""
+MORE = 3 * len(DEN)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 3),
+w AS (SELECT vec_id, list_concat(list_transform(range(0, {MORE}), lambda j: 2 * x[1] - x[{MORE} + 1 - j]), x, list_transform(range(0, {MORE}), lambda j: 2 * x[64] - x[63 - j])) AS x FROM e),
+a AS (SELECT vec_id, (generate_subscripts(x, 1))::INT AS i, unnest(x) AS x FROM w), {FILTER.format(name="f", rows="a")},
+b AS (SELECT vec_id, {64 + 2 * MORE + 1} - i AS i, y AS x FROM f WHERE i > 0), {FILTER.format(name="g", rows="b")}
+SELECT vec_id, ({64 + MORE} - i)::INT AS place, round(y, 6) AS y FROM g WHERE i BETWEEN {MORE + 1} AND {MORE + 64}""")
 def low_passed(spark, d):
     # every tenth signal, as rows of samples
-    rows = signals(spark, d).where("vec_id % 10 = 3").select("vec_id", F.posexplode(spectral.low_pass_udf(100.0, 20.0)(F.col("x"))).alias("place", "y"))
+    rows = signals(spark, d).where("vec_id % 10 = 3").select("vec_id", F.posexplode(spectral.low_pass_udf(100.0)(F.col("x"))).alias("place", "y"))
     return rows.select("vec_id", "place", r6("y").alias("y"))
 
 
@@ -78,8 +88,9 @@ def resampled(spark, d):
     return rows.select("vec_id", "place", r6("y").alias("y"))
 
 
-@query(f"""{X}, w AS (SELECT vec_id, frame, list_transform(x[frame * 8 + 1 : frame * 8 + 16], lambda v, i: v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 15))) AS y FROM (SELECT vec_id, x, unnest(range(0, 7)) AS frame FROM e)), k AS (SELECT *, unnest(range(0, 9)) AS bin FROM w)
-SELECT vec_id, frame::INT AS frame, bin::INT AS bin, round(sqrt(pow(list_sum(list_transform(y, lambda v, i: v * cos(2 * pi() * bin * (i - 1) / 16))), 2) + pow(list_sum(list_transform(y, lambda v, i: v * sin(2 * pi() * bin * (i - 1) / 16))), 2)), 6) AS size FROM k""")
+@query(f"""{X}, z AS (SELECT vec_id, list_concat(list_transform(range(0, 8), lambda i: 0.0), x, list_transform(range(0, 8), lambda i: 0.0)) AS x FROM e),
+w AS (SELECT vec_id, frame, list_transform(x[frame * 8 + 1 : frame * 8 + 16], lambda v, i: v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 16))) AS y FROM (SELECT vec_id, x, unnest(range(0, 9)) AS frame FROM z)), k AS (SELECT *, unnest(range(0, 9)) AS bin FROM w)
+SELECT vec_id, frame::INT AS frame, bin::INT AS bin, round(sqrt(pow(list_sum(list_transform(y, lambda v, i: v * cos(2 * pi() * bin * (i - 1) / 16))), 2) + pow(list_sum(list_transform(y, lambda v, i: v * sin(2 * pi() * bin * (i - 1) / 16))), 2)) / 8, 6) AS size FROM k""")
 def spectrogram(spark, d):
     rows = signals(spark, d).select("vec_id", F.posexplode(spectral.spectrogram_udf(16)(F.col("x"))).alias("frame", "bins"))
     return rows.select("vec_id", "frame", F.posexplode("bins").alias("bin", "size")).withColumn("size", r6("size"))

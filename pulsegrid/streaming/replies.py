@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed: actions whose replies are a tool's.
 TOOLS = ("call_classification_tool", "call_measurement_tool", "call_morphology_tool", "call_signal_quality_tool")
+#: Fixed: what the tags look like.
 CONTENT = r"^[ \t]*\[?[ \t]*content[ \t]*:"
 ACTION = r"^[ \t]*\[?[ \t]*action[ \t]*[:\-][ \t]*([a-z_]+)"
 #: What str.strip() strips, for Java.
