@@ -108,6 +108,12 @@ def newest_file(spark, d):
     return spark.read.schema("s_suppkey long, s_acctbal double").option("header", True).csv(sources.newest(spark, path))
 
 
+@query("SELECT conv_id, turn FROM conversations ORDER BY conv_id DESC, turn LIMIT 25")
+def dataset_head(spark, d):
+    rows = table(spark, d, "conversations").withColumn("newest", -F.col("conv_id"))
+    return sources.head(sources.head(rows, ["turn"]), ["newest", "turn"], 25).select("conv_id", "turn")
+
+
 def folder_of(path: str) -> str:
     """A local folder as a URI; others are."""
     return path if "://" in path else f"file://{path}"

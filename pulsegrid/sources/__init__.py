@@ -55,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def head(rows: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
+    """The first n rows of a dataset in a stated order; all without n."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file; blank and // lines are skipped, bad JSON fails."""
     lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '//')")
