@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import random
-import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -39,14 +38,17 @@ BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 2, 2, 5, 5
 LOOSE = 0.01
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\n\n")
+OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "\n\n"]
+#: How the vocabulary writes a space; unknown words that are encoded at once.
+SPACE, TOGETHER = "\u0120", 200
 
 
 class Tokens:
     """Ids of texts as little-endian bytes, by a byte-level BPE tokenizer file.
 
     Its pre-tokenizer starts a new piece of text at every single space or newline between
-    non-blanks, so texts without other blanks are encoded word by word, and words are kept. Added
+    non-blanks, so texts without other blanks are encoded word by word, and words are kept. Words that are not known yet
+    are encoded together: each one's first token is the only one of it that starts with a space. Added
     tokens (such as an end mark written out) are found in the whole text first, so a text that holds one is
     encoded at once.
     """
@@ -57,33 +59,46 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Words(self.encode)
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + OTHER_SPACE
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[n for token, n in vocabulary.items() if token[0] == SPACE]] = True
+        #: Ids of words after a space, of newlines with the word after them, and (keyed by a space before) of words at a text's start.
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.replace("\n", " \n").split(" ")
-        if "" in words or OTHER_SPACE.search(text) or any(t in text for t in self.added):
-            return self.encode(text)
+    def learn(self, words: list[str]) -> None:
+        for word in words:
+            if word[0] in "\n ":
+                self.known[word] = self.encode(word.lstrip(" "))
+        after = [w for w in words if w[0] not in "\n "]
+        for at in range(0, len(after), TOGETHER):
+            some = after[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            starts = np.nonzero(self.spaced[ids])[0].tolist()
+            if len(starts) == len(some):
+                data = ids.tobytes()
+                self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, starts, [*starts[1:], len(ids)], strict=True))
+            else:
+                self.known.update((w, self.encode(" " + w)) for w in some)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null is empty."""
         if len(self.known) > CACHE:
             self.known.clear()
-        return self.encode(words[0]) + b"".join(map(self.known.__getitem__, words[1:]))
-
-
-class _Words(dict):
-    """Ids of a word after a space, or of a newline and the word after it."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(word if word[0] == "\n" else " " + word)
-        return ids
+        parts: list[list[str] | None] = []
+        for text in texts:
+            words = text.replace("\n", " \n").split(" ") if text else []
+            if words and ("" in words or any(x in text for x in self.whole)):
+                parts.append(None)
+            else:
+                words[:1] = [" " + w for w in words[:1]]
+                parts.append(words)
+        known = self.known
+        self.learn(list({w: None for words in parts if words for w in words if w not in known}))
+        return [self.encode(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, parts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -98,8 +113,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encode, end = tokens(path), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(*shared.columns(batch, "doc_id", "text"), strict=True):
-                ids = encode(text) + end
+            names, texts = shared.columns(batch, "doc_id", "text")
+            for doc_id, ids in zip(names, encode(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 at = 0
                 for piece, stop in enumerate(range(n % capacity or capacity, n + 1, capacity) if n > capacity else (n,)):
