@@ -3,13 +3,14 @@
 The models are of order four over the characters of a text with one blank between words, so they see
 spelling and, across the blanks, what follows what: sentence ends, capitals, how words join. Spark counts
 the 4-grams of all documents. A symbol is 16 bits, so an n-gram is its own 64-bit hash. Counts,
-continuation counts, discounts and back-off masses of every order are Spark tables, keyed by model and
-n-gram; no count is dropped, and nothing of them is collected or broadcast but totals by model.
+continuation counts, discounts and back-off masses of every order are Spark tables, keyed by language and
+n-gram; no count is dropped.
 
 The corpus is cut into chunks of bounded size, of one language and half each. A chunk holds its documents as word
-numbers and its distinct n-grams as a sorted array with counts. What the model says of those n-grams comes
-back as such an array too, and the chunk's documents are scored from it: a task holds what its own
-texts need of a model, however large that is.
+numbers and its distinct n-grams as a sorted array with counts, and is scored from a sorted array of n-grams with
+their log-probabilities: all of them, broadcast, while they are at most BROADCAST_GRAMS, else those that the
+chunk holds, joined to it, so that a task needs of a model what its own texts do, however large that is. Both give the
+same.
 
 Documents are dealt in halves by a hash of the text, and each is scored by the models of the other
 half: a model that had counted a document's own n-grams would find any junk likely. A symbol's probability is
@@ -46,11 +47,17 @@ BLANK, DIGIT = 0x20, ord("0")
 PRIVATE, PRIVATE_SIZE = 0xE000, 6400
 #: Words of all open chunks of a task after which they are closed.
 CHUNK_WORDS = 3_000_000
+#: Bytes of text that a task makes chunks of, where input partitions are smaller, and such tasks at least.
+TASK_BYTES, LEAST_TASKS = 8_000_000, 8
+#: N-grams of chunks that are added up by one task, and n-grams of models that one works out.
+TOGETHER, TASK_GRAMS = 1_000_000, 100_000
 #: Multiples of the scaled median deviation below and above the median.
 BELOW, ABOVE = 4.0, 3.5
 #: Documents of a language at which its band is widened by as much as the languages' bands are wide on average.
 FEW = 20
 MOST_LANGUAGES = 255
+#: N-grams of all models up to which they are broadcast, as sorted arrays of 24 bytes an n-gram.
+BROADCAST_GRAMS = 4_000_000
 #: Number of the model of all languages, and its share in a symbol's probability.
 ALL, ALL_SHARE = MOST_LANGUAGES + 1, 0.4
 SYMBOLS = "#*$%&|<>"
@@ -164,19 +171,19 @@ class Chunk:
     def row(self, chunk: int, model: int) -> dict:
         counts = np.array([(*c, r) for c, r in zip(self.counts, repeated(self.numbers), strict=True)], dtype=np.int64)
         numbers = np.concatenate(self.numbers)
-        out = {"chunk": chunk, "model": model, "doc_ids": self.doc_ids, "counts": shared.pack(counts.ravel()), "numbers": shared.pack(numbers), "words": b"", "grams": shared.pack_sorted(np.empty(0, dtype=np.uint64)), "times": b""}
+        out = {"chunk": chunk, "model": model, "doc_ids": self.doc_ids, "counts": shared.pack(counts.ravel()), "numbers": shared.pack(numbers), "size": 0, "words": b"", "grams": shared.pack_sorted(np.empty(0, dtype=np.uint64)), "times": b""}
         if self.known:
             words = Words(list(self.known))
             borders, often = np.unique(words.borders(numbers, counts[:, 0]), return_counts=True)
             grams, where = np.unique(np.concatenate([words.grams, *border_grams(borders)]), return_inverse=True)
             each = np.bincount(numbers, minlength=len(self.known))
             times = np.bincount(where, np.concatenate([np.repeat(each, words.own), often, often]).astype(np.float64)).astype("<i8")
-            out |= {"words": zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.known)), "grams": shared.pack_sorted(grams), "times": shared.pack(times)}
+            out |= {"size": len(grams), "words": zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.known)), "grams": shared.pack_sorted(grams), "times": shared.pack(times)}
         return out
 
 
-CHUNK = pa.schema([("chunk", pa.int64()), ("model", pa.int32()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "numbers", "words", "grams", "times"))])
-CHUNK_DDL = "chunk long, model int, doc_ids array<long>, counts binary, numbers binary, words binary, grams binary, times binary"
+CHUNK = pa.schema([("chunk", pa.int64()), ("model", pa.int32()), ("size", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "numbers", "words", "grams", "times"))])
+CHUNK_DDL = "chunk long, model int, size long, doc_ids array<long>, counts binary, numbers binary, words binary, grams binary, times binary"
 
 
 def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -208,25 +215,16 @@ def chunks(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
 
 
 def spread(made: DataFrame) -> DataFrame:
-    """chunk, model, gram, n: a chunk's 4-grams as rows."""
+    """chunk, lang, half, gram, n: a chunk's 4-grams as rows."""
 
     def run(batches: shared.Batches) -> shared.Batches:
         for batch in batches:
             for chunk, model, grams, times in zip(*shared.columns(batch, "chunk", "model", "grams", "times"), strict=True):
                 if times:
                     keys = shared.unpack_sorted(grams).view(np.int64)
-                    yield shared.batch_of(chunk=np.full(len(keys), chunk), model=np.full(len(keys), model, dtype=np.int32), gram=keys, n=shared.unpack(times, "<i8"))
+                    yield shared.batch_of(chunk=np.full(len(keys), chunk), lang=np.full(len(keys), model // 2, dtype=np.int32), half=np.full(len(keys), model % 2, dtype=np.int32), gram=keys, n=shared.unpack(times, "<i8"))
 
-    return shared.map_arrow(made.select("chunk", "model", "grams", "times"), run, "chunk long, model int, gram long, n long")
-
-
-def other(model: Column) -> Column:
-    """The same language's model of the other half."""
-    return model.bitwiseXOR(F.lit(1))
-
-
-def of_all(model: Column) -> Column:
-    return (model % 2 + 2 * ALL).cast("int")
+    return shared.map_arrow(made.select("chunk", "model", "grams", "times"), run, "chunk long, lang int, half int, gram long, n long")
 
 
 def discounts(of: list[int]) -> list[float]:
@@ -236,83 +234,114 @@ def discounts(of: list[int]) -> list[float]:
 
 
 def probabilities(counted: DataFrame) -> DataFrame:
-    """model, gram, p: modified Kneser-Ney of every 4-gram in `counted` (model, gram, n); n of 0 asks without adding to the model."""
-    spark = counted.sparkSession
-    levels = [counted]
+    """lang, gram, p0, p1: modified Kneser-Ney by each half's models, of every 4-gram of either half in `counted` (lang, gram, n0, n1)."""
+    spark, halves = counted.sparkSession, (0, 1)
+    # tasks by the rows, not by the shuffle's partitions: there are two dozen exchanges, and blocks that are all but empty add up
+    tasks = max(1, -(-counted.count() // TASK_GRAMS))
+    levels = [counted.coalesce(tasks)]
     for n in range(ORDER - 1, 0, -1):
         # continuation counts: in how many seen n-grams each shorter one ends
         shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1))
-        levels.append(levels[-1].groupBy("model", shorter.alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n")))
+        levels.append(levels[-1].groupBy("lang", shorter.alias("gram")).agg(*(F.count_if(F.col(f"n{h}") > 0).alias(f"n{h}") for h in halves)).coalesce(tasks))
     p = None
     for order, level in enumerate(reversed(levels), 1):
-        tally = level.groupBy("model").agg(F.count("*").alias("all"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
-        rows = [(r["model"], *discounts([r[f"n{k}"] for k in (1, 2, 3, 4)]), 1 / (r["all"] + 1)) for r in tally]
-        cuts = F.broadcast(spark.createDataFrame(rows, "model int, d1 double, d2 double, d3 double, uniform double"))  # two rows for each of MOST_LANGUAGES + 2 at most
-        cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = level.join(cuts, "model").select("model", "gram", F.shiftrightunsigned("gram", BITS).alias("context"), "n", cut.alias("cut"), "uniform")
-        contexts = seen.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-        share = lambda x, none: F.when(F.col("total") > 0, x / F.col("total")).otherwise(F.lit(none))
-        own = seen.join(F.broadcast(contexts) if order == 1 else contexts, ["model", "context"])
-        own = own.select("model", "gram", "uniform", share(F.col("left"), 1.0).alias("mass"), share(F.col("n") - F.col("cut"), 0.0).alias("rest"))
+        tally = level.groupBy("lang").agg(F.count("*").alias("all"), *(F.count_if(F.col(f"n{h}") == k).alias(f"h{h}k{k}") for h in halves for k in (1, 2, 3, 4))).collect()
+        rows = [(r["lang"], 1 / (r["all"] + 1), *(d for h in halves for d in discounts([r[f"h{h}k{k}"] for k in (1, 2, 3, 4)]))) for r in tally]
+        cuts = F.broadcast(spark.createDataFrame(rows, "lang int, uniform double, " + ", ".join(f"h{h}d{k} double" for h in halves for k in (1, 2, 3))))  # a row for each of MOST_LANGUAGES + 2 at most
+        cut = lambda h: F.when(F.col(f"n{h}") == 0, 0.0).when(F.col(f"n{h}") == 1, F.col(f"h{h}d1")).when(F.col(f"n{h}") == 2, F.col(f"h{h}d2")).otherwise(F.col(f"h{h}d3")).alias(f"cut{h}")
+        seen = level.join(cuts, "lang").select("lang", "gram", F.shiftrightunsigned("gram", BITS).alias("context"), "uniform", "n0", "n1", *map(cut, halves))
+        contexts = seen.groupBy("lang", "context").agg(*(F.sum(f"n{h}").alias(f"total{h}") for h in halves), *(F.sum(f"cut{h}").alias(f"left{h}") for h in halves)).coalesce(tasks)
+        share = lambda x, h, none: F.when(F.col(f"total{h}") > 0, x / F.col(f"total{h}")).otherwise(F.lit(none))
+        own = seen.join(F.broadcast(contexts) if order == 1 else contexts, ["lang", "context"])
+        own = own.coalesce(tasks).select("lang", "gram", "uniform", *(share(F.col(f"left{h}"), h, 1.0).alias(f"mass{h}") for h in halves), *(share(F.col(f"n{h}") - F.col(f"cut{h}"), h, 0.0).alias(f"rest{h}") for h in halves))
         if p is None:
-            p = own.select("model", "gram", (F.col("mass") * F.col("uniform") + F.col("rest")).alias("p"))
+            p = own.select("lang", "gram", *((F.col(f"mass{h}") * F.col("uniform") + F.col(f"rest{h}")).alias(f"p{h}") for h in halves))
         else:
-            below = p.select("model", F.col("gram").alias("_end"), F.col("p").alias("_p"))
+            below = p.select("lang", F.col("gram").alias("_end"), F.col("p0").alias("_p0"), F.col("p1").alias("_p1"))
             end = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
-            p = own.withColumn("_end", end).join(below, ["model", "_end"]).select("model", "gram", (F.col("mass") * F.col("_p") + F.col("rest")).alias("p"))
+            p = own.withColumn("_end", end).join(below, ["lang", "_end"]).coalesce(tasks).select("lang", "gram", *((F.col(f"mass{h}") * F.col(f"_p{h}") + F.col(f"rest{h}")).alias(f"p{h}") for h in halves))
     return p
 
 
-def answers(made: DataFrame) -> DataFrame:
-    """chunk, gram, log_p: what the models of the other half say of each chunk's 4-grams."""
-    rows = spread(made)
-    ours = rows.select("model", "gram", "n").unionByName(rows.select(of_all(F.col("model")).alias("model"), "gram", "n"))
-    asked = ours.select(other(F.col("model")).alias("model"), "gram", F.lit(0).cast("long").alias("n"))
-    p = shared.settled(probabilities(shared.settled(ours.unionByName(asked).groupBy("model", "gram").agg(F.sum("n").alias("n")))))
-    every = p.where(F.col("model") >= 2 * ALL).select(F.col("model").alias("_all"), "gram", F.col("p").alias("_p"))
-    own = p.where(F.col("model") < 2 * ALL).withColumn("_all", of_all(F.col("model")))
-    both = own.join(every, ["_all", "gram"]).select("model", "gram", F.log((1 - ALL_SHARE) * F.col("p") + ALL_SHARE * F.col("_p")).alias("log_p"))
-    return rows.select("chunk", other(F.col("model")).alias("model"), "gram").join(both, ["model", "gram"]).select("chunk", "gram", "log_p")
+def tables(made: DataFrame) -> DataFrame:
+    """lang, gram, log_p0, log_p1: what each half's models, mixed with that of all languages, say of the corpus's 4-grams."""
+    of = lambda h: F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}")
+    # chunks of small files are taken together, so that what they share is added up before it is sent
+    size = made.agg(F.sum("size")).first()[0] or 0
+    together = made.coalesce(max(1, -(-size // TOGETHER)))
+    own = shared.settled(spread(together).groupBy("lang", "gram").agg(of(0), of(1)))
+    every = own.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).select(F.lit(ALL).alias("lang"), "gram", "n0", "n1")
+    p = shared.settled(probabilities(own.unionByName(every)))
+    common = p.where(F.col("lang") == ALL).select("gram", F.col("p0").alias("_p0"), F.col("p1").alias("_p1"))
+    return p.where(F.col("lang") != ALL).join(common, "gram").select("lang", "gram", *(F.log((1 - ALL_SHARE) * F.col(f"p{h}") + ALL_SHARE * F.col(f"_p{h}")).alias(f"log_p{h}") for h in (0, 1)))
 
 
 SCORED = "doc_id long, model int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols long, log_perplexity double"
 
 
-def scored(made: DataFrame, said: DataFrame) -> DataFrame:
-    """doc_id, model, the counts of the base rules, symbols, log_perplexity (null without words) of every document."""
+def scores(row: dict, grams: np.ndarray, log_p: np.ndarray) -> pa.Table:
+    """A chunk's documents as scored() has them, from sorted 4-grams (all of the chunk's, at least) and their log-probabilities."""
+    n = len(row["doc_ids"])
+    counts, numbers = shared.unpack(row["counts"], "<i8").reshape(n, -1), shared.unpack(row["numbers"], "<u4")
+    logs, size = np.full(n, np.nan), np.zeros(n, dtype=np.int64)
+    if len(numbers):
+        words = Words(zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n"))
+        of = lambda keys: log_p[np.searchsorted(grams, keys)]
+        inside = np.bincount(np.repeat(np.arange(len(words.own)), words.own), of(words.grams), minlength=len(words.own))
+        borders, where = np.unique(words.borders(numbers, counts[:, 0]), return_inverse=True)
+        one, two = border_grams(borders)
+        text = np.repeat(np.arange(n), counts[:, 0])
+        sums = np.bincount(text, inside[numbers] + (of(one) + of(two))[where], minlength=n)
+        size = np.bincount(text, words.length[numbers], minlength=n).astype(np.int64)
+        logs[size > 0] = -sums[size > 0] / size[size > 0]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "model": pa.array([row["model"]] * n, pa.int32()), **{k: counts[:, i] for i, k in enumerate(names)}, "symbols": size, "log_perplexity": pa.array(logs, mask=np.isnan(logs))})
+
+
+def scored(made: DataFrame, said: DataFrame, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
+    """doc_id, model, the counts of the base rules, symbols, log_perplexity (null without words) of every document.
+
+    Tables of up to `broadcast` n-grams are sent whole, as sorted arrays; of larger ones each chunk is sent what it holds, with the
+    same outcome.
+    """
+    if said.count() <= broadcast:
+        got = said.toArrow()
+        langs, grams = got.column("lang").to_numpy(), got.column("gram").to_numpy().view(np.uint64)
+        order = np.lexsort((grams, langs))
+        edges = np.searchsorted(langs[order], np.arange(MOST_LANGUAGES + 3))
+        logs = [got.column(f"log_p{h}").to_numpy()[order] for h in (0, 1)]
+        shipped = made.sparkSession.sparkContext.broadcast((grams[order], logs, edges))
+
+        def whole(batches: shared.Batches) -> shared.Batches:
+            grams, logs, edges = shipped.value
+            for batch in batches:
+                for row in batch.to_pylist():
+                    a, b = edges[row["model"] // 2], edges[row["model"] // 2 + 1]
+                    yield from scores(row, grams[a:b], logs[1 - row["model"] % 2][a:b]).to_batches()
+
+        return shared.map_arrow(made, whole, SCORED)
+    asked = spread(made).select("chunk", "lang", "half", "gram")
+    answers = asked.join(said, ["lang", "gram"]).select("chunk", "gram", F.when(F.col("half") == 0, F.col("log_p1")).otherwise(F.col("log_p0")).alias("log_p"))
 
     def run(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        n = len(row["doc_ids"])
-        counts, numbers = shared.unpack(row["counts"], "<i8").reshape(n, -1), shared.unpack(row["numbers"], "<u4")
-        logs, size = np.full(n, np.nan), np.zeros(n, dtype=np.int64)
-        if len(numbers):
-            words = Words(zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n"))
-            grams, p = known.column("gram").to_numpy().view(np.uint64), known.column("log_p").to_numpy()
-            order = np.argsort(grams)
-            grams, p = grams[order], p[order]
-            of = lambda keys: p[np.searchsorted(grams, keys)]
-            inside = np.bincount(np.repeat(np.arange(len(words.own)), words.own), of(words.grams), minlength=len(words.own))
-            borders, where = np.unique(words.borders(numbers, counts[:, 0]), return_inverse=True)
-            one, two = border_grams(borders)
-            text = np.repeat(np.arange(n), counts[:, 0])
-            sums = np.bincount(text, inside[numbers] + (of(one) + of(two))[where], minlength=n)
-            size = np.bincount(text, words.length[numbers], minlength=n).astype(np.int64)
-            logs[size > 0] = -sums[size > 0] / size[size > 0]
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "model": pa.array([row["model"]] * n, pa.int32()), **{k: counts[:, i] for i, k in enumerate(names)}, "symbols": size, "log_perplexity": pa.array(logs, mask=np.isnan(logs))})
-
-    return made.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(run, SCORED)
-
-
-def measured(docs: DataFrame, most_languages: int = MOST_LANGUAGES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+        grams, log_p = known.column("gram").to_numpy().view(np.uint64), known.column("log_p").to_numpy()
+        order = np.argsort(grams)
+        return scores(chunk.to_pylist()[0], grams[order], log_p[order])
+
+    return made.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORED)
+
+
+def measured(docs: DataFrame, most_languages: int = MOST_LANGUAGES, chunk_words: int = CHUNK_WORDS, broadcast: int = BROADCAST_GRAMS) -> DataFrame:
     """What scored() gives, of every row of (doc_id, text, lang)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     large = named.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(min(most_languages, MOST_LANGUAGES)).collect()
     numbers = F.create_map(*(x for n, r in enumerate(large, 1) for x in (F.lit(r["lang"]), F.lit(n)))) if large else None
     number = F.coalesce(F.try_element_at(numbers, F.col("lang")), F.lit(0)) if large else F.lit(0)
+    # small files are read together, as small chunks share most of their n-grams
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    named = named.coalesce(max(LEAST_TASKS, -(-size // TASK_BYTES)))
     made = shared.settled(chunks(named.withColumn("model", (2 * number + F.pmod(F.xxhash64("text"), F.lit(2))).cast("int")), chunk_words))
-    return scored(made, answers(made))
+    return scored(made, shared.settled(tables(made)), broadcast)
 
 
 def judge(docs: DataFrame, below: float = BELOW, above: float = ABOVE, few: float = FEW, most_languages: int = MOST_LANGUAGES, chunk_words: int = CHUNK_WORDS) -> DataFrame:

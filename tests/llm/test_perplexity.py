@@ -59,8 +59,8 @@ def test_probabilities_against_dictionaries(spark):
     half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
     halves = [[(t or "").replace("\U00020000", chr(kneser_ney.PRIVATE + 0x20000 % kneser_ney.PRIVATE_SIZE)) for i, t, _ in texts if half[i] == h] for h in (0, 1)]
     models = [PlainModel(halves[h], halves[1 - h]) for h in (0, 1)]
-    for chunk_words in (3, 10**6):
-        got = {r["doc_id"]: r for r in kneser_ney.measured(docs, chunk_words=chunk_words).collect()}
+    for chunk_words, broadcast in ((3, 10**6), (10**6, 0), (3, 0)):
+        got = {r["doc_id"]: r for r in kneser_ney.measured(docs, chunk_words=chunk_words, broadcast=broadcast).collect()}
         assert len(got) == len(TEXTS)
         for i, t, _ in texts:
             grams = plain_grams((t or "").replace("\U00020000", chr(kneser_ney.PRIVATE + 0x20000 % kneser_ney.PRIVATE_SIZE)))
