@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, crf, interpolation, kneser_ney, mixing, oracles, packing, rule_ensemble, secret_scan, shared, simhash, url_rules
+from . import anisotropic, bottom_k, crf, divergence, importance, interpolation, kneser_ney, mixing, oracles, packing, rule_ensemble, secret_scan, shared, simhash, url_rules
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(shared.table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(shared.table(spark, sf_dir, "documents"))
+
+
+def op12_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared.small_batches(spark)
+    return bottom_k.near_duplicates(shared.table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared.small_batches(spark)
+    return importance.resample(*(shared.table(spark, sf_dir, t) for t in ("documents", "benchmark")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name; `pipeline` is corpus_pipeline.run. After them, what SQL can check of them."""
-    own = (pipeline, op1_language, op2_packing, op3_interpolation, op4_perplexity, op5_simhash, op6_nearest, op7_url_rules, op8_mixing, op9_quality, op10_secrets)
+    own = (pipeline, op1_language, op2_packing, op3_interpolation, op4_perplexity, op5_simhash, op6_nearest, op7_url_rules, op8_mixing, op9_quality, op10_secrets, op11_divergence, op12_bottom_k, op13_importance)
     return {f.__name__: f for f in own} | oracles.QUERIES
 
 

@@ -130,6 +130,7 @@ def by_simhash(distinct: DataFrame, radius: int) -> DataFrame:
 def by_group(rows: DataFrame, each, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) of keys that connect whatever each(values, labels) links, as positions, in the rows (group, key, value) of any group; n: the group's rows.
 
+    Rows of one `label`, where they have that column, are connected already: all of these links and labels together have to be so.
     A group of more than `limit` rows is dealt in blocks. If those leave it in several components, rows outside of its largest one
     are compared block by block with all others of it, so every pair of different components meets in some task, and pairs
     that are connected already are compared no more.
@@ -137,11 +138,13 @@ def by_group(rows: DataFrame, each, limit: int = LIMIT) -> DataFrame:
     mix = F.xxhash64("key", F.lit(7))
     dealt = rows.withColumn("_blocks", F.ceil(F.col("n") / limit).cast("long"))
     group = F.when(F.col("_blocks") > 1, F.xxhash64("group", F.pmod(mix, F.col("_blocks")))).otherwise(F.col("group"))
-    found = shared.settled(links_of(dealt.select(group.alias("group"), "key", "value", F.col("key").alias("label"), (F.col("_blocks") > 1).alias("dealt")), each))
+    known = "label" in rows.columns
+    found = shared.settled(links_of(dealt.select(group.alias("group"), "key", "value", F.col("label" if known else "key").alias("label"), (F.col("_blocks") > 1).alias("dealt")), each))
     first = found.where("a is not null")
     if not found.where("a is null").take(1):  # no group was dealt
         return first
-    named = dealt.where("_blocks > 1").join(simhash.components(first).withColumnRenamed("node", "key"), "key", "left").select("group", "key", "value", F.coalesce("root", "key").alias("label"))
+    connected = first.unionByName(dealt.where("_blocks > 1 and key <> label").select(F.col("key").alias("a"), F.col("label").alias("b")).distinct()) if known else first
+    named = dealt.drop("label").where("_blocks > 1").join(simhash.components(connected).withColumnRenamed("node", "key"), "key", "left").select("group", "key", "value", F.coalesce("root", "key").alias("label"))
     parts = named.groupBy("group", "label").agg(F.count("*").alias("n"))
     several = parts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("of_all"), F.count("*").alias("components")).where("components > 1")
     blocks = several.select("group", "main", F.ceil(F.col("of_main") / limit).cast("long").alias("_m"), F.ceil((F.col("of_all") - F.col("of_main")) / limit).cast("long").alias("_r"))

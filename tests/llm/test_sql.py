@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for name in ("documents", "embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return c
 
