@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import dialogue, etl, metrics, retrieval, signal
-from ..sources import table
+from ..sources import settled, table
 from ..streaming import gate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,10 +152,15 @@ CASE WHEN EXISTS (SELECT 1 FROM cur JOIN stale USING (query_id, doc_id) WHERE cu
 CASE WHEN n IS NULL THEN NULL WHEN noted = n THEN 1 ELSE 0 END AS forward_ok FROM items LEFT JOIN seen USING (query_id)""")
 def temporal_metrics(spark, d):
     rows, questions = records(spark, d), asked(spark, d)
-    right = gold(spark, d)
+    right = settled(gold(spark, d))
     stale = right.where("doc_id % 10 = 0")
-    current = retrieval.ranked(retrieval.bm25(rows, questions, retrieval.passes(), 5), "bm25", 5)
-    every = retrieval.resolved(rows, retrieval.ranked(retrieval.bm25(rows, questions, k=10), "bm25", 10))
+
+    def answers(index):
+        current = retrieval.ranked(retrieval.bm25(rows, questions, retrieval.passes(), 5, index=index), "bm25", 5).withColumn("current", F.lit(True))
+        return current.unionByName(retrieval.ranked(retrieval.bm25(rows, questions, k=10, index=index), "bm25", 10).withColumn("current", F.lit(False)))
+
+    found = retrieval.indexed(rows, None, answers)
+    current, every = found.where("current"), retrieval.resolved(rows, found.where("not current"))
     served = current.join(right, ["query_id", "doc_id"]).groupBy("query_id").agg(F.lit(1).alias("served"))
     shown = current.join(stale, ["query_id", "doc_id"]).groupBy("query_id").agg(F.lit(1).alias("shown"))
     noted = every.join(stale, ["query_id", "doc_id"]).groupBy("query_id").agg((F.count("*") == F.count("note_id")).cast("int").alias("forward_ok"))
