@@ -2,17 +2,21 @@
 
 One hash function (XXH64) gives each distinct shingle of a text a value. Two sketches are taken of the values of a set of n:
 
-- what is *retained* for the inverted lists: its k = n - ceil(similarity * n) + 1 smallest, where values that are common
-  in a sample of the corpus come after all others. Two linked sets of sizes n and m share more than n - k values, so they
-  share one of those at least, whatever the order is: the lists lose no link. The sample only keeps them short.
+- what is *retained* for the inverted lists: its k = n - ceil(similarity * n) + OVERLAP smallest, where values that are common
+  in a sample of the corpus come after all others. Two linked sets of n and m values share ceil(similarity * n) or more, so they
+  share OVERLAP of those at least, whatever the order is (different linked sets have 6 values or more): the lists lose no link. The sample only keeps them short.
 - what is *compared*: its SKETCH smallest values by the hash alone. The SKETCH smallest of two sketches' union are a random
   sample of the sets' union, so the share of them in both sketches estimates the Jaccard similarity. A pair passes
   unless as few matches are less likely than CHANCE for linked sets. Where both sketches hold their whole sets, that is exact.
 
-Each list is compared in its own task, and leaves no more links than connect what passed. What that connects is
-compared by whole sets, all pairs but those already connected. This is done twice: first over the lists of FIRST values of
-each text, which connects most copies, then over all lists that hold texts of different components, so lists of
-texts that are copies of each other are not sent again. Large lists and groups are dealt in blocks (shingle_join.by_group).
+Lists of up to SHORT texts emit their pairs of different components and fitting sizes, by ids alone; pairs that come from
+OVERLAP lists are compared by their sketches. A longer list has its sketches compared in its own task, and leaves no more links than
+connect what passed. A linked pair shares a longer list, or OVERLAP short ones, so it is met in either way. What passes
+connects texts to groups, and these are compared by whole sets, all pairs but those already connected.
+
+This is done twice: first over the lists of FIRST values of each text, each compared in its own task, which connects
+most copies; then over all lists that hold texts of different components, so lists of texts that are copies of each
+other are no more. Large lists and groups are dealt in blocks (shingle_join.by_group).
 
 Texts with fewer words than a shingle are one shingle of all their words. Texts without words (null ones too) have no
 shingle and are linked with nothing. Sets are told apart by a 64-bit hash; equal ones (exact copies, repeated rows) are
@@ -35,7 +39,11 @@ from . import shared, shingle_join, simhash
 
 SIZE, SIMILARITY = 3, Fraction(85, 100)
 #: Values that are compared, of 4 bytes each; values whose lists are met first; the chance of missing a link at the bound.
-SKETCH, FIRST, CHANCE = 128, 3, 1e-15
+SKETCH, FIRST, CHANCE = 64, 3, 1e-15
+#: Retained values that linked sets share at least; texts of a list that emits pairs; rows of lists that a task holds at once.
+OVERLAP, SHORT, ROWS = 3, 48, 1 << 19
+#: Texts up to which those that are read again are told by a broadcast of their hashes (32 MB).
+BROADCAST = 2_000_000
 LIMIT = shingle_join.LIMIT
 
 
@@ -48,7 +56,7 @@ def sketches(grams: np.ndarray, known: np.ndarray, often: np.ndarray, similarity
     if len(known):
         at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         rank = np.where(known[at] == grams, often[at], 0)
-    k = n + int(-similarity * n // 1) + 1
+    k = n + int(-similarity * n // 1) + OVERLAP
     retained = grams[np.argsort(rank, kind="stable")[:k]] if rank.any() else grams[:k]
     return retained, n.to_bytes(8, "little") + (grams[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
 
@@ -121,27 +129,16 @@ def described(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
 
 
 def lists(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """value, key: the retained values of each set, all or the first `most`."""
+    """value, key, n: the retained values of each set, all or the first `most`."""
 
     def run(batches: shared.Batches) -> shared.Batches:
         for batch in batches:
             parts = [np.frombuffer(r, dtype=np.int64)[:most] for r in batch.column(1).to_pylist()]
             if parts:
-                yield shared.batch_of(value=pa.array(np.concatenate(parts)), key=pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])))
-
-    return sets.select("key", "retained").mapInArrow(run, "value long, key long")
-
+                times = [len(x) for x in parts]
+                yield shared.batch_of(value=pa.array(np.concatenate(parts)), key=pa.array(np.repeat(batch.column(0).to_numpy(), times)), n=pa.array(np.repeat(batch.column(2).to_numpy(), times)))
 
-def whole_sets(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
-    """key, value: the whole sets of the texts of these marks, one row each."""
-
-    def run(batches: shared.Batches) -> shared.Batches:
-        for batch in batches:
-            grams = [shingle_join.shingles(t, size) for t in batch.column(0).to_pylist()]
-            yield shared.batch_of(key=pa.array([shingle_join.key_of(g) for g in grams], pa.int64()), value=pa.array([g.tobytes() for g in grams], pa.binary()))
-
-    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
-    return texts.select("text").mapInArrow(run, "key long, value binary").dropDuplicates(["key"])
+    return sets.select("key", "retained", "n").mapInArrow(run, "value long, key long, n long")
 
 
 def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -152,34 +149,156 @@ def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(roots, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
 
 
-def proposed(sets: DataFrame, links: DataFrame | None, most: int | None, similarity: Fraction, limit: int) -> DataFrame:
-    """Links (a, b) that connect whatever shares a list, has different labels and passes by the sketches."""
-    members = labelled(lists(sets, most), links)
-    met = members.groupBy("value").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value", "n")
-    asked = members.join(met, "value").join(sets.select("key", "sketch"), "key")
+def compared(members: DataFrame, met: DataFrame, sets: DataFrame, similarity: Fraction, limit: int) -> DataFrame:
+    """Links (a, b) that connect whatever shares one of the lists `met` (value, n), has different labels and passes by the sketches."""
+    asked = members.select("value", "key", "label").join(met, "value").join(sets.select("key", "sketch"), "key")
     return shingle_join.by_group(asked.select(F.col("value").alias("group"), "key", F.col("sketch").alias("value"), "label", "n"), lambda values, labels: likely(values, labels, similarity), limit)
 
 
+def met_in_lists(members: DataFrame, similarity: Fraction) -> DataFrame:
+    """a, b: pairs of the short lists, once for each list; and a row (value, null) for each longer one that holds different labels."""
+    num, den = similarity.numerator, similarity.denominator
+
+    def pairs(value: np.ndarray, key: np.ndarray, n: np.ndarray, label: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
+        """Of whole lists (starts and lengths), lists of one length at a time."""
+        out = []
+        starts, lengths = whole
+        for length in np.unique(lengths[lengths > 1]).tolist():
+            own = starts[lengths == length]
+            for i in range(length - 1):
+                for j in range(i + 1, length):
+                    x, y = own + i, own + j
+                    fits = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                    if fits.any():
+                        out.append(np.stack([np.minimum(key[x], key[y])[fits], np.maximum(key[x], key[y])[fits]]))
+        return out
+
+    def run(batches: shared.Batches) -> shared.Batches:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        # the list that goes on in the next rows, if it is longer already: its value, its first label, and whether it had another
+        long: tuple[int, int, bool] | None = None
+
+        def done(last: bool) -> pa.RecordBatch | None:
+            nonlocal held, rows, long
+            value, key, n, label = (np.concatenate(x) for x in zip(*held, strict=True))
+            starts = np.append(0, np.nonzero(value[1:] != value[:-1])[0] + 1)
+            lengths = np.diff(np.append(starts, len(value)))
+            found: list[np.ndarray] = []
+            hot = []
+            if long:
+                if value[0] == long[0]:
+                    several = long[2] or bool((label[: lengths[0]] != long[1]).any())
+                    long = (long[0], long[1], several)
+                    if len(starts) == 1 and not last:
+                        held, rows = [], 0
+                        return None
+                    starts, lengths = starts[1:], lengths[1:]
+                if long[2]:
+                    hot.append(long[0])
+                long = None
+            keep: list[tuple[np.ndarray, ...]] = []
+            if not last and len(starts):
+                at, length = int(starts[-1]), int(lengths[-1])
+                if length > SHORT:
+                    long = (int(value[at]), int(label[at]), bool((label[at:] != label[at]).any()))
+                else:
+                    keep = [(value[at:], key[at:], n[at:], label[at:])]
+                starts, lengths = starts[:-1], lengths[:-1]
+            for at, length in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+                if (label[at : at + length] != label[at]).any():
+                    hot.append(int(value[at]))
+            short = lengths <= SHORT
+            found = pairs(value, key, n, label, (starts[short], lengths[short]))
+            held, rows = keep, sum(len(x[0]) for x in keep)
+            if not found and not hot:
+                return None
+            a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+            return shared.batch_of(a=pa.array(np.concatenate([a, np.array(hot, dtype=np.int64)])), b=pa.concat_arrays([pa.array(b), pa.nulls(len(hot), pa.int64())]))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(i).to_numpy() for i in range(4)))
+                rows += batch.num_rows
+                if rows >= ROWS and (x := done(False)):
+                    yield x
+        if held and (x := done(True)):
+            yield x
+        elif not held and long and long[2]:
+            yield shared.batch_of(a=pa.array([long[0]]), b=pa.nulls(1, pa.int64()))
+
+    return members.select("value", "key", "n", "label").repartition("value").sortWithinPartitions("value").mapInArrow(run, "a long, b long")
+
+
+def passing(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sketches' union may be that of linked sets."""
+
+    def run(batches: shared.Batches) -> shared.Batches:
+        read = lambda x: (np.frombuffer(x, dtype="<u4", offset=8), int.from_bytes(x[:8], "little"))
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                (p, n), (q, m) = read(x), read(y)
+                kept.append(similar(p, q, n, m, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    of = lambda name: sets.select(F.col("key").alias(name), F.col("sketch").alias(f"of_{name}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def first_round(sets: DataFrame, most: int, similarity: Fraction, limit: int) -> DataFrame:
+    """Links (a, b) from the lists of the first `most` values of each set."""
+    members = labelled(lists(sets, most), None)
+    met = members.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    return compared(members, met, sets, similarity, limit)
+
+
+def second_round(sets: DataFrame, links: DataFrame, similarity: Fraction, limit: int) -> DataFrame:
+    """Links (a, b) from all lists, among texts that `links` doesn't connect."""
+    members = labelled(lists(sets), links)
+    met = shared.settled(met_in_lists(members, similarity))
+    often = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= OVERLAP).select("a", "b")
+    found = passing(often, sets, similarity)
+    hot = met.where("b is null").select(F.col("a").alias("value"))
+    if not hot.take(1):
+        return found
+    members = members.join(hot, "value", "left_semi")
+    longer = members.groupBy("value").agg(F.count("*").alias("n"))
+    return found.unionByName(compared(members, longer, sets, similarity, limit))
+
+
+def whole_sets(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """key, value: the whole sets of the texts of these marks, one row each."""
+
+    def run(batches: shared.Batches) -> shared.Batches:
+        for batch in batches:
+            grams = [shingle_join.shingles(t, size) for t in batch.column(0).to_pylist()]
+            yield shared.batch_of(key=pa.array([shingle_join.key_of(g) for g in grams], pa.int64()), value=pa.array([g.tobytes() for g in grams], pa.binary()))
+
+    wanted = F.broadcast(marks) if marks.count() <= BROADCAST else marks
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    return texts.select("text").mapInArrow(run, "key long, value binary").dropDuplicates(["key"])
+
+
 def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, links: DataFrame | None, size: int, similarity: Fraction, limit: int) -> DataFrame:
     """Of what `found` connects: links (a, b) by whole sets that connect whatever is linked and has different labels."""
     told = simhash.components(found if links is None else found.unionByName(links))
     members = labelled(told.select(F.col("root").alias("group"), F.col("node").alias("key")).unionByName(told.select(F.col("root").alias("group"), F.col("root").alias("key")).distinct()), links)
     several = members.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("group", "n")
     groups = shared.settled(members.join(several, "group"))
-    texts = whole_sets(docs, sets.join(groups.select("key"), "key", "left_semi").select("mark"), size)
+    texts = whole_sets(docs, shared.settled(sets.join(groups.select("key"), "key", "left_semi").select("mark")), size)
     return shingle_join.by_group(groups.join(texts, "key"), lambda values, labels: shingle_join.linked(values, labels, similarity), limit)
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: Fraction = SIMILARITY, first: int = FIRST, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept of each row."""
     rows = shared.settled(described(docs, size, similarity))
-    sets = shared.settled(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch")))
-    links = None
-    for most in (first, None):
-        new = verified(docs, sets, shared.settled(proposed(sets, links, most, similarity, limit)), links, size, similarity, limit)
-        links = shared.settled(new if links is None else links.unionByName(new))
+    of = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
+    sets = shared.settled(of)
+    links = shared.settled(verified(docs, sets, first_round(sets, first, similarity, limit), None, size, similarity, limit))
+    links = shared.settled(links.unionByName(verified(docs, sets, shared.settled(second_round(sets, links, similarity, limit)), links, size, similarity, limit)))
     rooted = labelled(sets.select("key", "least"), links)
     named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
     found = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
-    of = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", of.alias("component_id"), F.coalesce(F.col("doc_id") == of, F.lit(False)).alias("kept"))
+    id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
