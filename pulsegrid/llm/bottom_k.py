@@ -155,7 +155,7 @@ def compared(members: DataFrame, met: DataFrame, sets: DataFrame, similarity: Fr
     return shingle_join.by_group(asked.select(F.col("value").alias("group"), "key", F.col("sketch").alias("value"), "label", "n"), lambda values, labels: likely(values, labels, similarity), limit)
 
 
-def met_in_lists(members: DataFrame, similarity: Fraction) -> DataFrame:
+def met_in_lists(members: DataFrame, similarity: Fraction, most: int = ROWS) -> DataFrame:
     """a, b: pairs of the short lists, once for each list; and a row (value, null) for each longer one that holds different labels."""
     num, den = similarity.numerator, similarity.denominator
 
@@ -220,7 +220,7 @@ def met_in_lists(members: DataFrame, similarity: Fraction) -> DataFrame:
             if batch.num_rows:
                 held.append(tuple(batch.column(i).to_numpy() for i in range(4)))
                 rows += batch.num_rows
-                if rows >= ROWS and (x := done(False)):
+                if rows >= most and (x := done(False)):
                     yield x
         if held and (x := done(True)):
             yield x

@@ -105,7 +105,7 @@ def blocks(texts, size: int = BLOCK):
             if len(words) >= size:
                 yield full()
                 words, room, owner, lengths = [], [], [], {}
-    if lengths:
+    if lengths or words:
         yield full()
 
 
@@ -150,7 +150,8 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
 
 def resample(docs: DataFrame, target: DataFrame, needed: int = NEEDED, percent: int = PERCENT, seed: int = 42) -> DataFrame:
     """doc_id, n_features, weight, score, rank (null: not drawn) of each document."""
-    found = weights(docs, gains(docs, target))
+    # written once: ordering by range reads its rows twice
+    found = shared.settled(weights(docs, gains(docs, target)))
     digest = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8)
     unit = (F.conv(digest, 16, 10).cast("double") + 0.5) / 4294967296.0
     scored = found.withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log(unit))).cast("long")).withColumn("able", F.col("words") >= needed)
