@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..sources import binary
 
 
 def literal_map(text: Column) -> Column:
-    """A dict literal of codes and likelihoods as map<string, double>; null where it is none."""
-    return F.from_json(F.regexp_replace(text, "'", '"'), "map<string,double>")
+    """A dict literal of codes and likelihoods as map<string, double>; null where it is none.
+
+    Keys stand in quotes of either kind, and an apostrophe inside of double quotes is a part of the key.
+    """
+    # JSON's own reader knows both kinds of quotes
+    return F.from_json(text, "map<string,double>", {"allowSingleQuotes": "true"})
 
 
 def labelled(records: DataFrame, codes: DataFrame, labels: list[str]) -> DataFrame:
@@ -69,6 +74,19 @@ def preprocessed(recordings: DataFrame, patients: DataFrame, leads: list[int], f
     return kept.join(known, "recording_id").withColumn("leads", chosen)
 
 
+def raw_to_mat(spark: SparkSession, raw: str, patients: DataFrame, codes: DataFrame, labels: list[str], leads: list[int], out: str, fs: int | None = None) -> DataFrame:
+    """From a folder of WFDB records to one of labelled MAT files, in one job; returns its manifest (name, bytes, crc32).
+
+    Records go as in preprocessed() and, without codes, as in labelled(). A record's id is its name's number, without leading zeros and the
+    `_hr` or `_lr` behind it; the file is HR<id>.mat, and the patient a number.
+    """
+    read = binary.wfdb(spark, raw).select(F.regexp_extract("record", r"^0*(\d+?)(?:_[hl]r)?$", 1).alias("recording_id"), "fs", "leads")
+    kept = preprocessed(read, patients.withColumn("recording_id", F.col("recording_id").cast("string")), leads, fs)
+    made = labelled(kept, codes.withColumn("recording_id", F.col("recording_id").cast("string")), labels)
+    named = made.select(F.concat(F.lit("HR"), "recording_id", F.lit(".mat")).alias("name"), F.col("leads").alias("feats"), F.col("fs").alias("curr_sample_rate"), F.col("patient_id").cast("double").alias("patient_id"), F.col("label").cast("array<double>").alias("label"))
+    return binary.write_files(binary.as_mat(named), out)
+
+
 def shortest_queue(workers: DataFrame, group: str | None = None) -> DataFrame:
     """The worker with the least queue_length / speed, the smaller worker_id on ties; those without speed don't count."""
     keys = [group] if group else []

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..operators import etl
 from ..sources import binary, table
 from .catalog import query, r6, records, signals, vectors
 
@@ -42,24 +43,27 @@ def index_files(spark, d):
     return rows.join(near, "doc_id", "left").select("doc_id", "lang", norm.alias("norm"))
 
 
-@query("SELECT count(*) AS n, 64 AS digits, true AS same, true AS bm25_only FROM documents")
+@query("""WITH h AS (SELECT sha256('{"doc_id":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || '}') AS h FROM documents),
+p AS (SELECT i, sum(('0x' || h[1 + 12 * i : 12 + 12 * i])::BIGINT::HUGEINT) AS s FROM h, (SELECT unnest(range(0, 5)) AS i) GROUP BY 1)
+SELECT (SELECT count(*) FROM h) AS n, sha256(string_agg(s::VARCHAR, ',' ORDER BY i)) AS sha256, true AS same, true AS bm25_only FROM p""")
 def index_checksum(spark, d):
     path, rows = scratch(spark, "index"), table(spark, d, "documents").select("doc_id", "lang")
     sources.write_index(rows, path)
     again, near = sources.read_index(spark, path)
-    one, two = sources.checksum(rows), sources.checksum(again.repartition(3))
-    return one.alias("a").join(two.alias("b"), "count").select(F.col("count").alias("n"), F.length("a.sha256").alias("digits"), (F.col("a.sha256") == F.col("b.sha256")).alias("same"), F.lit(near is None).alias("bm25_only"))
+    one, two = spark.read.json(f"{path}/manifest"), sources.checksum(again.repartition(3))
+    return one.alias("a").join(two.alias("b"), "count").select(F.col("count").alias("n"), "a.sha256", (F.col("a.sha256") == F.col("b.sha256")).alias("same"), F.lit(near is None).alias("bm25_only"))
 
 
 @query("SELECT vec_id, " + ", ".join(f"round(x[{i}], 6) AS \"{c}\"" for i, c in enumerate(("V6", "I", "II", "V1", "V2", "V3", "V4", "V5"), 1)) + " FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)")
 def wearable_file(spark, d):
     path = scratch(spark, "wearable")
-    # the first channel carries the id, to six places below the signal's own
     names = sources.CHANNELS
     rows = signals(spark, d).select(F.lit("x").alias("time"), F.col("vec_id").alias("note"), *(r6(F.col("x")[i]).alias(f"{c}_mV") for i, c in enumerate(names)))
     rows.write.option("header", True).csv(path)
-    back = sources.wearable(spark, path)
-    return back.join(rows.select(F.col("note").alias("vec_id"), *(F.col(f"{c}_mV").alias(f"k{c}") for c in names)), [F.abs(F.col(c) - F.col(f"k{c}")) < 1e-9 for c in names]).select("vec_id", *(r6(c).alias(c) for c in names))
+    # what was read has no id: it is found again by all its values, as whole numbers
+    whole = lambda c: F.round(F.col(c) * 1000000).cast("long")
+    back = sources.wearable(spark, path).select(*names, *(whole(c).alias(f"k{c}") for c in names))
+    return back.join(rows.select(F.col("note").alias("vec_id"), *(whole(f"{c}_mV").alias(f"k{c}") for c in names)), [f"k{c}" for c in names]).select("vec_id", *(r6(c).alias(c) for c in names))
 
 
 @query("SELECT 'HR' || c_custkey || '.mat' AS ecg_file_path, '[''' || c_mktsegment || '(0.50)'']' AS top_classes, CASE WHEN c_custkey % 4 <> 0 THEN round(c_acctbal, 2) END AS PR_Interval_ms, CASE WHEN c_custkey % 4 = 0 THEN 'none' END AS error FROM customer")
@@ -73,14 +77,14 @@ def tool_output_files(spark, d):
     return one.join(two, "ecg_file_path").select("ecg_file_path", "top_classes", "PR_Interval_ms", "error")
 
 
-@query("SELECT conv_id, turn, md5(text) AS text, 'a' AS model FROM conversations WHERE turn % 2 = 1")
+@query("SELECT conv_id, turn, md5(text) AS text, 'a' AS model FROM conversations")
 def response_files(spark, d):
     shape = "conv_id long, turn long, text string, model string"
-    rows = table(spark, d, "conversations").where("turn % 2 = 1").withColumn("model", F.lit("a"))
+    rows = table(spark, d, "conversations").withColumn("model", F.lit("a"))
     path = scratch(spark, "a.jsonl")
-    # in two runs, as a run that was broken off is gone on with
-    sources.append_lines(rows.where("turn % 4 = 1"), path)
-    sources.append_lines(rows.where("turn % 4 = 3"), path)
+    # in two batches, the first of them run twice, as a run that was broken off is gone on with
+    for batch, part in (("one", "turn % 3 = 1"), ("one", "turn % 3 = 1"), ("two", "turn % 3 <> 1")):
+        sources.append_lines(rows.where(part), path, batch)
     every = sources.responses(spark, path, shape).unionByName(sources.responses(spark, scratch(spark, "absent.json"), shape))
     return every.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"), "model")
 
@@ -97,7 +101,7 @@ def tool_call_log(spark, d):
     path = scratch(spark, "calls")
     calls = table(spark, d, "events").groupBy(F.col("user_id").alias("tool_call_id"), F.col("event_type").alias("name")).agg(F.lit("{}").alias("args"), F.count("*").cast("string").alias("content"))
     sources.log_calls(calls, path)
-    return spark.read.schema("tool_call_id long, name string, args string, content string, timestamp timestamp").json(path).select("tool_call_id", "name", "content", F.col("timestamp").isNotNull().alias("stamped"))
+    return sources.appended(spark, path, "tool_call_id long, name string, args string, content string, timestamp timestamp").select("tool_call_id", "name", "content", F.col("timestamp").isNotNull().alias("stamped"))
 
 
 @query("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE s_suppkey % 2 = 0")
@@ -129,10 +133,10 @@ LEADS = "SELECT vec_id, l::INT AS lead, p::INT AS place, x[l * 32 + p + 1] AS x
 
 
 def two_leads(spark, d):
-    return signals(spark, d).where("vec_id % 25 = 0").select("vec_id", F.array(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("leads"))
+    return signals(spark, d).select("vec_id", F.array(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("leads"))
 
 
-@query(f"SELECT 'HR' || vec_id || '.mat' AS file, lead, place, round(x * 1000000)::BIGINT AS x, 500.0 AS fs FROM ({LEADS}) WHERE vec_id % 25 = 0")
+@query(f"SELECT 'HR' || vec_id || '.mat' AS file, lead, place, round(x * 1000000)::BIGINT AS x, 500.0 AS fs FROM ({LEADS})")
 def mat_files(spark, d):
     path = folder_of(scratch(spark, "mat"))
     rows = two_leads(spark, d).select(F.concat(F.lit("HR"), "vec_id", F.lit(".mat")).alias("name"), F.col("leads").alias("feats"), F.lit(500.0).alias("curr_sample_rate"), F.col("vec_id").cast("double").alias("patient_id"))
@@ -141,7 +145,7 @@ def mat_files(spark, d):
     return by_sample(back.select("file", "fs", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file", "fs")
 
 
-@query(f"SELECT 'r' || vec_id AS record, lead, place, 250.0 AS fs, CASE WHEN place <> 3 THEN round((round(x * 1000)::BIGINT - CASE WHEN lead = 0 THEN 12 ELSE -5 END) / CASE WHEN lead = 0 THEN 200.0 ELSE 1000.0 END * 1000000)::BIGINT END AS x FROM ({LEADS}) WHERE vec_id % 25 = 0")
+@query(f"SELECT 'r' || vec_id AS record, lead, place, 250.0 AS fs, CASE WHEN place <> 3 THEN round((round(x * 1000)::BIGINT - CASE WHEN lead = 0 THEN 12 ELSE -5 END) / CASE WHEN lead = 0 THEN 200.0 ELSE 1000.0 END * 1000000)::BIGINT END AS x FROM ({LEADS})")
 def wfdb_files(spark, d):
     path = folder_of(scratch(spark, "wfdb"))
 
@@ -168,7 +172,7 @@ def wfdb_files(spark, d):
     return by_sample(back, "record", "fs")
 
 
-@query(f"SELECT vec_id || '.npy' AS file, lead, place, round(x * 1000000)::BIGINT AS x FROM ({LEADS}) WHERE vec_id % 25 = 0")
+@query(f"SELECT vec_id || '.npy' AS file, lead, place, round(x * 1000000)::BIGINT AS x FROM ({LEADS})")
 def npy_files(spark, d):
     path = folder_of(scratch(spark, "npy"))
 
@@ -189,3 +193,79 @@ def npy_files(spark, d):
     binary.write_files(two_leads(spark, d).mapInPandas(array, "name string, content binary"), path)
     back = binary.npy(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("values").alias("v"))
     return by_sample(back.select("file", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file")
+
+
+@query("""WITH s AS (SELECT vec_id, lpad(vec_id::VARCHAR, 5, '0') AS name, CASE WHEN vec_id % 4 = 0 THEN 250 ELSE 500 END AS fs, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT user_id AS vec_id, max((event_type = 'view')::INT) AS v, max((event_type = 'error')::INT) AS r FROM events GROUP BY 1)
+SELECT 'HR' || vec_id || '.mat' AS file, 500.0 AS fs, (vec_id % 40)::DOUBLE AS patient, [v, r]::DOUBLE[]::VARCHAR AS label, md5(array_to_string(list_transform(range(0, 32), lambda i: round(x[33 + i] * 1000)::BIGINT), ',')) AS feats FROM s JOIN e USING (vec_id) WHERE vec_id % 4 <> 0 AND vec_id % 3 <> 0 AND vec_id % 11 <> 1""")
+def raw_to_mat(spark, d):
+    """WFDB records of all signals, made into labelled MAT files of the second lead in one job, and read again."""
+    raw, out = folder_of(scratch(spark, "raw")), folder_of(scratch(spark, "mat"))
+
+    def record(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            names, contents = [], []
+            for vec_id, leads in zip(frame["vec_id"], frame["leads"], strict=True):
+                lead = np.array([list(v) for v in leads])
+                x = (np.sign(lead) * np.floor(np.abs(lead) * 1000 + 0.5)).astype("<i2").T
+                if vec_id % 11 == 1:
+                    x[5, 0] = -32768  # no sample
+                name, rate = f"{vec_id:05d}_hr", 250 if vec_id % 4 == 0 else 500
+                names += [f"{name}.hea", f"{name}.dat"]
+                contents += [f"{name} 2 {rate} 32\n{name}.dat 16 1000/mV 16 0 0 0 0 I\n{name}.dat 16 1000/mV 16 0 0 0 0 II\n".encode(), x.tobytes()]
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    binary.write_files(two_leads(spark, d).mapInPandas(record, "name string, content binary"), raw)
+    events = table(spark, d, "events")
+    codes = events.groupBy(F.col("user_id").alias("recording_id")).agg(F.concat(F.lit("{"), F.array_join(F.collect_set(F.concat(F.lit("'"), "event_type", F.lit("': 100.0"))), ", "), F.lit("}")).alias("scp_codes"))
+    patients = signals(spark, d).where("vec_id % 3 <> 0").select(F.col("vec_id").alias("recording_id"), (F.col("vec_id") % 40).alias("patient_id"))
+    made = etl.raw_to_mat(spark, raw, patients, codes, ["view", "error"], [1], out, 500)
+    back = binary.mat(spark, out).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "arrays").join(made.select(F.col("name").alias("file")), "file")
+    of = lambda name: F.col("arrays")[name]["values"]
+    feats = F.md5(F.array_join(F.transform(of("feats"), lambda v: F.round(v * 1000).cast("long").cast("string")), ",").cast("binary"))
+    return back.select("file", of("curr_sample_rate")[0].alias("fs"), of("patient_id")[0].alias("patient"), F.concat(F.lit("["), F.array_join(F.transform(of("label"), lambda v: v.cast("string")), ", "), F.lit("]")).alias("label"), feats.alias("feats"))
+
+
+FRAMES = """WITH s AS (SELECT vec_id, vec_id % 7 AS device_id, (vec_id // 7) * 8 + CASE WHEN vec_id // 7 % 5 = 4 THEN -3 WHEN vec_id // 7 % 5 = 2 THEN 2 ELSE 0 END AS first_index, embedding::DOUBLE[] AS x FROM embeddings),
+c AS (SELECT s.*, list_transform(range(0, 8), lambda ch: list_transform(range(0, 8), lambda p: greatest(-60, least(60, round(x[ch * 8 + p + 1] * 20)))::BIGINT)) AS channels, CASE vec_id % 13 WHEN 5 THEN 'no waveform begins' WHEN 6 THEN '55 differences for 8 samples' END AS error FROM s)"""
+
+
+def wearable_frames(spark, d):
+    """embeddings as frames of eight channels of eight samples, some with gaps, overlaps or broken bytes."""
+    from ..sources import frames
+
+    k = F.floor(F.col("vec_id") / 7)
+    shift = F.when(k % 5 == 4, -3).when(k % 5 == 2, 2).otherwise(0)
+    rows = signals(spark, d).select("vec_id", (F.col("vec_id") % 7).alias("device_id"), (k * 8 + shift).alias("first_index"), F.transform("x", lambda v: F.greatest(F.lit(-60), F.least(F.lit(60), F.round(v * 20))).cast("int")).alias("x"))
+
+    def encoded(batches):
+        import numpy as np
+
+        for frame in batches:
+            contents = []
+            for vec_id, first, x in zip(frame["vec_id"], frame["first_index"], frame["x"], strict=True):
+                content = frames.encoded(np.array(x).reshape(8, 8), max(0, first), hr=60)
+                contents.append(content[:50] + b"\0" + content[51:] if vec_id % 13 == 5 else content[:-1] if vec_id % 13 == 6 else content)
+            yield frame[["vec_id", "device_id"]].assign(content=contents)
+
+    return frames.frames(rows.where("first_index >= 0").mapInPandas(encoded, "vec_id long, device_id long, content binary"))
+
+
+@query(f"{FRAMES} SELECT vec_id, device_id, first_index, 8 AS count, 60 AS hr, error, CASE WHEN error IS NULL THEN array_to_string(list_transform(channels, lambda c: array_to_string(c, ',')), ';') END AS samples FROM c WHERE first_index >= 0")
+def frames_decoded(spark, d):
+    joined = F.array_join(F.transform("channels", lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")), ";")
+    return wearable_frames(spark, d).select("vec_id", "device_id", "first_index", "count", "hr", "error", joined.alias("samples"))
+
+
+@query(f"""{FRAMES}, g AS (SELECT *, coalesce(max(first_index + 8) OVER (PARTITION BY device_id ORDER BY first_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_index) AS seen FROM c WHERE first_index >= 0 AND error IS NULL),
+k AS (SELECT *, least(8, greatest(0, seen - first_index)) AS known FROM g)
+SELECT vec_id, device_id, greatest(0, first_index - seen) AS missing, known::INT AS known, array_to_string(list_transform(list_transform(channels, lambda c: c[known + 1 :]), lambda c: array_to_string(list_transform(c, lambda v: round(v * 0.002467, 6)::DECIMAL(12,6)), ',')), ';') AS mv FROM k""")
+def frames_in_order(spark, d):
+    from ..sources import frames
+
+    rows = frames.in_order(wearable_frames(spark, d))
+    text = F.array_join(F.transform(frames.millivolts(F.col("channels")), lambda c: F.array_join(F.transform(c, lambda v: F.round(v, 6).cast("decimal(12,6)").cast("string")), ",")), ";")
+    return rows.select("vec_id", "device_id", "missing", "known", text.alias("mv"))

@@ -147,9 +147,19 @@ SELECT device_id, t, NOT (c >= 2), CASE WHEN c >= 2 THEN t ELSE -1e18 END, c >=
 UNION ALL SELECT g.device_id, g.t, (f.armed OR (g.t - f.last >= 3 AND g.c < 2)) AND NOT ((f.armed OR (g.t - f.last >= 3 AND g.c < 2)) AND g.c >= 2), CASE WHEN f.armed AND g.c >= 2 THEN g.t ELSE f.last END, f.armed AND g.c >= 2 FROM f JOIN g ON g.device_id = f.device_id AND g.t = f.t + 1)
 SELECT device_id, t, round(score, 6) AS score, round(smoothed, 6) AS smoothed, abnormal = 1 AS abnormal, c::INT AS count, CASE WHEN armed THEN 'armed' ELSE 'refractory' END AS state, wake FROM f JOIN g USING (device_id, t)""")
 def gate_stateful(spark, d):
+    """The decisions of a stream over the scores in three micro-batches, started anew from its checkpoint for each."""
+    from ..streaming import gate, state
+
+    made = state.replayed(device_scores(spark, d), "t", 3, lambda stream: gate.gated(stream, GATE))
+    return made.withColumns({"score": r6("score"), "smoothed": r6("smoothed")})
+
+
+@query(f"WITH {GATED.replace('>= 60)', '>= 40)').replace('3 PRECEDING', '1 PRECEDING')} SELECT device_id, min(t) AS t FROM g WHERE c = 2 GROUP BY 1")
+def gate_debounced(spark, d):
+    """The first wake of each device by the older setting: two abnormal marks in a row."""
     from ..streaming import gate
 
-    return gate.gated(device_scores(spark, d), GATE).withColumns({"score": r6("score"), "smoothed": r6("smoothed")})
+    return gate.wakes(device_scores(spark, d), gate.Gate.debounced(40.0, 2, smooth=3, refractory=3.0)).groupBy("device_id").agg(F.min("t").alias("t"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id AS device_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS t, value / 2 + 10 AS score, (event_type = 'error')::INT AS y FROM events),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,7 +121,9 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Model responses of a .jsonl file or a .json array; no rows where there is no file."""
+    """Model responses of a .jsonl file, a .json array or what was appended; no rows where there is no file."""
+    if exists(spark, f"{path}/commits"):
+        return appended(spark, path, schema)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
@@ -179,11 +183,48 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    """JSON lines added to those that are there, so that a run can be resumed by anti-join."""
-    rows.write.mode("append").json(path)
+def append_lines(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """JSON lines added to those that are there, once for each name of a batch; each call is a batch of its own without one.
+
+    The rows go to a new folder, and count from when a file of the batch's name, put in place in one step, names it. A run
+    that was broken off before that leaves a folder that no reader looks at; a batch that is there already is not written again.
+    """
+    spark = rows.sparkSession
+    batch = re.sub(r"[^A-Za-z0-9_-]", lambda m: f"%{ord(m[0]):x}", batch or uuid.uuid4().hex)
+    if exists(spark, f"{path}/commits/{batch}"):
+        return
+    part = f"part-{uuid.uuid4().hex}"
+    rows.write.json(f"{path}/parts/{part}")
+    commit(spark, f"{path}/commits/{batch}", part)
+
+
+def commit(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place by renaming it, so that it is whole or not there; False if there is one already, which stays."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target, own = place(path), place(f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    done = not system.exists(target) and system.rename(own, target)
+    if not done:
+        system.delete(own, False)
+    return done
+
+
+def appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON lines of all batches that were committed; no rows where there are none."""
+    if not exists(spark, f"{path}/commits"):
+        return spark.createDataFrame([], schema)
+    parts = [r[0] for r in spark.read.text(f"{path}/commits").collect()]  # one for each batch
+    return spark.read.schema(schema).json([f"{path}/parts/{p}" for p in parts]) if parts else spark.createDataFrame([], schema)
+
+
+def appending(path: str, job: str):
+    """For foreachBatch: each micro-batch of the job is appended once, however often it is run."""
+    return lambda rows, number: append_lines(rows, path, f"{job}-{number}")
 
 
-def log_calls(calls: DataFrame, path: str) -> None:
-    """Tool calls (tool_call_id, name, args, content) with the time of logging, added to those that are there."""
-    append_lines(calls.select("tool_call_id", "name", "args", "content", F.current_timestamp().alias("timestamp")), path)
+def log_calls(calls: DataFrame, path: str, batch: str | None = None) -> None:
+    """Tool calls (tool_call_id, name, args, content) with the time of logging, added to those that are there; once for each name of a batch."""
+    append_lines(calls.select("tool_call_id", "name", "args", "content", F.current_timestamp().alias("timestamp")), path, batch)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -164,31 +165,58 @@ def mat_bytes(arrays: dict[str, np.ndarray]) -> bytes:
 
 
 def as_mat(recordings: DataFrame) -> DataFrame:
-    """name, content: a MAT file's bytes for each recording (name, feats array<array<double>>, curr_sample_rate, patient_id), as those files hold them."""
+    """name, content: a MAT file's bytes for each recording (name, feats array<array<double>>, curr_sample_rate, patient_id; label array<double>, if it is there), as those files hold them."""
+    columns = ["name", "feats", "curr_sample_rate", "patient_id", *(["label"] if "label" in recordings.columns else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [mat_bytes({"feats": np.array([list(x) for x in row.feats]), "curr_sample_rate": row.curr_sample_rate, "patient_id": row.patient_id}) for row in frame.itertuples(index=False)]
+            made = []
+            for row in frame.to_dict("records"):
+                held = {"feats": np.array([list(x) for x in row["feats"]]), "curr_sample_rate": row["curr_sample_rate"], "patient_id": row["patient_id"]}
+                made.append(mat_bytes(held | ({"label": row["label"]} if "label" in row else {})))
             yield pd.DataFrame({"name": frame["name"], "content": made})
 
-    return recordings.select("name", "feats", "curr_sample_rate", "patient_id").mapInPandas(run, "name string, content binary")
+    return recordings.select(*columns).mapInPandas(run, "name string, content binary")
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Files (name, content) in a folder of any file system that Spark knows; each task writes its own rows through Hadoop.
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (name, content) in a folder of any file system that Spark knows; returns its manifest: name, bytes, crc32.
 
-    A file that is there is replaced, so a task that is run again does no harm. The driver writes nothing but the folder.
+    Each task writes its own rows through Hadoop. A file gets its name when it is whole, so a task that is killed, or run twice, leaves
+    none in part under its name. The manifest is a table of what tasks that have ended wrote, and is there when all have; a file of a name that is there is replaced.
     """
     # Spark's own writers have no format for files of raw bytes, so content goes by way of pyarrow's file systems
     from pyarrow import fs
 
+    spark = files.sparkSession
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
-                with system.open_output_stream(f"{base}/{name}") as out:
+                own = f"{base}/_{uuid.uuid4().hex}"  # hidden from readers
+                with system.open_output_stream(own) as out:
                     out.write(content)
-            yield pd.DataFrame({"n": [len(frame)]})
+                try:
+                    system.move(own, f"{base}/{name}")
+                except OSError:  # some file systems don't replace
+                    system.delete_file(f"{base}/{name}")
+                    system.move(own, f"{base}/{name}")
+            yield pd.DataFrame({"name": frame["name"], "bytes": [len(x) for x in frame["content"]], "crc32": [zlib.crc32(x) for x in frame["content"]]})
+
+    path = f"{folder}/_manifest"
+    files.select("name", "content").mapInPandas(run, "name string, bytes long, crc32 long").write.mode("overwrite").parquet(path)
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """name, bytes, crc32 of the files that a finished write_files() has put in a folder."""
+    return spark.read.parquet(f"{folder}/_manifest")
+
 
-    files.select("name", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+def altered(spark: SparkSession, folder: str) -> DataFrame:
+    """name, why: files of the manifest that are not there (`missing`) or not what was written (`changed`)."""
+    there = _files(spark, folder, "*").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.crc32("content").alias("_crc32"))
+    why = F.when(F.col("_crc32").isNull(), "missing").when(F.col("_crc32") != F.col("crc32"), "changed")
+    return manifest(spark, folder).join(there, "name", "left").select("name", why.alias("why")).where("why is not null")

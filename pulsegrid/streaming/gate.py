@@ -11,7 +11,6 @@ keeps those numbers and the tails of the scores and marks for each device.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -19,7 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .state import remembered
 
 
 @dataclass(frozen=True)
@@ -122,41 +122,29 @@ def decided(scores: DataFrame, gate: Gate) -> DataFrame:
     return rows.select("device_id", "t", "score", "smoothed", F.col("abnormal").cast("boolean").alias("abnormal"), F.col("count").cast("int").alias("count"), state.alias("state"), "wake")
 
 
-def gated(scores: DataFrame, gate: Gate, watermark: str | None = None, idle: float = 3600.0) -> DataFrame:
+def gated(scores: DataFrame, gate: Gate, watermark: str | None = None, idle: float = 3600.0, ttl: float | None = None) -> DataFrame:
     """Decisions for a stream of scores (device_id, t, score), a device at a time, with state; of a batch, by decided().
 
     Rows of a device within a micro-batch are taken in the order of t; a row not later than one that was decided
     before is dropped. With `watermark` the rows also have the event time `ts`, rows later than that are
-    dropped, and a device's state goes `idle` seconds after its latest event; it then starts anew. Without, state stays.
+    dropped, and a device's state goes `idle` seconds after its latest event; with `ttl`, so many seconds of the clock after its
+    last rows. It then starts anew. Without, state stays.
     """
     if not scores.isStreaming:
         return decided(scores, gate)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get if state.exists else None
-        latest, seen = (before[4], before[5]) if before else (None, 0)
-        rows = pd.concat(list(frames)).sort_values("t")
-        if latest is not None:
-            rows = rows[rows["t"] > latest]
+    def step(key: tuple, before: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         memory = Memory(tuple(before[0]), tuple(before[1]), before[2], before[3]) if before else Memory()
-        if len(rows):
-            memory, out = steps(gate, memory, rows["t"].to_numpy(dtype=float), rows["score"].to_numpy(dtype=float))
-            latest = float(rows["t"].iloc[-1])
-            if watermark:
-                seen = max(seen, int(rows["ts"].max().timestamp() * 1000))
-            yield out.assign(device_id=key[0])[[c.split()[0] for c in OUT.split(", ")]]
-        state.update((list(memory.scores), list(memory.marks), memory.last_wake, memory.last_low, latest, seen))
-        if watermark:
-            state.setTimeoutTimestamp(max(seen + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+        latest = before[4] if before else -np.inf
+        rows = rows[rows["t"] > latest].sort_values("t")
+        memory, out = steps(gate, memory, rows["t"].to_numpy(dtype=float), rows["score"].to_numpy(dtype=float)) if len(rows) else (memory, pd.DataFrame())
+        latest = float(rows["t"].iloc[-1]) if len(rows) else latest
+        out = out.assign(device_id=key[0])[[c.split()[0] for c in OUT.split(", ")]] if len(rows) else out
+        return (list(memory.scores), list(memory.marks), memory.last_wake, memory.last_low, latest), out
 
-    rows = scores.withWatermark("ts", watermark) if watermark else scores
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return rows.groupBy("device_id").applyInPandasWithState(run, OUT, "scores array<double>, marks array<int>, last_wake double, last_low double, latest double, seen long", "append", timeout)
+    return remembered(scores, "device_id", "scores array<double>, marks array<int>, last_wake double, last_low double, latest double", step, OUT, watermark, idle, ttl)
 
 
 def start(scores: DataFrame, gate: Gate, on_batch, checkpoint: str, **how):
-    """Run the gate on a stream: on_batch(decisions, batch_id) gets each micro-batch's decisions."""
+    """Run the gate on a stream, of a session with the rocksdb() store: on_batch(decisions, batch_id) gets each micro-batch's decisions."""
     return gated(scores, gate, **how).writeStream.outputMode("append").foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()

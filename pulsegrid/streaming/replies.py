@@ -8,18 +8,23 @@ same however the reply is cut.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .state import remembered
 
 #: Fixed: actions whose replies are a tool's.
 TOOLS = ("call_classification_tool", "call_measurement_tool", "call_morphology_tool", "call_signal_quality_tool")
-#: Fixed: what the tags look like.
-CONTENT = r"^[ \t]*\[?[ \t]*content[ \t]*:"
-ACTION = r"^[ \t]*\[?[ \t]*action[ \t]*[:\-][ \t]*([a-z_]+)"
+
+
+def tag_line(name: str, separators: str = ":") -> str:
+    """What begins a tagged line: blanks, a bracket or none, the tag's name and a separator, with blanks between them."""
+    return "^" + r"[ \t]*".join(["", r"\[?", name, f"[{separators}]"])
+
+
+CONTENT, ACTION = tag_line("content"), tag_line("action", r":\-") + r"[ \t]*([a-z_]+)"
 #: What str.strip() strips, for Java.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 CONTENT_TAG, ACTION_TAG = (re.compile(p, re.IGNORECASE | re.MULTILINE) for p in (CONTENT, ACTION + "(?![a-z_])"))
@@ -54,45 +59,30 @@ def step(phase: int, held: str, piece: str, tools: tuple[str, ...] = TOOLS) -> t
     return (SHOWING if piece else phase), "", piece
 
 
-def pieces_shown(pieces: DataFrame, tools: tuple[str, ...] = TOOLS, watermark: str | None = None, idle: float = 600.0) -> DataFrame:
+OUT = "reply_id long, nth int, shown string"
+
+
+def pieces_shown(pieces: DataFrame, tools: tuple[str, ...] = TOOLS, watermark: str | None = None, idle: float = 600.0, ttl: float | None = None) -> DataFrame:
     """reply_id, nth, shown: what of each piece (reply_id, nth, piece) is shown; pieces of nothing are left out.
 
-    A reply is a key, so it is one task's at a time. On a stream its phase and the text before its tags are state; pieces have to come in
-    the order of nth over micro-batches. With `watermark` the pieces also have the event time `ts`, and a reply's state goes
-    `idle` seconds after its latest piece.
+    In batch what is shown of the joined text, which is its end, is cut by the pieces' lengths. On a stream a reply's phase and the text
+    before its tags are state; pieces have to come in the order of nth over micro-batches. With `watermark` the pieces also have the event time
+    `ts`, and a reply's state goes `idle` seconds after its latest piece; with `ttl`, so many seconds of the clock after it.
     """
-    out = "reply_id long, nth int, shown string"
-
-    def advance(rows: pd.DataFrame, phase: int, held: str) -> tuple[int, str, pd.DataFrame]:
-        found = []
+    if not pieces.isStreaming:
+        whole = pieces.groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("piece", F.lit("")).alias("piece")))).alias("p"))
+        whole = whole.select("reply_id", F.array_join("p.piece", "").alias("text")).select("reply_id", F.length("text").alias("_all"), F.length(shown(F.col("text"), tools)).alias("_shown")).where("_shown > 0")
+        end = F.sum(F.coalesce(F.length("piece"), F.lit(0))).over(Window.partitionBy("reply_id").orderBy("nth"))
+        cut = pieces.select("reply_id", "nth", "piece", end.alias("_end")).join(whole, "reply_id").withColumn("_own", F.least(F.length("piece"), F.col("_end") - F.col("_all") + F.col("_shown"))).where("_own > 0")
+        return cut.select(F.col("reply_id").cast("long").alias("reply_id"), F.col("nth").cast("int").alias("nth"), F.substr("piece", F.length("piece") - F.col("_own").cast("int") + 1).alias("shown"))
+
+    def advance(key: tuple, before: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        phase, held = before or (WAITING, "")
+        rows, found = rows.sort_values("nth"), []
         for nth, piece in zip(rows["nth"].tolist(), rows["piece"].tolist(), strict=True):
             phase, held, now = step(phase, held, piece or "", tools)
             if now:
-                found.append((nth, now))
-        return phase, held, pd.DataFrame(found, columns=["nth", "shown"])
-
-    if not pieces.isStreaming:
+                found.append((key[0], nth, now))
+        return (phase, held), pd.DataFrame(found, columns=["reply_id", "nth", "shown"])
 
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            made = advance(rows.sort_values("nth"), WAITING, "")[2]
-            return made.assign(reply_id=rows["reply_id"].iloc[0])[["reply_id", "nth", "shown"]]
-
-        return pieces.groupBy("reply_id").applyInPandas(whole, out)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        phase, held, seen = state.get if state.exists else (WAITING, "", 0)
-        rows = pd.concat(list(frames)).sort_values("nth")
-        phase, held, made = advance(rows, phase, held)
-        if watermark:
-            seen = max(seen, int(rows["ts"].max().timestamp() * 1000))
-        state.update((phase, held, seen))
-        if watermark:
-            state.setTimeoutTimestamp(max(seen + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
-        if len(made):
-            yield made.assign(reply_id=key[0])[["reply_id", "nth", "shown"]]
-
-    rows = pieces.withWatermark("ts", watermark) if watermark else pieces
-    return rows.groupBy("reply_id").applyInPandasWithState(run, out, "phase int, held string, seen long", "append", GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout)
+    return remembered(pieces, "reply_id", "phase int, held string", advance, OUT, watermark, idle, ttl)

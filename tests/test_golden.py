@@ -12,6 +12,7 @@ from pulsegrid import sources
 from pulsegrid.functions import arrays, text
 from pulsegrid.operators import dialogue, etl, evaluation, metrics, retrieval, signal
 from pulsegrid.streaming import replies
+from pulsegrid.streaming.state import replayed, rocksdb
 from pulsegrid.streaming.gate import Gate, Memory, gated, start, steps, wakes
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def test_gate_on_a_stream_equals_batch(spark, tmp_path):
     for part in range(2):
         spark.createDataFrame(scores[part * 20 : part * 20 + 20], SCORES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)  # file times order the micro-batches
-    stream = spark.readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = rocksdb(spark).readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = start(stream, gate, lambda batch, n: seen.extend(batch.collect()), str(tmp_path / "check"))
     try:
         run.processAllAvailable()
@@ -151,6 +152,7 @@ def test_replies_shown_in_batch(spark):
 def run_stream(spark, tmp_path, batches, schema, build):
     """Rows and the number of states after each micro-batch of a stream over files of the batches."""
     (tmp_path / "in").mkdir()
+    rocksdb(spark)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen, states = [], []
     run = build(stream).writeStream.outputMode("append").foreachBatch(lambda rows, _: seen.extend(rows.collect())).option("checkpointLocation", str(tmp_path / "check")).start()
@@ -173,6 +175,20 @@ def test_gate_forgets_devices_that_went_silent(spark, tmp_path):
     assert states[0] == 2 and states[-2] == 1 and [(r.device_id, r.t) for r in seen if r.wake] == [("a", 0.0), ("a", 7400.0)]
 
 
+def test_gate_that_starts_again_from_its_state(spark):
+    gate = Gate(1, smooth=3, m=2, n=3, refractory=4)
+    scores = [(f"d{i % 3}", float(i // 3), float((i * 7) % 5)) for i in range(90)]
+    rows = spark.createDataFrame(scores, SCORES)
+    for parts in (1, 4):
+        got = replayed(rows, "t", parts, lambda s: gated(s, gate))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, gated(rows, gate).collect())) and got.where("wake").count()
+
+
+def test_state_goes_by_one_clock(spark):
+    with pytest.raises(ValueError):
+        gated(rocksdb(spark).readStream.format("rate").load().selectExpr("'a' AS device_id", "1D AS t", "1D AS score", "timestamp AS ts"), Gate(1), "1 second", ttl=5.0)
+
+
 def test_replies_shown_on_a_stream(spark, tmp_path):
     batches = [[(1, 0, "Action: resp"), (2, 0, "Action: call_morph"), (1, 1, "onse\nCont")], [(1, 2, "ent: a"), (2, 1, "ology_tool\nContent: x")], [(1, 3, "b"), (2, 2, "y")]]
     seen, _ = run_stream(spark, tmp_path, batches, "reply_id long, nth int, piece string", replies.pieces_shown)

@@ -65,7 +65,7 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([(1,), (2,)], "x int")
     for _ in range(2):
         sources.append_lines(rows, str(tmp_path / "lines"))
-    assert spark.read.json(str(tmp_path / "lines")).count() == 4
+    assert sources.appended(spark, str(tmp_path / "lines"), "x int").count() == 4
     sources.write_report(rows, str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns == ["x"]
 
