@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..sources import exists
+
 #: Fixed: tool actions, and those whose answers are shown to the user.
 CLASSIFICATION, MEASUREMENT, FOLLOW_UP = "call_classification_tool", "call_measurement_tool", "response_followup"
 SHOWN = ("response", "response_followup", "system_bye")
@@ -46,9 +54,22 @@ def aligned(truth: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def prefixes(turns: DataFrame, line: Column) -> DataFrame:
-    """One example for each assistant turn: all lines so far, in order."""
-    so_far = F.collect_list(line).over(by_pos().rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumns({"history": F.array_join(so_far, "\n"), "target": line}).where("role = 'assistant'").select("sample_id", "pos", "history", "target")
+    """One example for each assistant turn: all lines before it, in order, and its own.
+
+    A dialogue is joined once, and a turn's history is what stands before its line in it: nothing is gathered anew for each turn.
+    """
+    lines = turns.select("sample_id", "pos", "role", line.alias("target"))
+    whole = lines.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x.target), "\n").alias("_whole"))
+    before = F.sum(F.coalesce(F.length("target") + 1, F.lit(0))).over(Window.partitionBy("sample_id").orderBy("pos", "target").rowsBetween(Window.unboundedPreceding, -1))
+    rows = lines.withColumn("_before", F.coalesce(before, F.lit(0)).cast("int")).where("role = 'assistant'")
+    return rows.join(whole, "sample_id").select("sample_id", "pos", F.substr("_whole", F.lit(1), F.greatest(F.col("_before") - 1, F.lit(0))).alias("history"), "target")
+
+
+def tagged(turns: DataFrame) -> Column:
+    """The line of a turn in training examples: what a user says, what an assistant does, thinks and says as tagged lines, what it hasn't left out; tool output wins over content."""
+    part = lambda c, tag, end="\n": F.concat(F.lit(f"{tag}: "), F.col(c), F.lit(end)) if c in turns.columns else F.lit(None).cast("string")
+    said = F.concat_ws("", part("action", "Action"), part("thought", "Thought"), F.coalesce(part("tool_output", "Tool_Output", ""), part("content", "Content", "")))
+    return F.concat(F.col("role"), F.lit(": "), F.when(F.col("role") == "assistant", F.trim(said)).otherwise(F.coalesce("content", F.lit(""))))
 
 
 def conversation(turns: DataFrame) -> DataFrame:
@@ -86,3 +107,59 @@ def pending(keys: DataFrame, done: DataFrame, on: list[str], again: Column | Non
 def unjudged(keys: DataFrame, judged: DataFrame, on: list[str], answer: str) -> DataFrame:
     """Keys that still have to be judged: those without a judgement, and those whose kept one is an empty answer, which does not count."""
     return pending(keys, judged, on, F.coalesce(F.trim(answer), F.lit("")) == "")
+
+
+def asked(prompts: DataFrame, call: Callable[[str], str], folder: str, tries: int = 4, wait: float = 2.0, per_second: float | None = None, parts: int = 4, otherwise: str | None = None) -> DataFrame:
+    """key, answer of prompts (key, prompt) from `call`, which a judge's client is handed in as; answers that are in the folder are not asked for again.
+
+    A task asks one prompt after the other, all `parts` of them together `per_second` times a second at most. A call that fails is tried again after
+    `wait`, twice that, three times that ... seconds; after `tries` of them it is an error, or the answer is `otherwise`, which is not kept. An answer
+    is a file of its key as soon as it is there, so what is run again, a task or the job, asks for the rest only. An empty
+    answer is none: it is not kept either.
+    """
+    from pyarrow import fs
+
+    where = folder if "://" in folder else f"file://{folder}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(where)
+        system.create_dir(base, recursive=True)
+        ready = 0.0
+
+        def ask(prompt: str) -> str | None:
+            nonlocal ready
+            for nth in range(1, tries + 1):
+                time.sleep(max(0.0, ready - time.monotonic()))
+                ready = time.monotonic() + (parts / per_second if per_second else 0.0)
+                try:
+                    return call(prompt)
+                except Exception:
+                    if nth == tries and otherwise is None:
+                        raise
+                if nth < tries:
+                    time.sleep(wait * nth)
+            return None
+
+        for frame in frames:
+            rows = []
+            for key, prompt in zip(frame["key"], frame["prompt"], strict=True):
+                path = f"{base}/{hashlib.sha256(key.encode()).hexdigest()}.json"
+                if system.get_file_info(path).type == fs.FileType.File:
+                    with system.open_input_stream(path) as held:
+                        answer = json.loads(held.read())["answer"]
+                else:
+                    answer = ask(prompt)
+                    if answer and answer.strip():
+                        with system.open_output_stream(path + "_") as out:
+                            out.write(json.dumps({"key": key, "answer": answer}).encode())
+                        system.move(path + "_", path)
+                rows.append((key, otherwise if answer is None else answer))
+            yield pd.DataFrame(rows, columns=["key", "answer"])
+
+    return prompts.select(F.col("key").cast("string").alias("key"), "prompt").repartition(parts, "key").mapInPandas(run, "key string, answer string")
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """key, answer of all that asked() has kept; no rows where there is no folder."""
+    shape = "key string, answer string"
+    return spark.read.schema(shape).option("pathGlobFilter", "*.json").json(folder) if exists(spark, folder) else spark.createDataFrame([], shape)

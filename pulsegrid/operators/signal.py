@@ -120,9 +120,11 @@ def quality(recordings: DataFrame, fs: int, beats: DataFrame | None = None) -> D
     counts = recordings.groupBy("recording_id").agg(F.count("*").alias("leads"))
     clean = arrays.cleaned(x.cast("array<double>"))
     rows = recordings.where(F.col("lead").isin(*ELECTRODES)).withColumns({
-        "snr": spectral.snr_udf(fs)(clean), "drift": spectral.share_udf(fs, 0.0, 2.0)(clean), "buzz": spectral.share_udf(fs, 40.0, fs)(clean),
+        "_power": spectral.quality_udf(fs)(clean),
         "invalid": F.coalesce(arrays.dead(x), F.lit(True)), "flat": F.coalesce(arrays.flat_line(x, fs), F.lit(False)),
     })
+    # a NaN is no verdict
+    rows = rows.select("*", F.nanvl("_power.snr", F.lit(None).cast("double")).alias("snr"), F.col("_power.drift").alias("drift"), F.col("_power.buzz").alias("buzz")).drop("_power")
     rate = F.lit(False)
     if beats is not None:
         rows = rows.join(beats, ["recording_id", "lead"], "left")

@@ -223,6 +223,16 @@ def prefix_examples(spark, d):
     return made.select("sample_id", "pos", F.md5(F.col("history").cast("binary")).alias("history"), F.md5(F.col("target").cast("binary")).alias("target"))
 
 
+@query(f"""WITH {TURNS}, l AS (SELECT *, CASE WHEN role = 'assistant' THEN role || ': Action: ' || action || chr(10) || CASE WHEN pos % 4 = 3 THEN '' ELSE 'Thought: turn ' || pos || chr(10) END || CASE WHEN action = 'call_classification_tool' THEN 'Tool_Output: ' || md5(content) ELSE 'Content: ' || rtrim(content, ' ') END ELSE role || ': ' || content END AS line FROM t WHERE trim(content) <> ''),
+w AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM l) SELECT sample_id, pos, md5(coalesce(h, '')) AS history, md5(line) AS target FROM w WHERE role = 'assistant'""")
+def training_examples(spark, d):
+    """Examples in the tagged format: thoughts for most turns, tool output for calls."""
+    said = turns(spark, d).withColumn("thought", F.when(F.col("pos") % 4 != 3, F.concat(F.lit("turn "), F.col("pos").cast("string"))))
+    said = said.withColumn("tool_output", F.when(F.col("action") == dialogue.CLASSIFICATION, F.md5(F.col("content").cast("binary"))))
+    made = dialogue.prefixes(dialogue.valid(said), dialogue.tagged(said))
+    return made.select("sample_id", "pos", F.md5(F.col("history").cast("binary")).alias("history"), F.md5(F.col("target").cast("binary")).alias("target"))
+
+
 @query(f"WITH {TURNS} SELECT sample_id, count(*) AS turns, md5(string_agg(role || ': ' || content, chr(10) ORDER BY pos)) AS text FROM t WHERE (role = 'user' OR action IN ('response', 'response_followup', 'system_bye')) AND trim(content) <> '' GROUP BY 1")
 def clean_dialogue(spark, d):
     return dialogue.conversation(turns(spark, d)).select("sample_id", "turns", F.md5(F.col("text").cast("binary")).alias("text"))

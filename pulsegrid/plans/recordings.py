@@ -54,27 +54,38 @@ p AS (SELECT vec_id, k, (pow(list_sum(list_transform(y, lambda v, i: v * cos(2 *
 
 @query(f"""{X}, {DFT} SELECT vec_id, round(sum(p) FILTER (f >= 2 AND f < 40) / sum(p) FILTER (f < 2 OR f >= 40), 6) AS snr, round(sum(p) FILTER (f < 2) / sum(p), 6) AS drift, round(sum(p) FILTER (f >= 40) / sum(p), 6) AS buzz FROM p GROUP BY 1""")
 def spectral_quality(spark, d):
-    share = lambda low, high: r6(spectral.share_udf(100.0, low, high)(F.col("x")))
-    return signals(spark, d).select("vec_id", r6(spectral.snr_udf(100.0)(F.col("x"))).alias("snr"), share(0.0, 2.0).alias("drift"), share(40.0, 100.0).alias("buzz"))
+    rows = signals(spark, d).select("vec_id", spectral.quality_udf(100.0)(F.col("x")).alias("q"))
+    return rows.select("vec_id", *(r6(f"q.{c}").alias(c) for c in ("snr", "drift", "buzz")))
 
 
-NUM, DEN = spectral.butterworth(100.0, spectral.NOISE)
-ORDER = len(DEN) - 1
 listed = lambda x: "[" + ", ".join(repr(float(v)) for v in x) + "]"
-#: A filter's recursion over rows (vec_id, i, x), from its steady state for the first sample: the output and the state after it.
-FILTER = f"""{{name}}(vec_id, i, y, z) AS (SELECT vec_id, 0, 0.0::DOUBLE, list_transform({listed(spectral.steady(NUM, DEN))}, lambda v: v * x) FROM {{rows}} WHERE i = 1
-UNION ALL SELECT r.vec_id, r.i, {float(NUM[0])!r} * r.x + f.z[1], list_transform(range(1, {ORDER + 1}), lambda k: (CASE WHEN k < {ORDER} THEN f.z[k + 1] ELSE 0 END) + ({listed(NUM)})[k + 1] * r.x - ({listed(DEN)})[k + 1] * ({float(NUM[0])!r} * r.x + f.z[1])) FROM {{name}} f JOIN {{rows}} r ON r.vec_id = f.vec_id AND r.i = f.i + 1)"""
-MORE = 3 * len(DEN)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 = 3),
-w AS (SELECT vec_id, list_concat(list_transform(range(0, {MORE}), lambda j: 2 * x[1] - x[{MORE} + 1 - j]), x, list_transform(range(0, {MORE}), lambda j: 2 * x[64] - x[63 - j])) AS x FROM e),
-a AS (SELECT vec_id, (generate_subscripts(x, 1))::INT AS i, unnest(x) AS x FROM w), {FILTER.format(name="f", rows="a")},
-b AS (SELECT vec_id, {64 + 2 * MORE + 1} - i AS i, y AS x FROM f WHERE i > 0), {FILTER.format(name="g", rows="b")}
-SELECT vec_id, ({64 + MORE} - i)::INT AS place, round(y, 6) AS y FROM g WHERE i BETWEEN {MORE + 1} AND {MORE + 64}""")
+def filter_sql(edges):
+    """A filter's two recursions over rows (vec_id, i, x) of all signals, each from its steady state for the first sample."""
+    num, den = spectral.butterworth(100.0, edges)
+    order, more = len(den) - 1, 3 * len(den)
+    recursion = f"""{{name}}(vec_id, i, y, z) AS (SELECT vec_id, 0, 0.0::DOUBLE, list_transform({listed(spectral.steady(num, den))}, lambda v: v * x) FROM {{rows}} WHERE i = 1
+UNION ALL SELECT r.vec_id, r.i, {float(num[0])!r} * r.x + f.z[1], list_transform(range(1, {order + 1}), lambda k: (CASE WHEN k < {order} THEN f.z[k + 1] ELSE 0 END) + ({listed(num)})[k + 1] * r.x - ({listed(den)})[k + 1] * ({float(num[0])!r} * r.x + f.z[1])) FROM {{name}} f JOIN {{rows}} r ON r.vec_id = f.vec_id AND r.i = f.i + 1)"""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+w AS (SELECT vec_id, list_concat(list_transform(range(0, {more}), lambda j: 2 * x[1] - x[{more} + 1 - j]), x, list_transform(range(0, {more}), lambda j: 2 * x[64] - x[63 - j])) AS x FROM e),
+a AS MATERIALIZED (SELECT vec_id, (generate_subscripts(x, 1))::INT AS i, unnest(x) AS x FROM w), {recursion.format(name="f", rows="a")},
+b AS MATERIALIZED (SELECT vec_id, {64 + 2 * more + 1} - i AS i, y AS x FROM f WHERE i > 0), {recursion.format(name="g", rows="b")}
+SELECT vec_id, ({64 + more} - i)::INT AS place, round(y, 6) AS y FROM g WHERE i BETWEEN {more + 1} AND {more + 64}"""
+
+
+@query(filter_sql(spectral.NOISE))
 def low_passed(spark, d):
-    # every tenth signal, as rows of samples
-    rows = signals(spark, d).where("vec_id % 10 = 3").select("vec_id", F.posexplode(spectral.low_pass_udf(100.0)(F.col("x"))).alias("place", "y"))
+    return filtered(spark, d, spectral.NOISE)
+
+
+@query(filter_sql(spectral.BASELINE))
+def baseline_passed(spark, d):
+    return filtered(spark, d, spectral.BASELINE)
+
+
+def filtered(spark, d, edges):
+    rows = signals(spark, d).select("vec_id", F.posexplode(spectral.low_pass_udf(100.0, edges)(F.col("x"))).alias("place", "y"))
     return rows.select("vec_id", "place", r6("y").alias("y"))
 
 

@@ -49,3 +49,37 @@ def test_resampled_sine():
     y = spectral.resampled(x, 500, 250)
     assert len(y) == 2000 and np.abs(y - np.sin(2 * np.pi * 5 * np.arange(2000) / 500))[100:-100].max() < 0.01
     assert spectral.resampled(x, 3, 3) is x and len(spectral.resampled(x, 2, 5)) == 400
+
+
+def test_polyphase_is_the_stuffed_signal_through_the_taps():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 301):
+        for up, down in ((5, 2), (2, 5), (1, 3), (3, 1), (7, 8)):
+            x, half = rng.normal(size=n), 10 * max(up, down)
+            stuffed = np.zeros(n * up)
+            stuffed[::up] = x
+            want = np.convolve(stuffed, spectral.low_pass_taps(up, down))[half : half + len(stuffed)][::down]
+            assert np.allclose(spectral.resampled(x, up, down), want)
+
+
+def test_sections_are_the_filter_in_parts():
+    x = np.random.default_rng(2).normal(size=(3, 400))
+    for edges, fs in ((spectral.NOISE, 100.0), (spectral.BASELINE, 500.0), ((5.0, 8.0), 100.0)):
+        num, den = np.ones(1), np.ones(1)
+        for a, b in spectral.sections(fs, edges):
+            num, den = np.polymul(num, a), np.polymul(den, b)
+        whole = spectral.butterworth(fs, edges)
+        assert np.allclose(num, whole[0]) and np.allclose(den, whole[1])
+        y = x
+        for a, b in spectral.sections(fs, edges):
+            y = spectral.passed(y, a, b)
+        assert np.allclose(y, spectral.passed(x, *whole), atol=1e-6)
+
+
+def test_one_transform_judges_as_three_did():
+    x = np.random.default_rng(3).normal(size=(5, 333))
+    x[2] = 4.0
+    snr, drift, buzz = spectral.judged(x, FS)
+    for i, row in enumerate(x):
+        want = spectral.snr(row, FS)
+        assert (np.isnan(snr[i]) if want is None else snr[i] == pytest.approx(want)) and drift[i] == pytest.approx(spectral.share(row, FS, 0.0, 2.0)) and buzz[i] == pytest.approx(spectral.share(row, FS, 40.0, FS))
