@@ -15,8 +15,8 @@ a group that can't reach what the query has already is not scanned. That is exac
 The codebooks and coarse centroids are fitted on a bounded sample (`sample` vectors, by a hash of the id); every
 vector is coded. Queries are sent in blocks of bounded bytes, one job each.
 
-Vectors that are null or zero, hold null or non-finite numbers, or are not of the most common length
-take no part: an inner product needs equal lengths. An id that is repeated with several vectors is a query by the least of them. Ties go to the smaller id, also where identical vectors are very many. A query's own id
+Vectors that are null or zero, or hold null or non-finite numbers, take no part. An inner product needs equal lengths, so a query's
+candidates are the vectors of its length, and each length is indexed and searched by itself. An id that is repeated with several vectors is a query by the least of them. Ties go to the smaller id, also where identical vectors are very many. A query's own id
 is no candidate, however often it is repeated; repeated query ids are searched once. An empty table
 gives no rows. Columns other than vec_id and embedding are not read.
 """
@@ -48,8 +48,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     sound = rows.where(F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"))
-    common = sound.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return sound.where(F.size("embedding") == (common["n"] if common else 0))
+    return sound
 
 
 class Quantiser:
@@ -275,8 +274,10 @@ def search(indexed: DataFrame, quantiser: Quantiser, is_query: Column, k: int =
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of `vectors` that `is_query` picks."""
-    sound = usable(vectors)
-    quantiser = fit(sound, sample)
-    if quantiser is None:
-        return vectors.sparkSession.createDataFrame([], FOUND)
-    return search(shared.settled(index(sound, quantiser)), quantiser, is_query, k)
+    sound, found = usable(vectors), None
+    for n in sorted(r[0] for r in sound.select(F.size("embedding")).distinct().collect()):
+        own = sound.where(F.size("embedding") == n)
+        quantiser = fit(own, sample)
+        part = search(shared.settled(index(own, quantiser)), quantiser, is_query, k)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], FOUND) if found is None else found

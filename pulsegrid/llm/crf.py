@@ -27,7 +27,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -39,6 +39,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 PER_LANGUAGE, SEQUENCE, RUN = 300, 64, 8
 #: Languages that are learned (those with the most rows), so that what the driver gathers and the model are bounded.
 MOST_LANGUAGES = 256
+#: Characters of a language's sample, which the driver holds.
+CHARACTERS = 8_000_000
 #: Words whose emissions a worker keeps, and steps of a segment in forward-backward.
 CACHE, SEGMENT = 500_000, 256
 #: Words whose features are looked up at once.
@@ -376,8 +378,11 @@ def summed_flat(weights: np.ndarray, flat: np.ndarray, per_word: np.ndarray) ->
     return out
 
 
-def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
-    """A model from the rows that `may_learn` admits and whose lang is not null: a sample of the languages with the most rows."""
+def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, characters: int = CHARACTERS) -> Model:
+    """A model from the rows that `may_learn` admits and whose lang is not null: a sample of the languages with the most rows.
+
+    Of a language's sample, texts count until they have `characters` together; the first counts whatever its length.
+    """
     rows = docs.where(may_learn).where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     sizes = {r["lang"]: r["n"] for r in counted.collect()}
@@ -385,7 +390,9 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE,
         return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(per_language / n))))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")])
-    got = sorted(drawn.limit(2 * per_language * len(sizes)).collect(), key=lambda r: (r["lang"], r["doc_id"]))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")  # a few hundred rows each
+    some = drawn.limit(2 * per_language * len(sizes)).withColumns({"_nth": F.row_number().over(order), "_so_far": F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)})
+    got = sorted(some.where((F.col("_nth") == 1) | (F.col("_so_far") <= characters)).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     texts: dict[str, list[str]] = {lang: [] for lang in sizes}
     for r in got:
         texts[r["lang"]].append(r["text"] or "")

@@ -7,8 +7,9 @@ are learned from language and code, so random strings fall apart into short toke
 it (words joined by separators or case, if the vocabulary knows the words and few numbers stand among
 them without separators), as is whatever the fixed patterns have found.
 
-Offsets are code points, ends exclusive. Null texts are empty; repeated rows come back each. Columns
-other than doc_id and text are not read (redact() keeps all columns).
+Offsets are code points, ends exclusive. Null texts are empty; repeated rows come back each; no documents give no
+rows. Texts are read whole, in time that grows with their length, however many spans they hold. Spans of one start
+are listed by kind. Columns other than doc_id and text are not read (redact() keeps all columns).
 """
 
 from __future__ import annotations
@@ -101,8 +102,12 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str | None =
     if not long_word(text):
         return []
     out = []
+    nth = reach = 0  # of the spans, which are in order: those that start before a run's end, and the last place that they reach
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and is_random(m.group(), encoding(path), max_ratio):
+        while nth < len(base) and base[nth][0] < m.end():
+            reach = max(reach, base[nth][2])
+            nth += 1
+        if reach <= m.start() and is_random(m.group(), encoding(path), max_ratio):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -48,7 +48,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERDICT = "verdict="
 #: Tokens in rules, and frequent tokens, up to which the index is broadcast (a few tens of MB); the same index is joined beyond.
 BROADCAST_TOKENS = 200_000
-#: Labelled URLs that a rule must fit at least.
+#: Labelled URLs that a rule must fit at least, however many there are; a parameter of judge().
 LEAST_ROWS = 10
 
 
@@ -102,7 +102,7 @@ def condensed(items: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataF
     return rest, frequent.select("token", "stands_for"), single
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_lift: float = 1.1) -> tuple[DataFrame, DataFrame]:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7, min_lift: float = 1.1, least_rows: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Pruned rules (place, tokens, then, confidence, support, size), the surest at place 0, and (token, stands_for) of the tokens that share one.
 
     labelled: `tokens` (distinct) and `verdict` (allow or block). FP-growth and all pruning are Spark's; nothing is collected.
@@ -110,7 +110,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     items = shared.settled(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict"))
     totals = items.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block")).first()
     n = totals["n"]
-    least = max(LEAST_ROWS, math.ceil(min_support * n))  # else each row of a small table is frequent, with all its subsets
+    least = max(least_rows, math.ceil(min_support * n))  # else each row of a small table is frequent, with all its subsets
     rest, same, single = condensed(items, least)
     found = single
     rest = shared.settled(rest.select(F.array_append("tokens", F.concat(F.lit(VERDICT), "verdict")).alias("items")))
@@ -192,10 +192,13 @@ def by_join(asked: DataFrame, rules: DataFrame, same: DataFrame) -> DataFrame:
     return asked.select("_row").join(best, "_row", "left")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, min_support: float = 0.002, min_confidence: float = 0.7, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined (the tokens of the mined rule that decided, else null) of every URL."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, min_support: float = 0.002, min_confidence: float = 0.7, broadcast_tokens: int = BROADCAST_TOKENS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, mined (the tokens of the mined rule that decided, else null) of every URL.
+
+    A mined rule fits `min_support` of the labelled URLs and `least_rows` of them at least, and `min_confidence` of those have its verdict.
+    """
     known = shared.settled(parts(pages).withColumns({"rule": fixed(rules, "text"), "fixed": fixed(rules, "verdict"), "tokens": tokens(), "_row": F.monotonically_increasing_id()}))
-    mined, same = mine(known.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict")), min_support, min_confidence)
+    mined, same = mine(known.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict")), min_support, min_confidence, least_rows=least_rows)
     mined = shared.settled(mined)
     sizes = mined.agg(F.sum("size")).first()[0] or 0, same.count()
     asked = known.where("fixed is null").select("_row", "tokens")

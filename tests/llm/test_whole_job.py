@@ -250,3 +250,51 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(Session)
+
+
+def test_secrets_of_a_long_dump_in_linear_time():
+    rng = np.random.default_rng(11)
+    letters = np.array(list(string.ascii_letters + string.digits))
+    line = lambda: "password=abcdef1 " + "".join(rng.choice(letters, 24)) + "\n"
+    text = "".join(line() for _ in range(1000)) * 97
+    assert len(text) > 4_000_000
+    secret_scan.encoding()
+    began = time.time()
+    base = secret_scan.base_spans(text)
+    more = secret_scan.random_spans(text, base)
+    assert time.time() - began < 15 and len(base) == 97_000 and len(more) > 90_000
+    out = secret_scan.redacted(text[:420_000])
+    assert out.count("[SECRET]") > 19_000 and "password" not in out
+
+
+def test_random_runs_beside_spans_that_overlap():
+    """Against comparing every run with every span."""
+    rng = np.random.default_rng(12)
+    vocabulary = secret_scan.encoding()
+    pieces = ["password=aaaaaaa", "AKIA" + "Q7" * 10, "0123456789abcdef" * 2, "k9XvB2qLm4ZpT7wRj3Hs8NcD", " ", "\n", "token: ", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces, int(rng.integers(1, 12))))
+        base = secret_scan.base_spans(text)
+        want = [(m.start(), 3, m.end()) for m in secret_scan.RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base) and secret_scan.is_random(m.group(), vocabulary)]
+        assert secret_scan.random_spans(text, base) == want
+
+
+def test_nearest_of_each_length(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=(8, 3, 5)[i % 3]).tolist()) for i in range(150)] + [(200, [0.0, 0.0]), (201, None), (202, [1.0]), (203, [])]
+    got = anisotropic.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, k=4).collect()
+    found, of = defaultdict(list), dict(rows)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 150, 2):
+        own = [i for i in range(150) if i % 3 == q % 3 and i != q]
+        assert found[q] == sorted(own, key=lambda i: (-float(np.dot(of[i], of[q])), i))[:4]
+    assert set(found) == set(range(0, 150, 2))
+
+
+def test_sample_of_a_language_is_bounded_in_characters(spark):
+    rows = [(i, "the of and to in " * (40 if i % 10 else 4000), "en") for i in range(60)] + [(i, "le la des avec " * 30, "fr") for i in range(60, 120)] + [(i, "der die das " * 9000, "de") for i in range(120, 123)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf.learn(docs, F.lit(True), characters=60_000)
+    got = {r["doc_id"]: r["lang_pred"] for r in crf.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
