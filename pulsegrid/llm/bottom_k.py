@@ -141,12 +141,11 @@ def lists(sets: DataFrame, most: int | None = None) -> DataFrame:
     return sets.select("key", "retained", "n").mapInArrow(run, "value long, key long, n long")
 
 
-def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """rows with the label of each key: the root of its component by the links so far, else the key."""
-    if links is None:
+def labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the label of each key: the root of its component so far (node, root), else the key."""
+    if roots is None:
         return rows.withColumn("label", F.col("key"))
-    roots = simhash.components(links).select(F.col("node").alias("key"), "root")
-    return rows.join(roots, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+    return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
 
 
 def compared(members: DataFrame, met: DataFrame, sets: DataFrame, similarity: Fraction, limit: int) -> DataFrame:
@@ -253,9 +252,9 @@ def first_round(sets: DataFrame, most: int, similarity: Fraction, limit: int) ->
     return compared(members, met, sets, similarity, limit)
 
 
-def second_round(sets: DataFrame, links: DataFrame, similarity: Fraction, limit: int) -> DataFrame:
-    """Links (a, b) from all lists, among texts that `links` doesn't connect."""
-    members = labelled(lists(sets), links)
+def second_round(sets: DataFrame, roots: DataFrame, similarity: Fraction, limit: int) -> DataFrame:
+    """Links (a, b) from all lists, among texts of different components."""
+    members = labelled(lists(sets), roots)
     met = shared.settled(met_in_lists(members, similarity))
     often = met.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= OVERLAP).select("a", "b")
     found = passing(often, sets, similarity)
@@ -280,10 +279,10 @@ def whole_sets(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "key long, value binary").dropDuplicates(["key"])
 
 
-def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, links: DataFrame | None, size: int, similarity: Fraction, limit: int) -> DataFrame:
-    """Of what `found` connects: links (a, b) by whole sets that connect whatever is linked and has different labels."""
-    told = simhash.components(found if links is None else found.unionByName(links))
-    members = labelled(told.select(F.col("root").alias("group"), F.col("node").alias("key")).unionByName(told.select(F.col("root").alias("group"), F.col("root").alias("key")).distinct()), links)
+def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: DataFrame | None, size: int, similarity: Fraction, limit: int) -> DataFrame:
+    """Of what `found` and the components so far connect: links (a, b) by whole sets that connect whatever is linked and has different labels."""
+    told = simhash.components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    members = labelled(told.select(F.col("root").alias("group"), F.col("node").alias("key")).unionByName(told.select(F.col("root").alias("group"), F.col("root").alias("key")).distinct()), roots)
     several = members.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("group", "n")
     groups = shared.settled(members.join(several, "group"))
     texts = whole_sets(docs, shared.settled(sets.join(groups.select("key"), "key", "left_semi").select("mark")), size)
@@ -295,9 +294,11 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: Fraction = SI
     rows = shared.settled(described(docs, size, similarity))
     of = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
     sets = shared.settled(of)
+    shared.release(docs.sparkSession)
     links = shared.settled(verified(docs, sets, first_round(sets, first, similarity, limit), None, size, similarity, limit))
-    links = shared.settled(links.unionByName(verified(docs, sets, shared.settled(second_round(sets, links, similarity, limit)), links, size, similarity, limit)))
-    rooted = labelled(sets.select("key", "least"), links)
+    roots = simhash.components(links)
+    more = verified(docs, sets, shared.settled(second_round(sets, roots, similarity, limit)), roots, size, similarity, limit)
+    rooted = labelled(sets.select("key", "least"), simhash.components(links.unionByName(more)))
     named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
     found = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
     id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

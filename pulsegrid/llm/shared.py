@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark removes shuffle files and checkpoints that nothing refers to any more.
+
+    Jobs of many small steps leave them behind faster than the driver's memory fills.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -231,6 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = shared.settled(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
         now = both.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
+            shared.release(edges.sparkSession)
             return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
 
