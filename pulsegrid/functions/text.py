@@ -134,3 +134,10 @@ def class_list(classes: Column, threshold: float) -> Column:
     kept = F.filter(classes, lambda c: c.prob > threshold)
     named = F.transform(kept, lambda c: F.format_string("%s (%.2f%%)", c.label, c.prob * 100))
     return F.when(F.size(kept) > 0, F.array_join(named, ", ")).otherwise(F.lit(f"None > {threshold * 100:.0f}%"))
+
+
+def bedside_classes(classes: Column, threshold: float = 0.05, most: int = 10) -> Column:
+    """`['LABEL(0.95)', ...]` for array<struct<label, prob>>: the likeliest above the threshold, ties by label."""
+    order = F.transform(F.filter(classes, lambda c: c.prob > threshold), lambda c: F.struct((-c.prob).alias("less"), c.label.alias("label")))
+    named = F.transform(F.slice(F.array_sort(order), 1, most), lambda c: F.format_string("'%s(%.2f)'", c.label, -c.less))
+    return F.concat(F.lit("["), F.array_join(named, ", "), F.lit("]"))

@@ -30,6 +30,21 @@ def valid(turns: DataFrame) -> DataFrame:
     return turns.where(has("role") & said)
 
 
+#: The turns of a dialogue as JSON, as far as its actions are concerned.
+TURNS = "array<struct<role:string,action:string,content:string>>"
+
+
+def contains_action(turns: Column, action: str) -> Column:
+    """Whether any turn of a dialogue (JSON) has the action; false for what is no JSON."""
+    return F.coalesce(F.exists(F.from_json(turns, TURNS), lambda t: F.coalesce(t.action == action, F.lit(False))), F.lit(False))
+
+
+def answered(turns: Column) -> Column:
+    """Whether an assistant's turn of a dialogue (JSON) is an answer that says something."""
+    says = lambda t: (t.role == "assistant") & (t.action == "response") & (F.coalesce(F.trim(t.content), F.lit("")) != "")
+    return F.coalesce(F.exists(F.from_json(turns, TURNS), lambda t: F.coalesce(says(t), F.lit(False))), F.lit(False))
+
+
 def categorised(turns: DataFrame) -> DataFrame:
     """Assistant turns with the last user query before them and a category by the turn before them."""
     action, role = F.lag("action").over(by_pos()), F.lag("role").over(by_pos())

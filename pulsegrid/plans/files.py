@@ -3,19 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import etl
+from ..operators import dialogue, etl, evaluation
 from ..sources import binary, table
 from .catalog import query, r6, records, signals, vectors
 
 
+#: The folders that the query that is being built has made.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{sources.shared_folder(spark)}/files-{uuid.uuid4().hex}/{name}"
+    """A new folder in the shared one, for as long as a query is built."""
+    made.append(f"{sources.shared_folder(spark)}/files-{uuid.uuid4().hex}")
+    return f"{made[-1]}/{name}"
+
+
+def filed(sql: str):
+    """query(), for one that writes files: its jobs run when it is built, its rows are settled, and its files removed."""
+
+    def keep(build):
+        @wraps(build)
+        def run(spark, d):
+            made.clear()
+            try:
+                return sources.settled(build(spark, d))
+            finally:
+                for folder in made:
+                    sources.remove(spark, folder)
+
+        return query(sql)(run)
+
+    return keep
 
 
 def lines(rows, path: str) -> str:
@@ -24,7 +48,7 @@ def lines(rows, path: str) -> str:
     return path
 
 
-@query("SELECT 'd' || doc_id AS id, source AS society, CASE WHEN doc_id % 10 = 0 THEN 'superseded' ELSE 'current' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'zh' ELSE lang END AS lang, md5(text) AS text, CASE WHEN doc_id % 10 = 0 THEN 'd' || (doc_id + 1) ELSE '' END AS later, 'I' AS \"class\" FROM documents")
+@filed("SELECT 'd' || doc_id AS id, source AS society, CASE WHEN doc_id % 10 = 0 THEN 'superseded' ELSE 'current' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'zh' ELSE lang END AS lang, md5(text) AS text, CASE WHEN doc_id % 10 = 0 THEN 'd' || (doc_id + 1) ELSE '' END AS later, 'I' AS \"class\" FROM documents")
 def corpus_file(spark, d):
     rows = records(spark, d).select(
         F.concat(F.lit("d"), "doc_id").alias("id"), "society", "text", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.when(F.col("status") != "current", F.col("status")).alias("status"),
@@ -34,7 +58,7 @@ def corpus_file(spark, d):
     return sources.corpus(spark, path).select("id", "society", "status", "lang", F.md5(F.col("text").cast("binary")).alias("text"), F.array_join("superseded_by", ",").alias("later"), "class")
 
 
-@query("SELECT doc_id, d.lang, round(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)), 4) AS norm FROM documents d LEFT JOIN embeddings ON vec_id = doc_id")
+@filed("SELECT doc_id, d.lang, round(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)), 4) AS norm FROM documents d LEFT JOIN embeddings ON vec_id = doc_id")
 def index_files(spark, d):
     path = scratch(spark, "index")
     sources.write_index(table(spark, d, "documents").select("doc_id", "lang"), path, vectors(spark, d).select("doc_id", sources.unit(F.transform("embedding", lambda v: v.cast("double") * 3)).alias("embedding")))
@@ -43,7 +67,7 @@ def index_files(spark, d):
     return rows.join(near, "doc_id", "left").select("doc_id", "lang", norm.alias("norm"))
 
 
-@query("""WITH h AS (SELECT sha256('{"doc_id":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || '}') AS h FROM documents),
+@filed("""WITH h AS (SELECT sha256('{"doc_id":' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE ',"lang":"' || lang || '"' END || '}') AS h FROM documents),
 p AS (SELECT i, sum(('0x' || h[1 + 12 * i : 12 + 12 * i])::BIGINT::HUGEINT) AS s FROM h, (SELECT unnest(range(0, 5)) AS i) GROUP BY 1)
 SELECT (SELECT count(*) FROM h) AS n, sha256(string_agg(s::VARCHAR, ',' ORDER BY i)) AS sha256, true AS same, true AS bm25_only FROM p""")
 def index_checksum(spark, d):
@@ -54,7 +78,7 @@ def index_checksum(spark, d):
     return one.alias("a").join(two.alias("b"), "count").select(F.col("count").alias("n"), "a.sha256", (F.col("a.sha256") == F.col("b.sha256")).alias("same"), F.lit(near is None).alias("bm25_only"))
 
 
-@query("SELECT vec_id, " + ", ".join(f"round(x[{i}], 6) AS \"{c}\"" for i, c in enumerate(("V6", "I", "II", "V1", "V2", "V3", "V4", "V5"), 1)) + " FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)")
+@filed("SELECT vec_id, " + ", ".join(f"round(x[{i}], 6) AS \"{c}\"" for i, c in enumerate(("V6", "I", "II", "V1", "V2", "V3", "V4", "V5"), 1)) + " FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)")
 def wearable_file(spark, d):
     path = scratch(spark, "wearable")
     names = sources.CHANNELS
@@ -66,7 +90,7 @@ def wearable_file(spark, d):
     return back.join(rows.select(F.col("note").alias("vec_id"), *(whole(f"{c}_mV").alias(f"k{c}") for c in names)), [f"k{c}" for c in names]).select("vec_id", *(r6(c).alias(c) for c in names))
 
 
-@query("SELECT 'HR' || c_custkey || '.mat' AS ecg_file_path, '[''' || c_mktsegment || '(0.50)'']' AS top_classes, CASE WHEN c_custkey % 4 <> 0 THEN round(c_acctbal, 2) END AS PR_Interval_ms, CASE WHEN c_custkey % 4 = 0 THEN 'none' END AS error FROM customer")
+@filed("SELECT 'HR' || c_custkey || '.mat' AS ecg_file_path, '[''' || c_mktsegment || '(0.50)'']' AS top_classes, CASE WHEN c_custkey % 4 <> 0 THEN round(c_acctbal, 2) END AS PR_Interval_ms, CASE WHEN c_custkey % 4 = 0 THEN 'none' END AS error FROM customer")
 def tool_output_files(spark, d):
     classes, measurements = scratch(spark, "classes"), scratch(spark, "measurements")
     named = table(spark, d, "customer").withColumn("ecg_file_path", F.concat(F.lit("HR"), "c_custkey", F.lit(".mat")))
@@ -77,7 +101,7 @@ def tool_output_files(spark, d):
     return one.join(two, "ecg_file_path").select("ecg_file_path", "top_classes", "PR_Interval_ms", "error")
 
 
-@query("SELECT conv_id, turn, md5(text) AS text, 'a' AS model FROM conversations")
+@filed("SELECT conv_id, turn, md5(text) AS text, 'a' AS model FROM conversations")
 def response_files(spark, d):
     shape = "conv_id long, turn long, text string, model string"
     rows = table(spark, d, "conversations").withColumn("model", F.lit("a"))
@@ -89,14 +113,14 @@ def response_files(spark, d):
     return every.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"), "model")
 
 
-@query("SELECT n_name AS section, n_nationkey || chr(10) || 'of ' || n_regionkey AS text FROM nation")
+@filed("SELECT n_name AS section, n_nationkey || chr(10) || 'of ' || n_regionkey AS text FROM nation")
 def prompt_file(spark, d):
     lists = table(spark, d, "nation").select(F.concat(F.lit("["), "n_name", F.lit("]\n "), "n_nationkey", F.lit(" \n\nof "), "n_regionkey", F.lit("\n")).alias("value"))
     whole = lists.agg(F.concat(F.lit("before any\n"), F.array_join(F.collect_list("value"), "")).alias("value"))  # 25 sections
     return sources.prompts(spark, lines(whole, scratch(spark, "prompts")))
 
 
-@query("SELECT user_id AS tool_call_id, event_type AS name, count(*)::VARCHAR AS content, true AS stamped FROM events GROUP BY 1, 2")
+@filed("SELECT user_id AS tool_call_id, event_type AS name, count(*)::VARCHAR AS content, true AS stamped FROM events GROUP BY 1, 2")
 def tool_call_log(spark, d):
     path = scratch(spark, "calls")
     calls = table(spark, d, "events").groupBy(F.col("user_id").alias("tool_call_id"), F.col("event_type").alias("name")).agg(F.lit("{}").alias("args"), F.count("*").cast("string").alias("content"))
@@ -104,7 +128,7 @@ def tool_call_log(spark, d):
     return sources.appended(spark, path, "tool_call_id long, name string, args string, content string, timestamp timestamp").select("tool_call_id", "name", "content", F.col("timestamp").isNotNull().alias("stamped"))
 
 
-@query("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE s_suppkey % 2 = 0")
+@filed("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal FROM supplier WHERE s_suppkey % 2 = 0")
 def newest_file(spark, d):
     path = scratch(spark, "arriving")
     for part in (1, 0):
@@ -136,7 +160,7 @@ def two_leads(spark, d):
     return signals(spark, d).select("vec_id", F.array(F.slice("x", 1, 32), F.slice("x", 33, 32)).alias("leads"))
 
 
-@query(f"SELECT 'HR' || vec_id || '.mat' AS file, lead, place, round(x * 1000000)::BIGINT AS x, 500.0 AS fs FROM ({LEADS})")
+@filed(f"SELECT 'HR' || vec_id || '.mat' AS file, lead, place, round(x * 1000000)::BIGINT AS x, 500.0 AS fs FROM ({LEADS})")
 def mat_files(spark, d):
     path = folder_of(scratch(spark, "mat"))
     rows = two_leads(spark, d).select(F.concat(F.lit("HR"), "vec_id", F.lit(".mat")).alias("name"), F.col("leads").alias("feats"), F.lit(500.0).alias("curr_sample_rate"), F.col("vec_id").cast("double").alias("patient_id"))
@@ -145,7 +169,7 @@ def mat_files(spark, d):
     return by_sample(back.select("file", "fs", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file", "fs")
 
 
-@query(f"SELECT 'r' || vec_id AS record, lead, place, 250.0 AS fs, CASE WHEN place <> 3 THEN round((round(x * 1000)::BIGINT - CASE WHEN lead = 0 THEN 12 ELSE -5 END) / CASE WHEN lead = 0 THEN 200.0 ELSE 1000.0 END * 1000000)::BIGINT END AS x FROM ({LEADS})")
+@filed(f"SELECT 'r' || vec_id AS record, lead, place, 250.0 AS fs, CASE WHEN place <> 3 THEN round((round(x * 1000)::BIGINT - CASE WHEN lead = 0 THEN 12 ELSE -5 END) / CASE WHEN lead = 0 THEN 200.0 ELSE 1000.0 END * 1000000)::BIGINT END AS x FROM ({LEADS})")
 def wfdb_files(spark, d):
     path = folder_of(scratch(spark, "wfdb"))
 
@@ -172,7 +196,7 @@ def wfdb_files(spark, d):
     return by_sample(back, "record", "fs")
 
 
-@query(f"SELECT vec_id || '.npy' AS file, lead, place, round(x * 1000000)::BIGINT AS x FROM ({LEADS})")
+@filed(f"SELECT vec_id || '.npy' AS file, lead, place, round(x * 1000000)::BIGINT AS x FROM ({LEADS})")
 def npy_files(spark, d):
     path = folder_of(scratch(spark, "npy"))
 
@@ -195,7 +219,7 @@ def npy_files(spark, d):
     return by_sample(back.select("file", F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)).alias("leads")), "file")
 
 
-@query("""WITH s AS (SELECT vec_id, lpad(vec_id::VARCHAR, 5, '0') AS name, CASE WHEN vec_id % 4 = 0 THEN 250 ELSE 500 END AS fs, embedding::DOUBLE[] AS x FROM embeddings),
+@filed("""WITH s AS (SELECT vec_id, lpad(vec_id::VARCHAR, 5, '0') AS name, CASE WHEN vec_id % 4 = 0 THEN 250 ELSE 500 END AS fs, embedding::DOUBLE[] AS x FROM embeddings),
 e AS (SELECT user_id AS vec_id, max((event_type = 'view')::INT) AS v, max((event_type = 'error')::INT) AS r FROM events GROUP BY 1)
 SELECT 'HR' || vec_id || '.mat' AS file, 500.0 AS fs, (vec_id % 40)::DOUBLE AS patient, [v, r]::DOUBLE[]::VARCHAR AS label, md5(array_to_string(list_transform(range(0, 32), lambda i: round(x[33 + i] * 1000)::BIGINT), ',')) AS feats FROM s JOIN e USING (vec_id) WHERE vec_id % 4 <> 0 AND vec_id % 3 <> 0 AND vec_id % 11 <> 1""")
 def raw_to_mat(spark, d):
@@ -269,3 +293,38 @@ def frames_in_order(spark, d):
     rows = frames.in_order(wearable_frames(spark, d))
     text = F.array_join(F.transform(frames.millivolts(F.col("channels")), lambda c: F.array_join(F.transform(c, lambda v: F.round(v, 6).cast("decimal(12,6)").cast("string")), ",")), ";")
     return rows.select("vec_id", "device_id", "missing", "known", text.alias("mv"))
+
+
+@filed("""WITH b AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2), l AS (SELECT user_id, event_type, CASE WHEN v >= 50 THEN round(v) ELSE 0 END AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n FROM b)
+SELECT user_id AS recording_id, string_agg(event_type || ' (' || CASE event_type WHEN 'click' THEN 'a "click", twice' WHEN 'view' THEN 'a view' ELSE event_type END || ')' || CASE WHEN p > 0 THEN ' [likelihood ' || p::INT || '%]' ELSE '' END, '; ' ORDER BY n) AS text FROM l GROUP BY 1""")
+def truth_files(spark, d):
+    """Truth texts from CSV files of descriptions and of codes."""
+    described, codes = scratch(spark, "statements"), scratch(spark, "database")
+    listed = [',description,kind', 'click,"a ""click"", twice",x', ' view ,an old view', 'view, a view ,']
+    lines(spark.createDataFrame([(x,) for x in ["\n".join(listed)]], "value string").coalesce(1), described)
+    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v")).withColumn("p", F.when(F.col("v") >= 50, F.round("v", 0)).otherwise(0.0))
+    item = F.transform(F.array_sort(F.collect_list(F.struct("event_type", F.concat(F.lit("'"), "event_type", F.lit("': "), F.col("p").cast("string")).alias("item")))), lambda x: x.item)
+    held = best.groupBy(F.col("user_id").cast("string").alias("ecg_id")).agg(F.concat(F.lit("{"), F.array_join(item, ", "), F.lit("}")).alias("scp_codes"))
+    sources.write_report(held.withColumn("age", F.lit(1)).unionByName(spark.createDataFrame([("none", "{}", 2)], "ecg_id string, scp_codes string, age int")), codes)
+    return evaluation.truth_text(sources.code_lists(spark, codes), sources.descriptions(spark, described))
+
+
+@filed("SELECT doc_id, md5(trim(d.text || ' ' || coalesce(lang, ''))) AS encoded, length(trim(d.text || ' ' || coalesce(lang, '')))::DOUBLE AS size FROM documents d")
+def encoded_index(spark, d):
+    """An index whose vectors an encoder makes of text and section."""
+    path = scratch(spark, "index")
+    rows = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("section"))
+    encode = lambda r: r.select("doc_id", F.md5(F.col("encoder_text").cast("binary")).alias("encoded"), F.array(F.length("encoder_text").cast("double")).alias("embedding"))
+    sources.write_index(rows, path, encode=encode)
+    return sources.read_index(spark, path)[1].select("doc_id", "encoded", F.col("embedding")[0].alias("size"))
+
+
+@query("""WITH t AS (SELECT conv_id, bool_or(role = 'assistant' AND turn % 6 = 1) AS calls, bool_or(role = 'assistant' AND turn % 6 NOT IN (1, 3) AND trim(text) <> '') AS said FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN conv_id % 9 = 4 THEN false ELSE calls END AS calls, CASE WHEN conv_id % 9 = 4 THEN false ELSE said END AS said FROM t""")
+def dialogue_filters(spark, d):
+    """Which dialogues (JSON, some of it broken) call a tool, and which have an answer."""
+    n = F.col("turn") % 6
+    action = F.when(F.col("role") != "assistant", None).when(n == 1, dialogue.CLASSIFICATION).when(n == 3, dialogue.FOLLOW_UP).otherwise("response")
+    turn = F.struct("turn", F.struct("role", action.alias("action"), F.col("text").alias("content")).alias("t"))
+    held = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x.t)).alias("turns"))
+    held = held.withColumn("turns", F.when(F.col("conv_id") % 9 == 4, F.concat(F.lit("oops"), "turns")).otherwise(F.col("turns")))
+    return held.select("conv_id", dialogue.contains_action(F.col("turns"), dialogue.CLASSIFICATION).alias("calls"), dialogue.answered(F.col("turns")).alias("said"))

@@ -205,17 +205,30 @@ def whole_replies_shown(spark, d):
     return rows.where("turn % 3 = 1 or s <> ''").select("reply_id", F.when(F.col("s") == "", "").otherwise(F.md5(F.col("s").cast("binary"))).alias("shown"))
 
 
-@query("WITH p AS (SELECT p_partkey, greatest(1, ceil(p_size / 4.0))::INT AS step, p_size FROM part) SELECT p_partkey, array_to_string(list_transform(range(0, ceil(p_size / step::DOUBLE)::INT), lambda i: least(step, p_size - i * step)::VARCHAR), ',') AS sizes FROM p")
+ITEMS = "lambda z: array_to_string(z, ',')), ';')"
+
+
+def items_of(chunks):
+    """Chunks as text: items by comma, chunks by semicolon."""
+    return F.array_join(F.transform(chunks, lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")), ";")
+
+
+@query(f"WITH p AS (SELECT p_partkey, greatest(1, ceil(p_size / 4.0))::INT AS step, p_size FROM part) SELECT p_partkey, array_to_string(list_transform(list_transform(range(0, ceil(p_size / step::DOUBLE)::INT), lambda i: range(i * step + 1, least((i + 1) * step, p_size) + 1)), {ITEMS} AS chunks FROM p")
 def near_equal_chunks(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", arrays.chunks(F.sequence(F.lit(1), F.col("p_size")), 4).alias("c"))
-    return rows.select("p_partkey", F.array_join(F.transform("c", lambda x: F.size(x).cast("string")), ",").alias("sizes"))
+    return table(spark, d, "part").select("p_partkey", items_of(arrays.chunks(F.sequence(F.lit(1), F.col("p_size")), 4)).alias("chunks"))
 
 
-@query("WITH p AS (SELECT p_partkey, p_size AS n, greatest(1, CASE WHEN (p_size % 6) * 2 <= 6 THEN p_size // 6 ELSE ceil(p_size / 6.0)::INT END) AS k FROM part) SELECT p_partkey, array_to_string(list_transform(range(0, k), lambda i: (CASE WHEN i = k - 1 THEN n - i * 6 ELSE 6 END)::VARCHAR), ',') AS tail, array_to_string(list_transform(range(0, ceil(n / 7.0)::INT), lambda i: least(10, n - i * 7)::VARCHAR), ',') AS over FROM p")
+@query(f"WITH p AS (SELECT p_partkey, p_size AS n, greatest(1, CASE WHEN (p_size % 6) * 2 <= 6 THEN p_size // 6 ELSE ceil(p_size / 6.0)::INT END) AS k FROM part) SELECT p_partkey, array_to_string(list_transform(list_transform(range(0, k), lambda i: range(i * 6 + 1, CASE WHEN i = k - 1 THEN n ELSE i * 6 + 6 END + 1)), {ITEMS} AS tail, array_to_string(list_transform(list_transform(range(0, ceil(n / 7.0)::INT), lambda i: range(i * 7 + 1, least(i * 7 + 10, n) + 1)), {ITEMS} AS over FROM p")
 def chunks_of_items(spark, d):
     items = F.sequence(F.lit(1), F.col("p_size"))
-    sizes = lambda c: F.array_join(F.transform(c, lambda x: F.size(x).cast("string")), ",")
-    return table(spark, d, "part").select("p_partkey", sizes(evaluation.chunks_with_tail(items, 6)).alias("tail"), sizes(evaluation.overlapping(items, 7, 3)).alias("over"))
+    return table(spark, d, "part").select("p_partkey", items_of(evaluation.chunks_with_tail(items, 6)).alias("tail"), items_of(evaluation.overlapping(items, 7, 3)).alias("over"))
+
+
+@query("SELECT user_id, '[' || coalesce(string_agg(chr(39) || event_type || '(' || printf('%.2f', p) || ')' || chr(39), ', ' ORDER BY p DESC, event_type) FILTER (p > 0.6 AND n <= 3), '') || ']' AS shown FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_type) AS n FROM (SELECT user_id, event_type, floor(max(value)) / 100 AS p FROM events GROUP BY 1, 2)) GROUP BY 1")
+def bedside_classes(spark, d):
+    best = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.floor(F.max("value")) / 100).alias("prob"))
+    held = best.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("label"), "prob")).alias("c"))
+    return held.select("user_id", text.bedside_classes(F.col("c"), 0.6, 3).alias("shown"))
 
 
 @query("SELECT user_id, list_aggregate(list_transform(list_filter(list_sort(list({'e': event_type, 'p': p})), lambda z: z.p > 0.8), lambda z: printf('%s (%.2f%%)', z.e, z.p * 100)), 'string_agg', ', ') AS shown FROM (SELECT user_id, event_type, max(value) / 100 AS p FROM events GROUP BY 1, 2) GROUP BY 1 HAVING max(p) > 0.8 UNION ALL SELECT user_id, 'None > 80%' FROM events GROUP BY 1 HAVING max(value) / 100 <= 0.8")

@@ -8,7 +8,7 @@ from ..functions import arrays
 from ..operators import reporting
 from ..sources import table
 from ..streaming import events
-from .catalog import X, query, r6, records, signals, turns
+from .catalog import MILLIONTHS, X, query, r6, records, signals, turns, whole_numbers
 
 total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
 
@@ -55,11 +55,11 @@ def gate_events(spark, d):
     return events.gate_events(decisions, e.where("user_id % 2 = 0").select(F.col("user_id").alias("device_id")))
 
 
-@query(f"{X} SELECT vec_id AS device_id, 'wake_' || vec_id AS name, 80 AS n, round(list_sum(x), 6) AS total FROM e WHERE vec_id % 7 = 0")
+@query(f"{X} SELECT vec_id AS device_id, 'wake_' || vec_id AS name, array_to_string(list_transform(list_concat(x, list_transform(range(0, 16), lambda i: 0.0)), {MILLIONTHS} AS samples FROM e WHERE vec_id % 7 = 0")
 def wake_windows(spark, d):
     windows = signals(spark, d).select(F.col("vec_id").alias("device_id"), F.col("vec_id").cast("double").alias("t"), F.col("x").alias("samples"))
     kept = events.wake_windows(windows.select("device_id", "t", (F.col("t") % 7 == 0).alias("wake")), windows, 80)
-    return kept.select("device_id", "name", F.size("samples").alias("n"), total(F.col("samples")).alias("total"))
+    return kept.select("device_id", "name", whole_numbers(F.col("samples")).alias("samples"))
 
 
 @query("""SELECT user_id AS device_id, strftime(time_bucket(INTERVAL '15 minutes', ts) - i * INTERVAL '15 minutes', '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS score FROM (SELECT *, unnest(range(0, 4)) AS i FROM events) GROUP BY 1, 2""")
@@ -68,17 +68,17 @@ def event_time_windows(spark, d):
     return events.event_windows(scores, "1 hour", "15 minutes").select("device_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r6("score").alias("score"))
 
 
-@query(f"{X} SELECT vec_id, 8 AS n, round(list_sum(list_filter(x[33:64], lambda v, i: (i - 1) % 4 = 0)), 6) AS total FROM e")
+@query(f"{X} SELECT vec_id, array_to_string(list_transform(list_filter(x[33:64], lambda v, i: (i - 1) % 4 = 0), {MILLIONTHS} AS samples FROM e")
 def live_chunks(spark, d):
     rows = signals(spark, d).select("vec_id", events.live_chunk(F.col("x"), 32, 500).alias("y"))
-    return rows.select("vec_id", F.size("y").alias("n"), total(F.col("y")).alias("total"))
+    return rows.select("vec_id", whole_numbers(F.col("y")).alias("samples"))
 
 
-@query(f"{X} SELECT vec_id, 60 AS n, round(list_sum(x[6:10]) + list_sum(x[56:60]), 6) AS total FROM e")
+@query(f"{X} SELECT vec_id, array_to_string(list_transform(list_concat(list_transform(range(0, 5), lambda i: 0.0), x[6:10], list_transform(range(0, 45), lambda i: 0.0), x[56:60]), {MILLIONTHS} AS samples FROM e")
 def lead_projection(spark, d):
     leads = F.array(*(F.slice("x", 1 + 5 * i, 5) for i in range(12)))
     rows = signals(spark, d).select("vec_id", F.flatten(arrays.lead_subset(leads, ["ii", 11])).alias("y"))
-    return rows.select("vec_id", F.size("y").alias("n"), total(F.col("y")).alias("total"))
+    return rows.select("vec_id", whole_numbers(F.col("y")).alias("samples"))
 
 
 @query("WITH a AS (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2) SELECT user_id AS code, string_agg(event_type, ',' ORDER BY event_type) AS cn FROM a WHERE v < 80 GROUP BY 1")

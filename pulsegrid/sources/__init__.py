@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,9 +130,19 @@ def responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
 
 
-def write_index(records_: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
-    """An index directory: records, unit vectors if there are any, and a manifest with a checksum of the records."""
+def encoder_text(text: Column, section: Column) -> Column:
+    """What an encoder gets of a record: its text and section, with a blank between them."""
+    return F.trim(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), F.coalesce(section, F.lit(""))))
+
+
+def write_index(records_: DataFrame, path: str, vectors: DataFrame | None = None, encode: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """An index directory: records, unit vectors if there are any, and a manifest with a checksum of the records.
+
+    The vectors are given, or what `encode` makes of the records with the column `encoder_text` (text and section).
+    """
     records_.write.mode("overwrite").parquet(f"{path}/records")
+    if encode:
+        vectors = encode(records_.withColumn("encoder_text", encoder_text(F.col("text"), F.col("section"))))
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{path}/embeddings")
     saved = records_.sparkSession.read.parquet(f"{path}/records")
@@ -167,6 +178,26 @@ def tool_outputs(spark: SparkSession, classes: str, measurements: str) -> tuple[
     return read.schema("ecg_file_path string, top_classes string").csv(classes), read.option("enforceSchema", False).schema(shape).csv(measurements)
 
 
+def descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """code, description of a CSV with a header whose first two columns they are, whatever their names; of a repeated code the last counts."""
+    rows = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    # a file of one small list, which one task reads in order
+    listed = rows.select(F.trim("_c0").alias("code"), F.trim(F.coalesce("_c1", F.lit(""))).alias("description"), F.monotonically_increasing_id().alias("_n"))
+    return listed.where("_n > 0 and code is not null").groupBy("code").agg(F.max_by("description", "_n").alias("description"))
+
+
+def code_lists(spark: SparkSession, path: str) -> DataFrame:
+    """recording_id, scp_codes (a literal of codes and likelihoods) of a CSV with a header; rows without a whole number as ecg_id are left out."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(F.col("ecg_id").try_cast("long").alias("recording_id"), "scp_codes").where("recording_id is not null and scp_codes is not null")
+
+
+def measurements(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """ecg_id and these columns, as text, of a CSV with a header; a column that the file doesn't have is null."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select("ecg_id", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
 def newest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str | None:
     """The path of the file that was changed last (of the same time, the last by name); contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")

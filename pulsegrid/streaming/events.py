@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import queue
+import threading
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed: events that a listener may fall behind by.
 MAX_WAITING = 200
+#: Fixed: seconds between pings.
+PING = 15.0
 
 
 def gate_events(decisions: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,6 +76,23 @@ class Hub:
             if listener.empty():
                 listener.put_nowait({"type": "ping"})
 
+    def pinging(self, every: float = PING) -> Callable[[], None]:
+        """Ping every so many seconds, on a thread of its own, until the function that this returns is called."""
+        done = threading.Event()
+
+        def run() -> None:
+            while not done.wait(every):
+                self.ping()
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+
+        def stop() -> None:
+            done.set()
+            thread.join()
+
+        return stop
+
     def sink(self, batch: DataFrame, _: int) -> None:
         """For foreachBatch: events in the order of time, device and place."""
         for row in batch.orderBy("t", "device_id", "place").toLocalIterator():

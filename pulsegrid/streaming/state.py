@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources import shared_folder
+from ..sources import remove, settled, shared_folder
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,10 +78,10 @@ def replayed(rows: DataFrame, order: str, parts: int, build: Callable[[DataFrame
     """What a stream that `build` makes puts out for a table that comes in `parts` ranges of the column `order`, a micro-batch each.
 
     After each range the stream has ended, and it starts again from its checkpoint: what it needs of earlier ranges is in
-    its state. Jobs are run when this is called. The output is in the shared folder, the rest is there too and can be deleted.
+    its state. Jobs are run when this is called; what it wrote is removed, unless a folder is given.
     """
     spark = rows.sparkSession
-    folder = folder or f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    given, folder = folder, folder or f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     inner = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
     cuts = [float("-inf"), *sorted(set(inner)), float("inf")]
     own = rocksdb(spark.newSession())
@@ -90,4 +90,7 @@ def replayed(rows: DataFrame, order: str, parts: int, build: Callable[[DataFrame
         stream = own.readStream.schema(rows.schema).parquet(f"{folder}/in")
         run = build(stream).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{folder}/out")
         run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    out = settled(spark.read.parquet(f"{folder}/out"))
+    if not given:
+        remove(spark, folder)
+    return out
