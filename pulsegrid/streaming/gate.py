@@ -5,7 +5,7 @@ abnormal marks among the last n, else low. The gate is ready as long as it has n
 step lies `refractory` or more after the last wake. It wakes at a high step if it is ready before that step.
 
 So all that decides are three numbers: the last wake, the last low step, and the present one. Wakes are at
-first steps of runs of high ones, which is what the batch plan folds over; the rest are windows. A stream
+first steps of runs of high ones, which is what the batch plan walks; the rest are windows. A stream
 keeps those numbers and the tails of the scores and marks for each device.
 """
 
@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,19 +97,21 @@ def wakes(scores: DataFrame, gate: Gate) -> DataFrame:
     """device_id, t of the wakes, in one batch.
 
     Only the first step of a run of high ones can wake, and of what lies before it only the last low step's time
-    counts: those pairs are what is gathered for a device and folded.
+    counts: those pairs are what is walked for a device, once and in order.
     """
     order = Window.partitionBy("device_id").orderBy("t")
     high = F.col("count") >= gate.m
-    turns = marked(scores, gate).withColumns({"_before": F.lag("t").over(order), "_was": F.coalesce(F.lag(high).over(order), F.lit(False))}).where(high & ~F.col("_was"))
-    held = turns.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col("_before").alias("low")))).alias("turns"))
-    nothing = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("found"))
+    turns = marked(scores, gate).withColumns({"low": F.lag("t").over(order), "_was": F.coalesce(F.lag(high).over(order), F.lit(False))}).where(high & ~F.col("_was")).select("device_id", F.col("t").cast("double").alias("t"), F.col("low").cast("double").alias("low"))
 
-    def fold(acc, turn):
-        wake = gate.ready(acc["last"], turn["low"])
-        return F.struct(F.when(wake, turn["t"]).otherwise(acc["last"]).alias("last"), F.when(wake, F.array_append(acc["found"], turn["t"])).otherwise(acc["found"]).alias("found"))
+    def walk(device: pa.Table) -> pa.Table:
+        device = device.sort_by("t")
+        last, kept = None, []
+        for t, low in zip(device.column("t").to_pylist(), device.column("low").to_pylist(), strict=True):
+            kept.append(gate.ready(last, low))
+            last = t if kept[-1] else last
+        return device.select(["device_id", "t"]).filter(pa.array(kept, pa.bool_()))
 
-    return held.select("device_id", F.explode(F.aggregate("turns", nothing, fold)["found"]).alias("t"))
+    return turns.groupBy("device_id").applyInArrow(walk, "device_id string, t double")
 
 
 def decided(scores: DataFrame, gate: Gate) -> DataFrame:
