@@ -24,7 +24,8 @@ deviation), for which a median says little. What is above is junk: random charac
 What is below repeats the most common words.
 
 The `most_languages` languages with the most documents have a model each; others share one, with null.
-Null and empty texts have no words and fail the base rules. Repeated rows are judged each. Columns other
+Null and empty texts have no words and fail the base rules. Repeated rows are judged each; no documents give
+no rows. Texts are read whole, however long. A perplexity on a band's edge is inside. Columns other
 than doc_id, text and lang are not read.
 """
 

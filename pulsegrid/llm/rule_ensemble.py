@@ -9,7 +9,8 @@ The ensemble is fitted on a bounded sample of labelled rows (`sample`, by a hash
 labels of one kind only, or none, every text scores the share of 1s (0.5 with none).
 
 Null texts are empty, and are scored. Repeated rows are scored each; rows with a null label are not
-learned from, nor are those with a null doc_id. Columns other than doc_id, text and quality are not
+learned from, nor are those with a null doc_id. No documents give no rows. Texts are read whole, however long.
+Equal texts score alike, and thresholds take ties to one side. Columns other than doc_id, text and quality are not
 read.
 """
 

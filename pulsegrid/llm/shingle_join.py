@@ -12,7 +12,9 @@ parity sketch (of which as many bits differ as shingles do, or fewer), and what
 No filter loses a link.
 
 Texts of fewer words have one shingle, of all their words; null and empty texts have none, and link to
-each other. Shingles are 64-bit hashes. A null doc_id never names a component.
+each other. Shingles are 64-bit hashes. A null doc_id never names a component. Repeated rows come back as often as they are
+there, with the component of their text; no documents give no rows. Texts are read whole, however long. There are
+no ties to break. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

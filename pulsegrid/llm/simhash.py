@@ -10,7 +10,8 @@ so are not broadcast: a shard's tree is built where its members are, and searche
 
 Null and empty texts have fingerprint zero and link like any others. Repeated rows come back as
 often as they were given. A null doc_id never names a component; a component of null ids only has a
-null component_id. Columns other than doc_id and text are not read.
+null component_id. No documents give no rows. Texts are read whole, however long. There are no ties to break: links
+are a fact of two fingerprints. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

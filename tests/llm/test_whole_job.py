@@ -298,3 +298,66 @@ def test_sample_of_a_language_is_bounded_in_characters(spark):
     model = crf.learn(docs, F.lit(True), characters=60_000)
     got = {r["doc_id"]: r["lang_pred"] for r in crf.identify(docs, model).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
+
+
+@pytest.fixture(scope="module")
+def very_long(spark):
+    """One text of 300,000 words among plain ones."""
+    rng = np.random.default_rng(14)
+    words = "the of and to in that with from which water house under light paper".split()
+    rows = [(i, " ".join(rng.choice(words, 60)) + ".", "en", "a", 0) for i in range(40)]
+    rows.append((99, "\n".join(" ".join(rng.choice(words, 30)) for _ in range(10_000)), "en", "b", 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), dict((r[0], r[1]) for r in rows)
+
+
+def test_very_long_texts(spark, very_long):
+    from pulsegrid.llm import kneser_ney, rule_ensemble, simhash
+
+    docs, texts = very_long
+    of = lambda df: {r["doc_id"]: r for r in df.collect()}[99]
+    assert of(interpolation.score(docs))["n_tokens"] == 300_001
+    judged = of(kneser_ney.judge(docs))
+    assert judged["n_words"] == 300_000 and judged["word_chars"] == sum(map(len, texts[99].split())) and not math.isnan(judged["perplexity"])
+    found = of(simhash.near_duplicates(docs))
+    assert found["component_id"] == 99 and found["fingerprint"] == f"{int(simhash.of_hashes(shingle_join.hashes(texts[99], 3))):016x}"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert 0 <= of(rule_ensemble.score(docs, rule_ensemble.learn(docs, labels, F.lit(True))))["score"] <= 1
+    assert {r["component_id"] for r in shingle_join.near_duplicates(docs).collect()} >= {99}
+
+
+def test_stages_of_no_documents(spark):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+    model = crf.learn(none, F.lit(True))
+    assert crf.accepted(none, model).count() == 0
+
+
+def test_kept_by_perplexity_bands_computed_anew(spark):
+    """The base rules and the bands, from the perplexities, by plain Python."""
+    from pulsegrid.llm import kneser_ney
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in kneser_ney.judge(docs).collect()}
+    measured = [r.asDict() for r in kneser_ney.measured(docs).collect()]
+    middle_of = lambda x: sorted(x)[math.ceil(len(x) / 2) - 1]
+    sound = defaultdict(list)
+    for r in measured:
+        if not (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]):
+            sound[r["model"] // 2].append(r)
+    bands = {}
+    for lang, rows in sound.items():
+        middle, typical = middle_of([r["log_perplexity"] for r in rows]), middle_of([r["symbols"] for r in rows])
+        longer = lambda r, typical=typical: max(1.0, math.sqrt(typical / r["symbols"]))
+        bands[lang] = middle, longer, middle_of([abs(r["log_perplexity"] - middle) / longer(r) for r in rows]), len(rows)
+    common = sum(b[2] * b[3] for b in bands.values()) / sum(b[3] for b in bands.values())
+    kept = {}
+    for r in measured:
+        kept[r["doc_id"]] = False
+        if r in sound[r["model"] // 2]:
+            middle, longer, spread, n = bands[r["model"] // 2]
+            width = 1.4826 * (spread + common * kneser_ney.FEW / n) * longer(r)
+            kept[r["doc_id"]] = middle - kneser_ney.BELOW * width <= r["log_perplexity"] <= middle + kneser_ney.ABOVE * width
+    assert {i: r["kept"] for i, r in got.items()} == kept and 0 < sum(kept.values()) < len(kept)
