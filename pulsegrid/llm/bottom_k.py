@@ -291,15 +291,17 @@ def verified(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: DataFram
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: Fraction = SIMILARITY, first: int = FIRST, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept of each row."""
-    rows = shared.settled(described(docs, size, similarity))
-    of = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
+    whole = shared.settled(described(docs, size, similarity))
+    of = whole.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
     sets = shared.settled(of)
+    rows = shared.settled(whole.select("doc_id", "key", F.col("n").alias("n_shingles")))
+    del whole, of  # copies' sketches are not needed again
     shared.release(docs.sparkSession)
     links = shared.settled(verified(docs, sets, first_round(sets, first, similarity, limit), None, size, similarity, limit))
     roots = simhash.components(links)
     more = verified(docs, sets, shared.settled(second_round(sets, roots, similarity, limit)), roots, size, similarity, limit)
     rooted = labelled(sets.select("key", "least"), simhash.components(links.unionByName(more)))
     named = rooted.join(rooted.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "component_id")
-    found = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
+    found = rows.join(named, "key", "left")
     id_ = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
