@@ -97,16 +97,23 @@ def ground_truth_text(spark, d):
     return evaluation.truth_text(codes, F.broadcast(described))  # a fixed list
 
 
-@query("""WITH m AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN floor(s_acctbal) END AS hr, s_nationkey::DOUBLE AS hv, CASE WHEN s_suppkey % 4 = 0 THEN floor(s_acctbal) / 2 END AS qrs, CASE WHEN s_suppkey % 2 = 0 THEN floor(s_acctbal) / 3 END AS qb, CASE WHEN s_suppkey % 5 <> 1 THEN floor(s_acctbal) * 2 END AS qc FROM supplier WHERE s_suppkey % 10 <> 9)
-SELECT id AS ecg_id, concat_ws('; ', 'Heart rate: ' || printf('%.1f', coalesce(hr, hv)) || ' bpm', 'QRS duration: ' || printf('%.1f', qrs) || ' ms', 'QTc (Bazett): ' || printf('%.1f', coalesce(qb, qc)) || ' ms') AS text FROM m""")
-def measurement_text(spark, d):
+MEASURED = """WITH m AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN floor(s_acctbal) END AS hr, s_nationkey::DOUBLE AS hv, CASE WHEN s_suppkey % 4 = 0 THEN floor(s_acctbal) / 2 END AS qrs, CASE WHEN s_suppkey % 2 = 0 THEN floor(s_acctbal) / 3 END AS qb, CASE WHEN s_suppkey % 5 <> 1 THEN floor(s_acctbal) * 2 END AS qc FROM supplier WHERE s_suppkey % 10 <> 9)
+SELECT id AS ecg_id, concat_ws('; ', 'Heart rate: ' || printf('%.1f', coalesce(hr, hv)) || ' bpm', 'QRS duration: ' || printf('%.1f', qrs) || ' ms', 'QTc (Bazett): ' || printf('%.1f', coalesce(qb, qc)) || ' ms') AS text FROM m"""
+
+
+def measured(spark, d):
+    """supplier as a table of global measurements, all of them text."""
     k, v = F.col("s_suppkey"), F.floor("s_acctbal").cast("double")
     text = lambda c: F.coalesce(c.cast("string"), F.lit("nan"))
-    rows = table(spark, d, "supplier").select(
+    return table(spark, d, "supplier").select(
         F.when(k % 10 == 9, "none").otherwise(F.concat(k.cast("string"), F.lit(".0"))).alias("ecg_id"), text(F.when(k % 3 != 0, v)).alias("HR__Global"), F.col("s_nationkey").cast("string").alias("HR_Ventr_Global"), F.lit("").alias("PR_Int_Global"),
         text(F.when(k % 4 == 0, v / 2)).alias("QRS_Dur_Global"), F.lit(None).cast("string").alias("QT_Int_Global"), text(F.when(k % 2 == 0, v / 3)).alias("QT_IntBazett_Global"), text(F.when(k % 5 != 1, v * 2)).alias("QT_IntCorr_Global"),
     )
-    return evaluation.measurement_text(rows)
+
+
+@query(MEASURED)
+def measurement_text(spark, d):
+    return evaluation.measurement_text(measured(spark, d))
 
 
 @query("SELECT l.doc_id AS item, d.lang, md5(d.text) AS gold FROM labels l JOIN documents d USING (doc_id)")
@@ -225,3 +232,23 @@ def results_reassembled(spark, d):
     parts = evaluation.reassembled(F.transform("t", lambda x: x.action), F.transform("t", lambda x: x.reply), [dialogue.CLASSIFICATION], F.lit(None).cast("string"))
     rows = said.select("sample_id", F.posexplode(parts).alias("n", "r"))
     return rows.select("sample_id", (F.col("n") + 1).alias("place"), "r.*")
+
+
+@query("""WITH e AS (SELECT event_id, unnest(range(0, 2)) AS i, upper(event_type) AS code, round(floor(value) / 100, 2) AS prob FROM events)
+SELECT event_id, CASE i WHEN 0 THEN code ELSE 'PRC(S)' END AS code, CASE i WHEN 0 THEN prob END AS prob FROM e""")
+def findings_forms(spark, d):
+    """Findings in single and double quotes and in none; what is neither a code nor one with a number is dropped."""
+    n, prob = F.col("event_id") % 3, F.format_string("%.2f", F.floor("value") / 100)
+    first = F.concat(F.upper("event_type"), F.when(n == 2, "(").otherwise(" ( "), prob, F.lit(")"))
+    quoted = lambda q: F.concat(F.lit(f"[{q}"), first, F.lit(f"{q}, {q}PRC(S){q}, {q}no code!{q}]"))
+    written = F.when(n == 0, quoted("'")).when(n == 1, quoted('"')).otherwise(F.concat(F.lit("["), first, F.lit(", PRC(S)  what? ]")))
+    return table(spark, d, "events").select("event_id", F.explode(text.findings(written)).alias("f")).select("event_id", "f.code", "f.prob")
+
+
+@query(r"""WITH d AS (SELECT doc_id, lower(translate(text, 'aeiou', '心律不齐房')) AS text FROM documents),
+t AS (SELECT doc_id, regexp_extract_all(text, '[a-z0-9]+') AS a, regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+') AS c FROM d)
+SELECT doc_id, md5(array_to_string(list_concat(a, flatten(list_transform(c, lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: r[i]), list_transform(range(1, length(r)), lambda i: r[i : i + 1]))))), ' ')) AS tokens, len(a) + coalesce(list_sum(list_transform(c, lambda r: 2 * length(r) - 1)), 0)::BIGINT AS n FROM t""")
+def cjk_tokens(spark, d):
+    """Tokens of texts whose vowels are ideographs: runs of letters, then single characters and pairs of each run of ideographs."""
+    found = table(spark, d, "documents").select("doc_id", text.tokens(F.translate("text", "aeiou", "心律不齐房")).alias("t"))
+    return found.select("doc_id", F.md5(F.array_join("t", " ").cast("binary")).alias("tokens"), F.size("t").cast("long").alias("n"))

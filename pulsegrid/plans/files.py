@@ -12,6 +12,7 @@ from .. import sources
 from ..operators import dialogue, etl, evaluation
 from ..sources import binary, table
 from .catalog import query, r6, records, signals, vectors
+from .evaluation import MEASURED, measured
 
 
 #: The folders that the query that is being built has made.
@@ -328,3 +329,11 @@ def dialogue_filters(spark, d):
     held = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x.t)).alias("turns"))
     held = held.withColumn("turns", F.when(F.col("conv_id") % 9 == 4, F.concat(F.lit("oops"), "turns")).otherwise(F.col("turns")))
     return held.select("conv_id", dialogue.contains_action(F.col("turns"), dialogue.CLASSIFICATION).alias("calls"), dialogue.answered(F.col("turns")).alias("said"))
+
+
+@filed(MEASURED)
+def measurement_files(spark, d):
+    """Measurement texts from a CSV file that lacks a column."""
+    path = scratch(spark, "measured")
+    sources.write_report(measured(spark, d).drop("QT_Int_Global"), path)
+    return evaluation.measurement_text(sources.measurements(spark, path, [m[0] for m in evaluation.MEASUREMENTS]))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import reporting
+from ..operators import reporting, retrieval
 from ..sources import table
 from ..streaming import events
-from .catalog import MILLIONTHS, X, query, r6, records, signals, turns, whole_numbers
+from .catalog import BM25, MILLIONTHS, X, asked, query, r6, records, signals, turns, whole_numbers
 
 total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
 
@@ -101,3 +101,13 @@ def tool_extraction(spark, d):
     paths = table(spark, d, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"))
     recordings = signals(spark, d).select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("path"), "x")
     return reporting.extracted(paths, recordings, peak, "peak double").withColumn("peak", r6("peak"))
+
+
+@query(f"""WITH {BM25}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s WHERE bm25 > 0 AND doc_id % 10 <> 0)
+SELECT query_id, string_agg('- ' || md5(text) || ' (' || d.source || ' 2024, class , level , ' || concat_ws('/', d.source, d.lang) || ')', chr(10) ORDER BY rank) AS context FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY 1""")
+def search_context(spark, d):
+    """What a prompt gets of a search: three lines with text, society, version and citation."""
+    rows = records(spark, d)
+    hits = retrieval.search(rows, asked(spark, d), 3, retrieval.passes()).select("query_id", "doc_id", "rank")
+    told = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "society", F.lit("2024").alias("version"), F.lit(None).cast("string").alias("class"), F.lit("").alias("LOE"), "citation")
+    return reporting.context(hits.join(told, "doc_id"))
