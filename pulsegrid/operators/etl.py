@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..sources import binary
+from ..sources import binary, settled
 
 
 def literal_map(text: Column) -> Column:
@@ -50,12 +50,13 @@ def first_match(rows: DataFrame, lookup: DataFrame, key: str, order: str, value:
 def manifest(files: DataFrame, root: str) -> DataFrame:
     """place, line: the root at place 0, then relative path and count, by tab, in the order of paths (path, n).
 
-    Places come from ranges of the path, so no task sorts all. A path that is not below the root stays as it is.
+    Places come from ranges of the path, so no task sorts all. A path that is not below the root stays as it is. The ranges are drawn once and
+    kept by a checkpoint, as their bounds come from a sample that is another one each time that they are drawn.
     """
     below = root.rstrip("/") + "/"
     relative = F.when(F.startswith("path", F.lit(below)), F.substr("path", F.lit(len(below) + 1))).otherwise(F.col("path"))
-    rows = files.select(relative.alias("path"), "n").repartitionByRange("path").select("*", F.spark_partition_id().alias("_part"))
-    inside = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("path")))
+    rows = settled(files.select(relative.alias("path"), "n").repartitionByRange("path").select("*", F.spark_partition_id().alias("_part")))
+    inside = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("path", "n")))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     lines = inside.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_nth")).alias("place"), F.concat_ws("\t", "path", F.col("n").cast("string")).alias("line"))
