@@ -78,9 +78,13 @@ def history(turns: DataFrame) -> DataFrame:
     return turns.select("sample_id", "pos", F.array_join(F.collect_list(line).over(before), "\n").alias("history"))
 
 
-def record_path(number: Column) -> Column:
-    """The place of a recording: thousands as the folder, both padded to five digits."""
-    pad = lambda c: F.when(F.length(c) < 5, F.lpad(c, 5, "0")).otherwise(c)
+def record_path(number: Column, cut: bool = False) -> Column:
+    """The place of a recording: thousands as the folder, both padded to five digits.
+
+    Longer numbers stay whole, or with `cut` keep their first five digits, as SQL's lpad leaves them (several records then share a path).
+    """
+    padded = lambda c: F.lpad(c, 5, "0")
+    pad = padded if cut else lambda c: F.when(F.length(c) < 5, padded(c)).otherwise(c)
     return F.concat(pad((F.floor(number / 1000) * 1000).cast("string")), F.lit("/"), pad(number.cast("string")), F.lit("_hr"))
 
 

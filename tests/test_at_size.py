@@ -25,3 +25,10 @@ def test_manifest_of_more_paths_than_a_sample_of_ranges_holds(spark):
     assert [place for place, _ in got] == list(range(n + 1))
     lines = [line for _, line in got[1:]]
     assert got[0] == (0, "/data") and lines == sorted(lines) and len(set(lines)) == n
+
+
+def test_record_paths_of_six_digits(spark, tmp_path):
+    got, want = both(spark, tmp_path, "record_paths", "customer", [(7,), (99999,), (123456,), (899999,)], "c_custkey long")
+    assert got == want and (123456, "12300/12345_hr") in got
+    whole = spark.createDataFrame([(7,), (123456,)], "n long").select(reporting.record_path(F.col("n"))).collect()
+    assert [r[0] for r in whole] == ["00000/00007_hr", "123000/123456_hr"]
