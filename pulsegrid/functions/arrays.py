@@ -69,8 +69,10 @@ def multi_hot(codes: Column, labels: list[str]) -> Column:
 
 
 def axis_degrees(one: Column, avf: Column) -> Column:
-    """The frontal axis; null where both parts vanish."""
-    return F.when((F.abs(one) >= 1e-6) | (F.abs(avf) >= 1e-6), F.round(F.degrees(F.atan2(avf, one)), 0))
+    """The frontal axis; null where both parts vanish. A negative zero in aVF, left by rounding, is below the axis: -180 with a negative I."""
+    # Spark's atan2 drops the sign of a zero
+    below = (one < 0) & (avf == 0) & F.startswith(avf.cast("string"), F.lit("-"))
+    return F.when((F.abs(one) >= 1e-6) | (F.abs(avf) >= 1e-6), F.when(below, -180.0).otherwise(F.round(F.degrees(F.atan2(avf, one)), 0)))
 
 
 def axis_class(axis: Column) -> Column:

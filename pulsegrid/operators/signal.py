@@ -56,6 +56,11 @@ def r_s_ratio(r: Column, s: Column) -> Column:
     return F.when(F.abs(s) > 1e-6, F.round(r / F.abs(s), 2))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """The value rounded, its sign kept where that gives zero: -0.0 and 0.0 are a whole turn apart for an axis."""
+    return F.when(value < 0, -F.round(-value, places)).otherwise(F.round(value, places))
+
+
 def median(items: Column) -> Column:
     """The median of an array's numbers, NaN and null dropped; null with none."""
     known = F.array_sort(F.filter(items, lambda x: x.isNotNull() & ~F.isnan(x)))
@@ -97,7 +102,7 @@ def morphology(recordings: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
     rows = recordings.join(held, "recording_id", "left").withColumn("x", F.col("samples").cast("array<double>"))
     usable = F.filter("held", lambda b: b["on"].isNotNull() & b["off"].isNotNull() & (b["off"] > b["on"]) & (b["on"] >= 0) & (b["off"] < F.size("x")))
     rows = rows.withColumn("held", F.coalesce(usable, F.array().cast("array<struct<beat_idx:int,on:int,off:int,peak:int>>"))).withColumn("found", F.transform("held", lambda b: _beat(F.col("x"), b, fs)))
-    three = lambda c: F.round(median(F.transform("found", c)), 3)
+    three = lambda c: rounded(median(F.transform("found", c)), 3)
     rows = rows.withColumns({"r": three(lambda f: f["r"]), "s": three(lambda f: f["s"]), "st": three(lambda f: f["st"]), "t": three(lambda f: f["t"]), "net": three(lambda f: f["r"] + f["s"])})
     net = lambda lead: F.max(F.when(F.col("lead") == lead, F.col("net")))
     axis = rows.groupBy("recording_id").agg(net("I").alias("one"), net("aVF").alias("avf")).select("recording_id", arrays.axis_degrees(F.col("one"), F.col("avf")).alias("axis"))

@@ -39,3 +39,10 @@ def test_intents_at_letters_outside_ascii_and_at_line_ends(spark, tmp_path):
     got, want = both(spark, tmp_path, "route_intent", "conversations", [(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
     assert got == want and (0, 0, "morphology") in got and (6, 0, None) in got
     assert text.as_re2(r"[$\]]\$a$") == r"(?d)[$\]]\$a\z"
+
+
+def test_axis_of_a_net_that_rounds_to_a_negative_zero(spark):
+    rows = spark.createDataFrame([(-0.1, -0.0003), (-0.1, 0.0003), (0.1, -0.0003), (-0.1, 0.0)], "one double, avf double")
+    got = rows.select(arrays.axis_degrees(F.col("one"), signal.rounded(F.col("avf"), 3))).collect()
+    assert [r[0] for r in got] == [-180.0, 180.0, 0.0, 180.0]
+    assert [str(r[0]) for r in rows.select(signal.rounded(F.col("avf") * 10, 2)).collect()] == ["-0.0", "0.0", "-0.0", "0.0"]
