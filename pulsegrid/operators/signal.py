@@ -38,8 +38,9 @@ def intervals(beats: DataFrame) -> DataFrame:
 
 
 def interpretation(hr: Column, pr: Column, qtc: Column, qrs: Column) -> Column:
-    """A struct of plain readings; null measures are `Unable to determine`."""
+    """A struct of plain readings; null measures are `Unable to determine`. Durations count in four places, so that what doubles add to a bound is not over it."""
     unknown = "Unable to determine"
+    pr, qtc, qrs = (F.round(c, 4) for c in (pr, qtc, qrs))
     return F.struct(
         F.when(hr.isNull(), unknown).when(hr < 60, "Bradycardia").when(hr > 100, "Tachycardia").otherwise("Normal").alias("rate"),
         F.when(pr.isNull(), unknown).when(pr < 120, "Short").when(pr > 200, "Prolonged").otherwise("Normal").alias("pr"),

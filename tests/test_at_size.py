@@ -46,3 +46,20 @@ def test_axis_of_a_net_that_rounds_to_a_negative_zero(spark):
     got = rows.select(arrays.axis_degrees(F.col("one"), signal.rounded(F.col("avf"), 3))).collect()
     assert [r[0] for r in got] == [-180.0, 180.0, 0.0, 180.0]
     assert [str(r[0]) for r in rows.select(signal.rounded(F.col("avf") * 10, 2)).collect()] == ["-0.0", "0.0", "-0.0", "0.0"]
+
+
+def test_readings_go_by_the_medians_as_shown(spark):
+    rows = spark.createDataFrame([(120.00000000001, 199.99999999999, 460.00000000001), (120.0001, 200.0001, 460.0001)], "qrs double, pr double, qtc double")
+    got = rows.select(signal.interpretation(F.lit(75.0), F.col("pr"), F.col("qtc"), F.col("qrs")).alias("r")).select("r.*").collect()
+    assert [(r.pr, r.qtc, r.qrs) for r in got] == [("Normal", "Normal", "Normal"), ("Prolonged", "Prolonged", "Wide")]
+
+
+def test_a_qrs_at_its_bound(spark, tmp_path):
+    import datetime
+
+    at = [datetime.datetime(2024, 1, 1, 0, 0, s) for s in range(9)]
+    rows = [(100 * u + i, at[i], u, v) for u in range(60) for i, v in enumerate([10.01 * u / 7 // 0.01 / 100, 70.0 + u / 100, 86.0 - u / 100])]
+    got, want = both(spark, tmp_path, "interval_medians", "events", rows, "event_id long, ts timestamp, user_id long, value double")
+    names = catalog.QUERIES["interval_medians"](spark, str(tmp_path)).columns
+    readings = [names.index(c) for c in ("recording_id", "rate", "pr", "qtc", "qrs")]
+    assert [[r[i] for i in readings] for r in got] == [[r[i] for i in readings] for r in want]
