@@ -34,13 +34,22 @@ LEAST, RANKS = 10, 10
 BROADCAST, SPREAD = 100_000, 64
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows that have it)."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.sort_array(F.regexp_extract_all(text, F.lit(TERM), 0)).alias("_terms"))
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z in lower case; lower() is far cheaper than translate(), and does the same where all is ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def term_counts(docs: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """lang, source, term, n (occurrences), docs (rows that have it); or l and i instead of the first two, where `numbers`
+    (lang, source, l, i), which is broadcast, numbers languages and their sources: counting by numbers is cheaper."""
+    by = ("l", "i") if numbers is not None else ("lang", "source")
+    rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).alias("_text"))
+    if numbers is not None:
+        rows = rows.join(F.broadcast(numbers), ["lang", "source"])
+    rows = rows.select(*by, F.sort_array(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(TERM), 0)).alias("_terms"))
     # equal terms of a text stand together: the first of them counts the row
     marked = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), F.when(F.get("_terms", i - 1) == t, 0).otherwise(1).alias("first")))
-    return rows.select("lang", "source", F.inline(marked)).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    return rows.select(*by, F.inline(marked)).groupBy(*by, "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -83,9 +92,16 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, broadcast: in
         salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
         return rows.withColumn("_salt", salt).join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["lang", "_salt"]).drop("_salt")
 
-    counts = term_counts(docs).join(F.broadcast(named) if few else named, ["lang", "source"])
-    pivot = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("i", "n"))).alias("v"))
-    wide = shared.settled(pivot.where(F.col("docs") >= least).select("lang", "term", "total", "v"))
+    if few:
+        numbers = shared.settled(named.withColumn("l", F.dense_rank().over(Window.orderBy("lang"))))  # of `broadcast` rows at most
+        counts = term_counts(docs, numbers)
+    else:
+        counts = term_counts(docs).join(named, ["lang", "source"])
+    key = "l" if few else "lang"
+    pivot = counts.groupBy(key, "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("i", "n"))).alias("v")).where(F.col("docs") >= least)
+    if few:
+        pivot = pivot.join(F.broadcast(numbers.select("l", "lang").distinct()), "l")
+    wide = shared.settled(pivot.select("lang", "term", "total", "v"))
     groups = shared.settled(sized(named, wide))
     of = groups.select("lang", "sizes", "zeros", F.col("total").alias("_total"), "kept")
     entry = lambda x: F.struct(x.i.alias("i"), share(x.n, F.get("sizes", x.i), F.col("kept")).alias("p"), F.get("zeros", x.i).alias("z"))

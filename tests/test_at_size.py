@@ -63,3 +63,16 @@ def test_a_qrs_at_its_bound(spark, tmp_path):
     names = catalog.QUERIES["interval_medians"](spark, str(tmp_path)).columns
     readings = [names.index(c) for c in ("recording_id", "rate", "pr", "qtc", "qrs")]
     assert [[r[i] for i in readings] for r in got] == [[r[i] for i in readings] for r in want]
+
+
+def test_terms_are_counted_by_numbers_as_by_names(spark):
+    from pulsegrid.llm import divergence
+    from pyspark.sql import Window
+
+    texts = ["The CAT the cat", "ÉTÉ Été été", "Kelvin K İI ΣΑΣ ſ", "", None]
+    docs = spark.createDataFrame([(i, t, lang, s) for i, t in enumerate(texts) for lang, s in (("en", "a"), (None, "b"), ("en", None))], "doc_id long, text string, lang string, source string")
+    lowered = docs.where("text is not null").select("text", divergence.ascii_lower(F.col("text"))).collect()
+    assert all(low == "".join(c.lower() if c < "\x80" else c for c in t) for t, low in lowered)
+    numbers = divergence.numbered(docs).withColumn("l", F.dense_rank().over(Window.orderBy("lang")))
+    by_number = divergence.term_counts(docs, numbers).join(numbers, ["l", "i"]).select("lang", "source", "term", "n", "docs")
+    assert sorted(map(tuple, by_number.collect())) == sorted(map(tuple, divergence.term_counts(docs).collect()))
