@@ -5,6 +5,9 @@ that at least `least` of its documents have. Every kept term is a row that holds
 functions over that array emit what the term adds to each pair of sources, and sums by pair are made in the tasks that
 emit before anything is shuffled.
 
+Terms are counted in the tasks that read the texts, by numbers in arrays, of which a bounded number is held: a group's count of a
+term is a row once for each time that they are handed on, and all rows of a term go to one task, which adds them up and makes the term's row.
+
 p of a term in a source of N occurrences, of V kept terms: 1 + floor(10^9 * (count + 2) / (N + 2 V)). Two sources are
 apart by the sum over terms of f(p, q) = floor((p - q)^2 / (p + q)). All of it is integers, so no order of adding counts.
 
@@ -21,6 +24,11 @@ columns, whatever their names, nothing is read.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +38,14 @@ from . import shared
 TERM, WHOLE, PRIOR = r"[^\x00-\x60\x7B-\x7F]+", 1_000_000_000, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST, RANKS = 10, 10
+#: Counts below have a product with WHOLE that is a long.
+SHORT = 9_000_000_000
 #: Groups (lang, source) up to which their sizes are broadcast: some 10 MB. More are joined, spread by `SPREAD` salts.
 BROADCAST, SPREAD = 100_000, 64
+#: A-Z to lower case and what is in no term to blanks: split() of such bytes are the terms, as bytes of other than ASCII stay.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Terms, and distinct ones, beyond which a task hands its counts on after a text; bytes of a text that are split at once; rows of a batch.
+HELD, DISTINCT, PIECE, BATCH = 1 << 22, 1 << 19, 1 << 20, 1 << 16
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,17 +53,72 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def split(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, some at a time, as a very long text need not be a list of all of them."""
+    text, at = text.translate(BYTES), 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def counted(by: tuple[str, ...]) -> Callable[[shared.Batches], shared.Batches]:
+    """A function over batches of `by` and _text (bytes) that yields `by`, term (bytes), n (occurrences) and docs (rows that have it), anew whenever
+    HELD terms or DISTINCT different ones are held."""
+
+    def rows(kinds: list[pa.DataType], groups: dict, vocabulary: dict, of: list[int], sizes: list[int], ids: list[np.ndarray]) -> shared.Batches:
+        v, terms, group = len(vocabulary), np.concatenate(ids), np.array(of, dtype=np.int64)
+        row = np.repeat(np.arange(len(of)), sizes)
+        seen = np.unique(row * v + terms)
+        keys, docs = np.unique(group[seen // v] * v + seen % v, return_counts=True)
+        n = np.unique(group[row] * v + terms, return_counts=True)[1]
+        names, values = pa.array(list(vocabulary), pa.binary()), [pa.array(x, kind) for x, kind in zip(zip(*groups), kinds)]
+        for at in range(0, len(keys), BATCH):
+            g, t = (pa.array(x) for x in np.divmod(keys[at : at + BATCH], v))
+            own = {c: x.take(g) for c, x in zip(by, values)}
+            yield shared.batch_of(**own, term=names.take(t), n=n[at : at + BATCH].astype(np.int64), docs=docs[at : at + BATCH].astype(np.int64))
+
+    def count(batches: shared.Batches) -> shared.Batches:
+        def anew() -> tuple:
+            vocabulary: defaultdict[bytes, int] = defaultdict()
+            vocabulary.default_factory = vocabulary.__len__  # a new term gets the next number
+            return {}, vocabulary, [], [], []
+
+        kinds, held, state = [], 0, anew()
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            for *key, text in zip(*shared.columns(batch, *by, "_text")):
+                groups, vocabulary, of, sizes, ids = state
+                found = [np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in split(text)]
+                size = sum(map(len, found))
+                if size:
+                    of.append(groups.setdefault(tuple(key), len(groups)))
+                    sizes.append(size)
+                    ids.extend(found)
+                    held += size
+                if held >= HELD or len(vocabulary) >= DISTINCT:
+                    yield from rows(kinds, *state)
+                    held, state = 0, anew()
+        if held:
+            yield from rows(kinds, *state)
+
+    return count
+
+
 def term_counts(docs: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that have it); or l and i instead of the first two, where `numbers`
-    (lang, source, l, i), which is broadcast, numbers languages and their sources: counting by numbers is cheaper."""
+    (lang, source, l, i), which is broadcast, numbers languages and their sources: rows are then dealt by l and term."""
     by = ("l", "i") if numbers is not None else ("lang", "source")
-    rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
     if numbers is not None:
         rows = rows.join(F.broadcast(numbers), ["lang", "source"])
-    rows = rows.select(*by, F.sort_array(F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(TERM), 0)).alias("_terms"))
-    # equal terms of a text stand together: the first of them counts the row
-    marked = F.transform("_terms", lambda t, i: F.struct(t.alias("term"), F.when(F.get("_terms", i - 1) == t, 0).otherwise(1).alias("first")))
-    return rows.select(*by, F.inline(marked)).groupBy(*by, "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    kind = "int" if numbers is not None else "string"
+    found = shared.map_arrow(rows.select(*by, "_text"), counted(by), f"{by[0]} {kind}, {by[1]} {kind}, term binary, n long, docs long")
+    found = found.withColumn("term", F.col("term").cast("string"))
+    if numbers is not None:
+        found = found.repartition("l", "term")  # counts of a group and rows of a term: one shuffle for both
+    return found.groupBy(*by, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -59,9 +128,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    """p of a count; in decimals, as the product of a large corpus is no long."""
-    over, under = F.lit(WHOLE).cast("decimal(10,0)") * (n + PRIOR).cast("decimal(20,0)"), (total + PRIOR * kept).cast("decimal(21,0)")
-    return F.when(kept > 0, F.call_function("div", over, under).cast("long") + 1)
+    """p of a count; in decimals, which cost far more, where the product is no long."""
+    over, under = F.lit(WHOLE).cast("decimal(10,0)") * (n + PRIOR).cast("decimal(20,0)"), total + PRIOR * kept
+    short = F.call_function("div", F.lit(WHOLE).cast("long") * (n + PRIOR), under)
+    return F.when(kept > 0, F.when(n < SHORT, short).otherwise(F.call_function("div", over, under.cast("decimal(21,0)")).cast("long")) + 1)
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -110,10 +180,11 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, broadcast: in
     def rest(a: Column, b: Column) -> Column:
         return apart(a.p, b.p) - apart(a.p, b.z) - apart(a.z, b.p) + apart(a.z, b.z)
 
-    left = vectors.select("lang", "v", F.posexplode("v").alias("k", "a"))
+    # v is never empty; for the outer forms Spark adds no filter on its size, for which it would compute the array once more
+    left = vectors.select("lang", "v", F.posexplode_outer("v").alias("k", "a")).where(F.col("k") + 1 < F.size("v"))
     right = F.transform(F.slice("v", F.col("k") + 2, F.size("v")), lambda b: F.struct(b.i.alias("j"), rest(F.col("a"), b).alias("f")))
-    both = left.select("lang", F.col("a.i").alias("i"), F.inline(right)).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
-    alike = vectors.select("lang", F.inline("v")).groupBy("lang", "i", "p", "z").agg(F.count("*").alias("n"))
+    both = left.select("lang", F.col("a.i").alias("i"), F.inline_outer(right)).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
+    alike = vectors.select("lang", F.inline_outer("v")).groupBy("lang", "i", "p", "z").agg(F.count("*").alias("n"))
     added = F.transform("zeros", lambda z, j: F.struct(j.alias("j"), ((apart(F.col("p"), z) - apart(F.col("z"), z)) * F.col("n")).alias("f")))
     single = with_groups(alike, of.select("lang", "zeros")).select("lang", "i", F.inline(added)).where("i <> j").select("lang", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "f")
     none = groups.select("lang", "kept", "zeros", F.posexplode("zeros").alias("i", "z"))
@@ -124,7 +195,7 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, broadcast: in
     pairs = with_groups(ways, groups.select("lang", "names")).select("lang", F.get("names", "i").alias("source"), F.lit("pair").alias("part"), F.get("names", "j").alias("item"), "value")
     order = lambda *of: Window.partitionBy(*of).orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order("lang", "source")))
-    more = vectors.select("lang", F.col("term").alias("item"), "q", F.inline("v")).where("p > q").select("lang", "i", "item", apart(F.col("p"), F.col("q")).alias("value"))
+    more = vectors.select("lang", F.col("term").alias("item"), "q", F.inline_outer("v")).where("p > q").select("lang", "i", "item", apart(F.col("p"), F.col("q")).alias("value"))
     top = more.withColumn("rank", F.row_number().over(order("lang", "i"))).where(F.col("rank") <= ranks)
     terms = with_groups(top, groups.select("lang", "names")).select("lang", F.get("names", "i").alias("source"), F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)

@@ -76,3 +76,37 @@ def test_terms_are_counted_by_numbers_as_by_names(spark):
     numbers = divergence.numbered(docs).withColumn("l", F.dense_rank().over(Window.orderBy("lang")))
     by_number = divergence.term_counts(docs, numbers).join(numbers, ["l", "i"]).select("lang", "source", "term", "n", "docs")
     assert sorted(map(tuple, by_number.collect())) == sorted(map(tuple, divergence.term_counts(docs).collect()))
+
+
+def test_terms_are_counted_before_they_are_rows(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+    from pulsegrid.llm import divergence, shared
+
+    texts = ["The CAT the cat", "ÉTÉ été x1y don't", "", None, "".join(map(chr, range(256))) + "  日本　a", "a b " * 500]
+    rows = [("en", s, t) for s in ("a", "", "b") for t in texts] + [("fr", "a", t) for t in texts]
+    # a row for a term of a group, not for each place of it, leaves a task; one shuffle deals the rows
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    numbers = divergence.numbered(docs).withColumn("l", F.when(F.col("lang") == "en", 1).otherwise(2))
+    plan = divergence.term_counts(docs, shared.settled(numbers))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning(l") == 1 == plan.count("hashpartitioning(")
+    # handed on after each text or so, and split in pieces: the same sums
+    whole, docs_of = Counter(), Counter()
+    for lang, source, text in rows:
+        found = re.findall(divergence.TERM, re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        whole.update((lang, source, t) for t in found)
+        docs_of.update((lang, source, t) for t in set(found))
+    batches = [pa.table({"lang": a, "source": b, "_text": [(t or "").encode() for t in c]}).to_batches()[0] for a, b, c in (zip(*rows[:7]), zip(*rows[7:]))]
+    for held, distinct, piece, size in ((1 << 22, 1 << 19, 1 << 20, 1 << 16), (5, 1 << 19, 3, 2), (1 << 22, 3, 1, 1)):
+        for name, value in zip(("HELD", "DISTINCT", "PIECE", "BATCH"), (held, distinct, piece, size)):
+            monkeypatch.setattr(divergence, name, value)
+        n, of = Counter(), Counter()
+        for batch in divergence.counted(("lang", "source"))(iter(batches)):
+            assert 0 < batch.num_rows <= size
+            for r in batch.to_pylist():
+                key = r["lang"], r["source"], r["term"].decode()
+                n[key], of[key] = n[key] + r["n"], of[key] + r["docs"]
+        assert n == whole and of == docs_of
+    assert not list(divergence.counted(("lang", "source"))(iter([])))
