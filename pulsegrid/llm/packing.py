@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import os
 import random
+import string
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,19 @@ CAPACITY = 1024
 BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 2, 2, 5, 5
 #: Room, as a share of the capacity, above which a bin's pieces are evolved again with other blocks' ones.
 LOOSE = 0.01
-#: Words whose ids a worker keeps.
-CACHE = 1_000_000
-OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "\n\n"]
-#: How the vocabulary writes a space; unknown words that are encoded at once.
-SPACE, TOGETHER = "\u0120", 200
+#: Words whose ids a worker keeps; bytes of texts that are encoded together.
+CACHE, TEXTS = 1_000_000, 8_000_000
+OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "\n\n", "  ", " \n"]
+#: How the vocabulary writes a space, a newline and a no-break space; new words that are encoded at once.
+BLANKS, NO_BREAK, TOGETHER = {" ": "\u0120", "\n": "\u010a"}, "\u00c2\u0142", 100
+#: The last of the letters that every version of Unicode has as such.
+LETTERS = "\u024f"
+
+
+def mixed(token: str) -> bool:
+    """Whether a token of the vocabulary may join a letter to a blank after it or to a newline before it."""
+    space, newline = BLANKS.values()
+    return (space in token[1:] or newline in token) and bool(token.strip(space + newline)) and NO_BREAK not in token
 
 
 class Tokens:
@@ -48,57 +58,114 @@ class Tokens:
 
     Its pre-tokenizer starts a new piece of text at every single space or newline between
     non-blanks, so texts without other blanks are encoded word by word, and words are kept. Words that are not known yet
-    are encoded together: each one's first token is the only one of it that starts with a space. Added
+    are encoded together: each one's first token is the only one of it that starts with a blank. Added
     tokens (such as an end mark written out) are found in the whole text first, so a text that holds one is
     encoded at once.
+
+    Letters are a piece of text of their own and so is the punctuation that ends a word, so a word of letters is encoded once
+    whatever ends it. No merge goes from a letter to a blank or from a newline to a letter (files that have such merges do
+    without this), so the model's merges alone keep words of letters apart, and the pre-tokenizer is left out for them.
     """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + OTHER_SPACE
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.spaced[[n for token, n in vocabulary.items() if token[0] == SPACE]] = True
-        #: Ids of words after a space, of newlines with the word after them, and (keyed by a space before) of words at a text's start.
+        #: By blank, whether a token starts with it.
+        self.starts = {blank: np.zeros(max(vocabulary.values()) + 1, dtype=bool) for blank in BLANKS}
+        for blank, written in BLANKS.items():
+            self.starts[blank][[n for token, n in vocabulary.items() if token[0] == written]] = True
+        self.merging = self.tokenizer
+        if not any(map(mixed, vocabulary.keys() - set(self.whole))):
+            self.merging = Tokenizer.from_str(self.tokenizer.to_str())
+            self.merging.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Ids of words after a space, and of newlines with the word after them.
         self.known: dict[str, bytes] = {}
+        #: What was known before `known` was begun anew, and ids of the punctuation that ends words.
+        self.earlier: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        for word in words:
-            if word[0] in "\n ":
-                self.known[word] = self.encode(word.lstrip(" "))
-        after = [w for w in words if w[0] not in "\n "]
-        for at in range(0, len(after), TOGETHER):
-            some = after[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            starts = np.nonzero(self.spaced[ids])[0].tolist()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def together(self, tokenizer, words: list[str], blank: str) -> None:
+        """Learn words after this blank; a newline is a word's first character, a space is not in it."""
+        before = "" if blank == "\n" else blank
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = (4 * np.nonzero(self.starts[blank][ids])[0]).tolist()
             if len(starts) == len(some):
                 data = ids.tobytes()
-                self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, starts, [*starts[1:], len(ids)], strict=True))
+                self.known.update(zip(some, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)])), strict=True))
             else:
-                self.known.update((w, self.encode(" " + w)) for w in some)
+                self.known.update((w, self.encode(before + w)) for w in some)
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def learn(self, words: list[str]) -> None:
+        known, earlier, tails = self.known, self.earlier, self.tails
+        for blank in BLANKS:
+            stems: dict[str, None] = {}
+            ended, others = [], []
+            for word in [w for w in words if w[0] == "\n"] if blank == "\n" else [w for w in words if w[0] != "\n"]:
+                stem = word.rstrip(string.punctuation)
+                letters = stem if blank == " " else stem[1:]
+                if not letters.isalpha() or not letters.isascii() and max(letters) > LETTERS:
+                    others.append(word)
+                    continue
+                stems[stem] = None
+                if len(stem) < len(word):
+                    ended.append((word, stem))
+            missing = [w for w in stems if w not in known]
+            known.update((w, earlier[w]) for w in missing if w in earlier)
+            self.together(self.merging, [w for w in missing if w not in earlier], blank)
+            self.together(self.tokenizer, others, blank)
+            for word, stem in ended:
+                tail = word[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self.encode(tail)
+                known[word] = known[stem] + tails[tail]
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.known) > CACHE // 2:
+            self.known, self.earlier, self.tails = {}, self.known, {}
+        known, earlier = self.known, self.earlier
+        ids = list(map(known.get, words))
+        new = [n for n, got in enumerate(ids) if got is None]
+        known.update((words[n], earlier[words[n]]) for n in new if words[n] in earlier)
+        self.learn([words[n] for n in new if words[n] not in known])
+        for n in new:
+            ids[n] = known[words[n]]
+        return ids
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; null is empty."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parts: list[list[str] | None] = []
-        for text in texts:
-            words = text.replace("\n", " \n").split(" ") if text else []
-            if words and ("" in words or any(x in text for x in self.whole)):
-                parts.append(None)
-            else:
-                words[:1] = [" " + w for w in words[:1]]
-                parts.append(words)
-        known = self.known
-        self.learn(list({w: None for words in parts if words for w in words if w not in known}))
-        return [self.encode(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, parts, strict=True)]
+        out: list[bytes] = []
+        worded = []
+        for text in texts.to_pylist():
+            whole = text and (text[0] in " \n" or text[-1] == " " or any(x in text for x in self.whole))
+            worded.append(bool(text) and not whole)
+            out.append(self.encode(text) if whole else b"")
+        # each text begins with a newline of its own, whose id is left out again
+        lines = pc.replace_substring(texts.filter(pa.array(worded, pa.bool_())).cast(pa.large_string()), "\n", " \n")
+        newline = pa.scalar("\n", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(newline, lines, pa.scalar("", pa.large_string())), " ")
+        if len(lists):
+            words = lists.flatten().dictionary_encode()
+            numbers = words.indices.to_numpy()
+            ids = self.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            starts, lengths = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+            ends = np.cumsum(lengths)
+            data = np.frombuffer(b"".join(ids), dtype="<u4")[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)].tobytes()
+            stops = ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1].tolist()
+            for n, a, b in zip(np.nonzero(worded)[0].tolist(), [0, *stops[:-1]], stops, strict=True):
+                out[n] = data[4 * (a + 1) : 4 * b]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -106,15 +173,27 @@ def tokens(path: str | None = None) -> Tokens:
     return Tokens(path)
 
 
+def gathered(batches: shared.Batches, size: int) -> shared.Batches:
+    """The same rows, small batches joined up to this many bytes: a word that is in many texts is looked up once for them all."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """row, doc_id, piece, start, length, ids_crc32 of every piece; the first takes what is over."""
 
     def run(batches: shared.Batches) -> shared.Batches:
         encode, end = tokens(path), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches, TEXTS):
             rows = []
-            names, texts = shared.columns(batch, "doc_id", "text")
-            for doc_id, ids in zip(names, encode(texts), strict=True):
+            (names,) = shared.columns(batch, "doc_id")
+            for doc_id, ids in zip(names, encode(batch.column(batch.schema.get_field_index("text"))), strict=True):
                 ids += end
                 n = len(ids) // 4
                 at = 0

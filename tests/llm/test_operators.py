@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -112,6 +113,57 @@ def test_packing_is_a_round_trip(spark, docs, awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+class Counted:
+    """A tokenizer that notes how many words it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.words = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(t.split()) for t in texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 60)
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(3)) for n in range(40)]
+    tokens = packing.Tokens()
+    tokens.tokenizer = tokens.merging = counted = Counted(tokens.tokenizer)
+    # whatever ends it, and also when the words that are kept begin anew
+    for end in ("", ",", ".", "!?"):
+        got = tokens(pa.array([" ".join(["the", *(n + end for n in names)]), None]))
+        want = counted.inner.encode(" ".join(["the", *(n + end for n in names)]), add_special_tokens=False).ids
+        assert np.frombuffer(got[0], dtype="<u4").tolist() == want and got[1] == b""
+    assert counted.words <= len(names) + 1 + 3
+
+
+def test_ids_of_odd_words(monkeypatch, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE", 500)
+    rng = np.random.default_rng(3)
+    some = ["a", "the", "Th", "\u00e9", "\u00aa", "\u024f", "\u0250", "\u4e2d", "\u0301", "\u00b2", "\u2026", "\u010a", "\u0120", ",", ".", "'s", "'", "7", "\n", "\n", " ", " ", " ", "-", "\x00", "\x7f"]
+    texts = [None, "", " ", "\n", ".", "\n,", "a\n b", "a\n\nb", "it's\n's", *("".join(rng.choice(some, size=rng.integers(1, 60))) for _ in range(2000)), "\xa0a\x1cb\t", "b\na a"]
+    # a file with merges that its own pre-tokenizer never lets happen
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    tokenizer = Tokenizer(models.BPE({c: n for n, c in enumerate([*alphabet, "\u010aa", "a\u0120", "\u0120a"])}, [("\u010a", "a"), ("a", "\u0120"), ("\u0120", "a")]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(str(tmp_path / "odd.json"))
+    for path in (None, str(tmp_path / "odd.json")):
+        tokens = packing.Tokens(path)
+        assert (tokens.merging is tokens.tokenizer) == (path is not None)
+        for at in range(0, len(texts), 300):
+            got = [np.frombuffer(g, dtype="<u4").tolist() for g in tokens(pa.array(texts[at : at + 300], pa.string()))]
+            assert got == [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[at : at + 300]]
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, a + 10))}) for a in range(0, 100, 10)]
+    got = list(packing.gathered(iter(batches), 3 * batches[0].nbytes))
+    assert [b.num_rows for b in got] == [30, 30, 30, 10] and [n for b in got for n in b.column(0).to_pylist()] == list(range(100))
+    assert list(packing.gathered(iter([]), 10)) == []
+
+
 def test_genetic_packing_beats_its_start():
     rng = np.random.default_rng(2)
     sizes = rng.integers(200, 520, 300).tolist()
