@@ -39,7 +39,7 @@ BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 2, 2, 5, 5
 #: Room, as a share of the capacity, above which a bin's pieces are evolved again with other blocks' ones.
 LOOSE = 0.01
 #: Words whose ids a worker keeps; bytes of texts that are encoded together.
-CACHE, TEXTS = 1_000_000, 8_000_000
+CACHE, TEXTS = 1_000_000, 20_000_000
 OTHER_SPACE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000", "\n\n", "  ", " \n"]
 #: How the vocabulary writes a space, a newline and a no-break space; new words that are encoded at once.
 BLANKS, NO_BREAK, TOGETHER = {" ": "\u0120", "\n": "\u010a"}, "\u00c2\u0142", 100
@@ -67,7 +67,8 @@ class Tokens:
     without this), so the model's merges alone keep words of letters apart, and the pre-tokenizer is left out for them.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, cache: int | None = None):
+        self.cache = cache or CACHE
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
@@ -131,7 +132,7 @@ class Tokens:
 
     def of(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
-        if len(self.known) > CACHE // 2:
+        if len(self.known) > self.cache // 2:
             self.known, self.earlier, self.tails = {}, self.known, {}
         known, earlier = self.known, self.earlier
         ids = list(map(known.get, words))
@@ -159,18 +160,19 @@ class Tokens:
             numbers = words.indices.to_numpy()
             ids = self.of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            starts, lengths = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
-            ends = np.cumsum(lengths)
-            data = np.frombuffer(b"".join(ids), dtype="<u4")[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)].tobytes()
-            stops = ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1].tolist()
+            starts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), dtype="<u4")
+            stops = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
             for n, a, b in zip(np.nonzero(worded)[0].tolist(), [0, *stops[:-1]], stops, strict=True):
-                out[n] = data[4 * (a + 1) : 4 * b]
+                own = numbers[a:b]
+                lengths = sizes[own]
+                ends = np.cumsum(lengths)
+                out[n] = every[np.arange(ends[-1]) + np.repeat(starts[own] - (ends - lengths), lengths)][1:].tobytes()
         return out
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str | None = None) -> Tokens:
-    return Tokens(path)
+def tokens(path: str | None = None, cache: int | None = None) -> Tokens:
+    return Tokens(path, cache)
 
 
 def gathered(batches: shared.Batches, size: int) -> shared.Batches:
@@ -185,12 +187,12 @@ def gathered(batches: shared.Batches, size: int) -> shared.Batches:
         yield pa.concat_batches(held)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cache: int = CACHE, size: int = TEXTS) -> DataFrame:
     """row, doc_id, piece, start, length, ids_crc32 of every piece; the first takes what is over."""
 
     def run(batches: shared.Batches) -> shared.Batches:
-        encode, end = tokens(path), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in gathered(batches, TEXTS):
+        encode, end = tokens(path, cache), np.array([END_ID], dtype="<u4").tobytes()
+        for batch in gathered(batches, size):
             rows = []
             (names,) = shared.columns(batch, "doc_id")
             for doc_id, ids in zip(names, encode(batch.column(batch.schema.get_field_index("text"))), strict=True):
@@ -386,9 +388,9 @@ def evolve_blocks(items: DataFrame, blocks: int, seed: int, capacity: int, islan
     return shared.map_arrow(best, placed, "row long, length long, block long, bin long, room long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    made = shared.settled(pieces(docs, path, capacity))
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, cache: int = CACHE, size: int = TEXTS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document; less `cache` and `size` take less memory and more time."""
+    made = shared.settled(pieces(docs, path, capacity, cache, size))
     loose = made.where(F.col("length") < capacity).select("row", "length")
     blocks = max(1, -(-loose.count() // block))
     first = shared.settled(evolve_blocks(loose, blocks, 1, capacity, islands, epochs))
